@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.llm.components import match_groups
-from estatelens.llm.encode import load_vocabulary, token_ids
+from estatelens.llm.encode import load_vocabulary, token_count, token_ids
 from estatelens.llm.formatting import copies
+from estatelens.llm.mixing import mix
 from estatelens.llm.setjoin import similar_pairs, word_set
+from estatelens.llm.survivors import field_sources, survivors
 from estatelens.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Row that gives the best known value of each field of each group of copies."""
+    return field_sources(table(spark, d, "classified_files"), table(spark, d, "estates"))
+
+
+def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One surviving record per group, built from whole bundles."""
+    return survivors(table(spark, d, "classified_files"), table(spark, d, "estates"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Records written at least twice, with their number of copies."""
     return copies(table(spark, d, "jsonl_lines"))
@@ -36,7 +48,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", token_ids(F.col("text"), load_vocabulary(spark)).alias("ids"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids}
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text"), load_vocabulary(spark)).alias("n_tokens"))
+
+
+def p9_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen documents with repeats, in the order of the mixing schedule's slots."""
+    return mix(_sized(spark, d), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Actual against target shares."""
+    return mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_schedule": p9_schedule, "p9_shares": p9_shares}
 
 SQL = {
     "p7_found": """
