@@ -1,8 +1,9 @@
 """Sources mixed to target shares of the total size.
 
-How much each source gives: the target share of the total, at most its size times the
-allowed repeats; what capped sources leave is shared by the others in proportion to their
-targets until all is placed (water filling).
+How much each source gives: its target share of the total, at most its size times the allowed
+repeats. By default the total is the largest at which the scarcest source still reaches its
+share. For a larger total, given as a parameter, what capped sources leave is shared by the
+others in proportion to their targets until all is placed (water filling).
 
 In which order: slots of equal size are dealt to sources by a low-discrepancy sequence. Slot i
 lies at frac((i + 1) / golden ratio) on the line of cumulative shares, so every prefix of the
@@ -28,9 +29,16 @@ CHUNK = 4096
 
 
 def allocation(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Tokens of each source; ``targets`` gives share and repeats, ``total`` defaults to the size of all these sources once."""
-    goal = float(sum(sizes.get(s, 0) for s in targets) if total is None else total)
+    """Tokens of each source; ``targets`` gives share and repeats.
+
+    Without ``total`` it is the largest total at which every source that has documents reaches its
+    target (targets of sources without documents are dealt to the others in proportion), so that
+    shares miss their targets only where the repeats allow no more.
+    """
     room = {s: float(sizes.get(s, 0)) * max(0, repeats) for s, (_, repeats) in targets.items()}
+    live = [s for s, (share, _) in targets.items() if share > 0 and room[s] > 0]
+    weights = sum(targets[s][0] for s in live)
+    goal = min((room[s] * weights / targets[s][0] for s in live), default=0.0) if total is None else float(total)
     given, open_ = dict.fromkeys(targets, 0.0), {s for s, (share, _) in targets.items() if share > 0 and room[s] > 0}
     left = goal
     while open_ and left > 1e-9:
@@ -50,7 +58,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: str = "n_tokens", seed
     """(schedule, shares): chosen documents with repeat number and slot, and actual against target shares.
 
     ``documents`` has doc_id, source and ``tokens``; ``targets`` has source, target_share, max_repeats.
-    ``block`` is the size of a slot in tokens, by default a 1/20,000 of the total and at least 1,024.
+    ``block`` is the size of a slot in tokens, by default 1/20,000 of the total and at least 8,192.
     Sources that only one side has give nothing. A source without documents has an actual share of 0.
     """
     spark = documents.sparkSession
@@ -64,7 +72,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: str = "n_tokens", seed
     sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # at most one row per target source
     due = allocation(sizes, goals, total)
     goal = sum(due.values())
-    block = block or max(1024, int(goal / 20_000))
+    block = block or max(8192, int(goal / 20_000))
     plan = spark.createDataFrame([(s, goals[s][0], goals[s][1], int(sizes.get(s, 0)), due[s]) for s in goals], plan_schema)
     live = [s for s in goals if due[s] > 0]
     n_slots = sum(max(1, round(due[s] / block)) for s in live)

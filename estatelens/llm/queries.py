@@ -9,6 +9,7 @@ from estatelens.llm.components import match_groups
 from estatelens.llm.encode import load_vocabulary, token_count, token_ids
 from estatelens.llm.formatting import copies
 from estatelens.llm.mixing import mix
+from estatelens.llm.mojibake import affected, learn, restored
 from estatelens.llm.setjoin import similar_pairs, word_set
 from estatelens.llm.survivors import field_sources, survivors
 from estatelens.session import table
@@ -62,7 +63,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_schedule": p9_schedule, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that went through wrong decodings, with the digest of their original text."""
+    return affected(table(spark, d, "documents").select("doc_id", "text", "source"))
+
+
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Original texts of the affected documents."""
+    documents = table(spark, d, "documents").select("doc_id", "text", "source")
+    return restored(documents, learn(documents))
+
+
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_schedule": p9_schedule, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
 
 SQL = {
     "p7_found": """
