@@ -92,26 +92,31 @@ def undo(text: str, step: tuple[str, ...]) -> str | None:
 _UTF8 = [("utf8", p) for p in PAGES]
 
 
-def readings(run: str, swaps: bool = True) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
-    """(cipher, text before it) of every cipher that can have made a run."""
-    out: dict[str, tuple[tuple[str, ...], ...]] = {}
-    frontier: list[tuple[tuple, str]] = [((), run)]
+def readings(run: str, swaps: bool = True) -> list[tuple[str, list[tuple[tuple[str, ...], ...]]]]:
+    """(text before, ciphers) of every text that a wrong decoding can have made the run of.
+
+    Pages share letters, so several ciphers may lead to one text; all are named, as a stretch is
+    undone by one cipher throughout.
+    """
+    out: dict[str, list[tuple[tuple[str, ...], ...]]] = {}
+    frontier: dict[str, list[tuple[tuple[str, ...], ...]]] = {run: [()]}
     for _ in range(DEPTH):
-        after = []
-        for steps, text in frontier:
+        after: dict[str, list[tuple[tuple[str, ...], ...]]] = {}
+        for text, ciphers in frontier.items():
             if len(text) > 1:
                 for step in _UTF8:
                     before = undo(text, step)
-                    if before is not None and len(before) < len(text) and before not in out:
-                        out[before] = (*steps, step)
-                        after.append(((*steps, step), before))
-        frontier = [(s, t) for s, t in after if not t.isascii()]
+                    if before is not None and len(before) < len(text):
+                        after.setdefault(before, []).extend((*c, step) for c in ciphers)
+        for text, ciphers in after.items():
+            out.setdefault(text, []).extend(ciphers)
+        frontier = {t: c for t, c in after.items() if not t.isascii()}
     if swaps:
         for step in SWAPS:
             before = undo(run, step)
-            if before is not None and before != run and before not in out:
-                out[before] = (step,)
-    return [(c, t) for t, c in out.items()]
+            if before is not None and before != run:
+                out.setdefault(before, []).append((step,))
+    return list(out.items())
 
 
 def contexts(text: str) -> list[str]:
@@ -155,10 +160,10 @@ class Model:
         if RUN.match(run) and not run[0] >= "⺀":
             stands = self.likelihood(context)
             # a swap of pages keeps the number of letters; it is only in question where the run itself is unlikely
-            for cipher, text in readings(run, swaps=-stands > 4.0 + 2.0 * len(context)):
+            for text, ciphers in readings(run, swaps=-stands > 4.0 + 2.0 * len(context)):
                 gain = self.likelihood(context[0] + text + context[-1]) - stands
                 if gain > -4.0:
-                    found.append((cipher, text, gain))
+                    found += [(cipher, text, gain) for cipher in ciphers]
         if len(self.kept) >= 200_000:
             self.kept.clear()
         self.kept[context] = found
