@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estatelens.llm.addresses import place_groups, same_place_pairs
 from estatelens.llm.components import match_groups
 from estatelens.llm.encode import load_vocabulary, token_count, token_ids
 from estatelens.llm.formatting import copies
@@ -39,6 +40,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(_path_sets(spark, d), 7, 10).select(F.col("id_a").alias("path_id_a"), F.col("id_b").alias("path_id_b"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of address rows that denote the same place."""
+    return same_place_pairs(table(spark, d, "address_rows")).select(F.col("id_a").alias("addr_id_a"), F.col("id_b").alias("addr_id_b"))
+
+
+def p6_places(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every address row."""
+    return place_groups(table(spark, d, "address_rows"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Group of every cluster id that a true match joins to another."""
     return match_groups(table(spark, d, "cluster_links"))
@@ -74,7 +85,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return restored(documents, learn(documents))
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_schedule": p9_schedule, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_places": p6_places, "p7_found": p7_found, "p8_ids": p8_ids, "p9_schedule": p9_schedule, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
 
 SQL = {
     "p7_found": """
