@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -41,6 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its row number (from 0) in a total order, without sorting all rows in one task.
+
+    Rows are range-partitioned and sorted per partition; the sizes of the partitions, one row each, give the offsets.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("low"))
+    offsets = sizes.select(F.col("__part").alias("__p"), "low", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("off"))
+    return placed.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn(name, F.col("off") + F.col("__at") - F.col("low")).drop("__part", "__at", "__p", "low", "off")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
