@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.config import Config
+from estatelens.functions.text import all_ngrams, tokenise
 from estatelens.operators import ingest
 from estatelens.operators.retention import apply_retention
 
@@ -24,15 +25,11 @@ def classify_stream(rows: DataFrame, config: Config, as_of: datetime, exclusions
     Folder signals, schemes, clusters and duplicates need the whole estate and stay with the batch pipeline.
     """
     df = ingest.decompose_paths(ingest.normalise(ingest.apply_filters(rows, exclusions)))
-    from estatelens.functions.text import all_ngrams, tokenise
-
     found = F.array_distinct(all_ngrams(tokenise(F.col("filename_stem"))))
-    kind = F.lit(None).cast("string")
-    for t in reversed(config.types):
-        by_name = F.arrays_overlap(found, F.array(*[F.lit(x) for x in t.tokens])) if t.tokens else F.lit(False)
-        by_extension = F.col("extension").isin(*t.extensions) if t.extensions else F.lit(False)
-        kind = F.when(by_name, t.name).when(by_extension & kind.isNull(), t.name).otherwise(kind)
-    return apply_retention(df.withColumn("inferred_type", F.coalesce(kind, F.lit("Unknown"))), config.retention, as_of)
+    by_name = [F.when(F.arrays_overlap("__phrases", F.array(*[F.lit(x) for x in t.tokens])), t.name) for t in config.types if t.tokens]
+    by_extension = [F.when(F.col("extension").isin(*t.extensions), t.name) for t in config.types if t.extensions]
+    df = df.withColumn("__phrases", found).withColumn("inferred_type", F.coalesce(*by_name, *by_extension, F.lit("Unknown"))).drop("__phrases")
+    return apply_retention(df, config.retention, as_of)
 
 
 def arrivals_per_window(rows: DataFrame, at: str = "loaded_at", by: str = "source_system", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
