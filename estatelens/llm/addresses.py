@@ -34,7 +34,7 @@ KINDS = {
 }
 KIND_OF = {a: kind for kind, names in KINDS.items() for a in names.split()}
 _POSTCODE = re.compile(r"\b([a-z]{1,2}\d[a-z\d]?)[\s-]*(\d[a-z]{2})\b")
-_FLAT = re.compile(r"\b(?:flat|flt|apartment|apt|unit)\b\.?\s*(?:no\b\.?|number|nr\.?|#)?\s*(\d+\s?[a-z]?\b|[a-z]\b)|\b(?:flat|flt|apartment|apt|unit)\.?\s?(\d+[a-z]?)\b")
+_FLAT = re.compile(r"\b(?:flat|flt|apartment|apt|unit)\b\.?\s*(?:no\b\.?|number|nr\.?|#)?\s*(\d+[a-z]?\b|[a-z]\b)|\b(?:flat|flt|apartment|apt|unit)\.?\s?(\d+[a-z]?)\b")
 _NUMBER = re.compile(r"(?:\b(?:no|number|nr)\b\.?\s*)?\b(\d+(?:\s*[-/]\s*\d+)?)(?:[\s-]*([a-z])\b)?")
 _COUNTRY = {"uk", "gb", "england", "scotland", "wales"}
 
@@ -49,7 +49,7 @@ def parse(text: str | None) -> dict | None:
         district, unit = m[1], m[2]
         s = f"{s[: m.start()]} , {s[m.end() :]}"
     if m := _FLAT.search(s):
-        flat = (m[1] or m[2]).replace(" ", "")
+        flat = m[1] or m[2]
         s = f"{s[: m.start()]} , {s[m.end() :]}"
     if m := _NUMBER.search(s):
         number = re.sub(r"\s", "", m[1]) + (m[2] or "")

@@ -75,23 +75,26 @@ def exact_key(line: Column, fields: tuple[str, ...] = FIELDS) -> Column:
     return _key(_exact, fields, "binary")(line)
 
 
+def _records(lines: DataFrame, line_id: str, line: str, fields: tuple[str, ...], single: bool) -> DataFrame:
+    """(first_line_id, n_copies) of the records of cheap classes with several members, and of single ones if wanted."""
+    rows = lines.select(F.col(line_id).alias("__id"), F.col(line).alias("__line"))
+    keyed = rows.withColumn("__cheap", cheap_key(F.col("__line"), fields))
+    classes = keyed.groupBy("__cheap").agg(F.min("__id").alias("first_line_id"), F.count(F.lit(1)).alias("n_copies")).filter("__cheap IS NOT NULL")
+    several = classes.filter("n_copies > 1").select(F.col("__cheap").alias("__class"))
+    refined = keyed.join(several, F.col("__cheap") == F.col("__class"), "left_semi").withColumn("__exact", exact_key(F.col("__line"), fields))
+    out = refined.groupBy("__exact").agg(F.min("__id").alias("first_line_id"), F.count(F.lit(1)).alias("n_copies")).select("first_line_id", "n_copies")
+    return out.unionByName(classes.filter("n_copies = 1").select("first_line_id", "n_copies")) if single else out
+
+
 def copies(lines: DataFrame, line_id: str = "line_id", line: str = "line", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(first_line_id, n_copies) of every record that occurs at least twice.
 
     Null ids are not expected; repeated rows of one id count as copies. An empty table gives an
     empty result.
     """
-    rows = lines.select(F.col(line_id).alias("__id"), F.col(line).alias("__line"))
-    keyed = rows.withColumn("__cheap", cheap_key(F.col("__line"), fields))
-    several = keyed.groupBy("__cheap").agg(F.count(F.lit(1)).alias("__n")).filter("__cheap IS NOT NULL AND __n > 1").select(F.col("__cheap").alias("__class"))
-    refined = keyed.join(several, F.col("__cheap") == F.col("__class"), "left_semi").withColumn("__exact", exact_key(F.col("__line"), fields))
-    return refined.groupBy("__exact").agg(F.min("__id").alias("first_line_id"), F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1").select("first_line_id", "n_copies")
+    return _records(lines, line_id, line, fields, False).filter("n_copies > 1")
 
 
 def distinct_records(lines: DataFrame, line_id: str = "line_id", line: str = "line", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(first_line_id, n_copies) of every record, single ones included."""
-    rows = lines.select(F.col(line_id).alias("__id"), F.col(line).alias("__line"))
-    keyed = rows.withColumn("__cheap", cheap_key(F.col("__line"), fields)).filter("__cheap IS NOT NULL")
-    counted = keyed.groupBy("__cheap").agg(F.min("__id").alias("first_line_id"), F.count(F.lit(1)).alias("n_copies"))
-    single = counted.filter("n_copies = 1").select("first_line_id", "n_copies")
-    return single.unionByName(copies(lines, line_id, line, fields))
+    return _records(lines, line_id, line, fields, True)

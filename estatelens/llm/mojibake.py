@@ -44,6 +44,7 @@ BIGRAMS, LETTERS = 1 << 20, 1 << 16
 _EAST = "ᄀ-ᇿ⺀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯"
 RUN = re.compile(rf"[^\x00-\x7f{_EAST}]+|[{_EAST}]+")
 ROUNDS = 3
+RARITY = 0.5  # weight of single letters beside bigrams
 CLEAN = 0.97  # initial weight of text as it stands
 
 
@@ -114,7 +115,8 @@ def readings(run: str, swaps: bool = True) -> list[tuple[str, list[tuple[tuple[s
     if swaps:
         for step in SWAPS:
             before = undo(run, step)
-            if before is not None and before != run:
+            # where the bytes are UTF-8 they were UTF-8
+            if before is not None and before != run and undo(run, ("utf8", step[0])) is None:
                 out.setdefault(before, []).append((step,))
     return list(out.items())
 
@@ -151,6 +153,10 @@ class Model:
             out += math.log((self.pairs[p] + 5.0 * single) / (self.letters[codes[i]] + 5.0))
         return out
 
+    def rarity(self, run: str) -> float:
+        """Negative log probability of the letters by themselves."""
+        return -sum(math.log((self.letters[ord(c) & LETTERS - 1] + 0.01) / self.total) for c in run)
+
     def gains(self, context: str) -> list[tuple[tuple, str, float]]:
         """(cipher, restored run, gain in log likelihood) of a run in its context."""
         if (known := self.kept.get(context)) is not None:
@@ -158,10 +164,11 @@ class Model:
         run = context[1:-1]
         found = []
         if RUN.match(run) and not run[0] >= "⺀":
-            stands = self.likelihood(context)
-            # a swap of pages keeps the number of letters; it is only in question where the run itself is unlikely
-            for text, ciphers in readings(run, swaps=-stands > 4.0 + 2.0 * len(context)):
-                gain = self.likelihood(context[0] + text + context[-1]) - stands
+            stands, rare = self.likelihood(context), self.rarity(run)
+            # a swap of pages is only in question where the run itself is unlikely
+            for text, ciphers in readings(run, swaps=-stands + RARITY * rare > 4.0 + (2.0 + 2.0 * RARITY) * len(run)):
+                # garbled text keeps the order of letters and so makes bigrams of its own; but its letters are rarer
+                gain = self.likelihood(context[0] + text + context[-1]) - stands + RARITY * (rare / len(run) * len(text) - self.rarity(text))
                 if gain > -4.0:
                     found += [(cipher, text, gain) for cipher in ciphers]
         if len(self.kept) >= 200_000:

@@ -95,4 +95,13 @@ SQL = {
         s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r(id, seen) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM r JOIN s ON r.seen = s.a)
         SELECT id AS cluster_id, min(seen) AS group_id FROM r GROUP BY id""",
+    "p4_found": r"""
+        WITH j AS (SELECT line_id, CAST(line AS JSON) AS o FROM jsonl_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'),
+        k AS (SELECT line_id, [regexp_replace(lower(nfc_normalize(coalesce(o ->> f, ''))), '[^\p{L}\p{Nd}]', '', 'g') FOR f IN ['filename_stem', 'extension', 'normalized_filename', 'size']] AS c FROM j)
+        SELECT min(line_id) AS first_line_id, count(*) AS n_copies FROM k GROUP BY c HAVING count(*) > 1""",
+    "p5_found": r"""
+        WITH w AS (SELECT path_id, trim(lower(unnest(segments))) AS t FROM file_paths UNION SELECT path_id, unnest(regexp_extract_all(lower(filename_stem), '[\p{L}\p{N}]+')) FROM file_paths),
+        s AS (SELECT * FROM w WHERE t <> ''), n AS (SELECT path_id, count(*) AS n FROM s GROUP BY 1),
+        i AS (SELECT a.path_id AS a, b.path_id AS b, count(*) AS i FROM s a JOIN s b ON a.t = b.t AND a.path_id < b.path_id GROUP BY 1, 2)
+        SELECT a AS path_id_a, b AS path_id_b FROM i JOIN n x ON x.path_id = a JOIN n y ON y.path_id = b WHERE 10 * i >= 7 * (x.n + y.n - i)""",
 }
