@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, for sessions that were not started beside it."""
+    context = spark.sparkContext
+    if getattr(context, "_estatelens_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="estatelens-code-")) / "estatelens.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, f"{root.name}/{source.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._estatelens_shipped = True
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with its row number (from 0) in a total order, without sorting all rows in one task.
 
