@@ -233,7 +233,8 @@ def utc_micros(value: Column, zone: Column, order: Column, floor_year: int = 198
         for values, zones, orders in batches:
             yield parse_batch(values, zones, orders, floor)
 
-    return convert(value.cast("string"), zone.cast("string"), order.cast("string"))
+    # marked so that a filter on the result does not evaluate it a second time below the projection
+    return convert.asNondeterministic()(value.cast("string"), zone.cast("string"), order.cast("string"))
 
 
 def with_instant(files: DataFrame, estates: DataFrame, value: str = "last_modified", out: str = "utc_micros", floor_year: int = 1980, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -42,7 +42,7 @@ CASES = [
     ("L", "1529250436", us(2018, 6, 17, 15, 47, 16)),
     ("L", "1274782734.0", us(2010, 5, 25, 10, 18, 54)),
     ("L", "1708535577556", us(2024, 2, 21, 17, 12, 57, micro=556000)),
-    ("L", "132611049183574565", us(2021, 3, 25, 12, 35, 18, micro=357456)),
+    ("L", "132611049183574565", us(2021, 3, 25, 0, 15, 18, micro=357456)),
     ("L", "20250424181621", us(2025, 4, 24, 17, 16, 21)),
     ("L", "43737.092002315", us(2019, 9, 29, 1, 12, 29)),
     (None, "1529250436", us(2018, 6, 17, 15, 47, 16)),
