@@ -90,7 +90,7 @@ def parsed_address(address: Column) -> Column:
         for batch in batches:
             yield pa.array([parse(t) for t in batch.to_pylist()], _PARSED)
 
-    return parsed(address.cast("string"))
+    return parsed.asNondeterministic()(address.cast("string"))  # evaluated once, also where a filter uses it
 
 
 def distance(a: str, b: str, most: int = 1) -> int:
@@ -121,7 +121,7 @@ def edits(left: Column, right: Column) -> Column:
         for a, b in batches:
             yield pa.array([distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
-    return distances(left, right)
+    return distances.asNondeterministic()(left, right)
 
 
 def deletions(word: Column) -> Column:

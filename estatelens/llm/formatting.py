@@ -62,7 +62,7 @@ def _key(make, fields: tuple[str, ...], kind: str):
             rows = (canonical(line, fields) for line in batch.to_pylist())
             yield pa.array([None if r is None else make(r) for r in rows], pa.int64() if kind == "bigint" else pa.binary())
 
-    return key
+    return key.asNondeterministic()  # evaluated once, also where a filter uses it
 
 
 def cheap_key(line: Column, fields: tuple[str, ...] = FIELDS) -> Column:

@@ -176,6 +176,16 @@ class Model:
         self.kept[context] = found
         return found
 
+    def forced(self, context: str, cipher: tuple) -> float:
+        """Gain of undoing a run by a cipher however unlikely by itself; minus infinity if it cannot be undone."""
+        text: str | None = context[1:-1]
+        for step in cipher:
+            text = undo(text, step) if text else None
+        if not text:
+            return float("-inf")
+        run = context[1:-1]
+        return self.likelihood(context[0] + text + context[-1]) - self.likelihood(context) + RARITY * (self.rarity(run) / len(run) * len(text) - self.rarity(text))
+
     def weight(self, source: str | None, cipher: tuple) -> float:
         """Log weight of a cipher against text as it stands."""
         own = self.weights.get(source, {})
@@ -310,8 +320,9 @@ def restore(text: str | None, source: str | None, model: Model) -> str | None:
     # best path: text as it stands scores 0; entering a cipher costs, leaving is free
     none = float("-inf")
     score, back = {(): 0.0, **{c: none for c in states}}, []
-    for options in found:
+    for context, options in zip(around, found):
         gains = {c: g for c, _, g in options if c in enter}
+        gains |= {c: model.forced(context, c) for c in states if c not in gains}
         top = max(score, key=score.get)
         now, came = {}, {}
         for c in score:
