@@ -244,6 +244,16 @@ def leaf_conflicts(files: DataFrame, value: str = "entity_address", confidence:
     return out.select(F.col("path").alias("folder_path"), "n_files", F.coalesce("b.v", F.lit("")).alias("top_value"), F.coalesce("b.n", F.lit(0)).alias("top_count"), "n_values", (F.col("n_values") > 1).alias("conflict"), "mean_confidence")
 
 
+def score_trace(sidecar: DataFrame, config: Config) -> DataFrame:
+    """``sidecar`` with the terms of the confidence spelt out in ``trace``; excluded folders show their reason."""
+    w = lambda k: float(config.weight("scheme_detection", k))
+    high = F.col("unique_entities") >= w("high_entity_threshold")
+    base = F.format_string("entities %d: %.2f", F.col("unique_entities"), F.when(high, w("high_entity_confidence")).otherwise(w("med_entity_confidence")))
+    plots = F.when(F.col("direct_plot_children") > 0, F.format_string("plots beneath: +%.2f", F.lit(w("direct_plot_children_boost"))))
+    categories = F.when(F.col("n_dev_categories") >= 3, F.format_string("categories %d: +%.2f", F.col("n_dev_categories"), F.lit(w("development_categories_boost"))))
+    return sidecar.withColumn("trace", F.concat_ws("; ", base, plots, categories, F.format_string("status %s", F.col("status"))))
+
+
 def sidecar_join(tree: DataFrame, sidecar: DataFrame) -> DataFrame:
     """Folders of a report with the candidate status of the sidecar."""
     return tree.join(sidecar.select("folder_path", F.col("status").alias("scheme_status"), F.col("confidence").alias("scheme_confidence")), "folder_path", "left")

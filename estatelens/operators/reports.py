@@ -98,6 +98,11 @@ def token_report(files: DataFrame, known: DataFrame, most: int = 3, stopwords: t
     return out.filter(~F.col("is_known")) if unknown_only else out
 
 
+def entity_types(entities: tuple[str, ...] = ("scheme", "address", "plot")) -> Column:
+    """Names of the entities that a row has, joined by ", "."""
+    return F.concat_ws(", ", *[F.when(F.coalesce(F.col(f"entity_{e}"), F.lit("")) != "", e) for e in entities])
+
+
 def scheme_summary(files: DataFrame, confidence: str = "overall_confidence") -> DataFrame:
     """Mean, median, least and greatest confidence of files with and without scheme."""
     return files.groupBy((F.coalesce("entity_scheme", F.lit("")) != "").alias("in_scheme")).agg(F.count(F.lit(1)).alias("n_files"), F.avg(confidence).alias("mean"), F.percentile(confidence, F.lit(0.5)).alias("median"), F.min(confidence).alias("least"), F.max(confidence).alias("greatest"))

@@ -149,13 +149,51 @@ def o3_sets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "classified_files").select("row_id", F.array_join(F.array_sort(F.array_except(a, b)), "|").alias("only_stem"), F.array_join(F.array_sort(F.array_intersect(a, b)), "|").alias("both"))
 
 
+def n2_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates in several notations, null where none fits."""
+    at, r = F.col("scanned_at"), F.col("row_id") % 4
+    text = F.when(r == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(r == 1, F.date_format(at, "dd/MM/yyyy HH:mm")).when(r == 2, F.date_format(at, "yyyy-MM-dd")).otherwise("no date")
+    return table(spark, d, "classified_files").select("row_id", F.date_format(I.parse_date(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def t10_noise(spark: SparkSession, d: str) -> DataFrame:
+    """T10 on names without lone dashes."""
+    return table(spark, d, "classified_files").select("row_id", T.strip_scheme_noise(F.concat_ws(" ", "entity_scheme", F.lit("phase 3 new dec 20 may 2019 2020-2021 1999"))).alias("v"))
+
+
+def t12_postcodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "address_rows").select("addr_id", T.postcode(F.col("entity_address")).alias("postcode"))
+
+
+def t16_human(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes for people and clamped confidences."""
+    return table(spark, d, "classified_files").select("row_id", T.human_size((F.col("size") / 1024).cast("bigint") * 1024).alias("size_text"), T.clamp(F.col("overall_confidence") * 1.5 - 0.2).alias("clamped"))
+
+
+def s7_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Records of JSON lines by schema; lines that are no object are null."""
+    r = F.from_json("line", "filename_stem string, extension string, normalized_filename string, size string")
+    return table(spark, d, "jsonl_lines").select("line_id", r.alias("r")).select("line_id", "r.filename_stem", "r.extension", "r.normalized_filename", "r.size")
+
+
+def s8_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Valid paths of a raw list and distinct lower-case names of at least four letters."""
+    p = F.col("full_path")
+    names = table(spark, d, "classified_files").filter(~I.is_null_path(p)).select(F.explode("segments").alias("name"))
+    return names.select(F.lower(F.trim("name")).alias("name")).filter(F.length("name") >= 4).distinct()
+
+
 _TOK = r"list_filter(list_transform(regexp_split_to_array(lower(coalesce({c}, '')), '[_ \t\r\n\f\v]+'), lambda x: trim(x, '()[]{{}}.,;:''\"!?#')), lambda x: x <> '')"
 _TRI = "CASE WHEN length(coalesce({c}, '')) > 0 THEN list_distinct(list_transform(range(1, length({c}) + 3), lambda i: substring('$$' || {c} || '$$', i, 3))) ELSE [] END"
 _DATES_SQL = "c"
 for _p in T.DATES:
     _DATES_SQL = f"regexp_replace({_DATES_SQL}, '(?i){_p}', '', 'g')"
 
-QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"([fnto]|proj)\d+_|f_", k)}
+_NOISE_SQL = "c"
+for _p in (T.NEW_NOTE, T.PHASE, rf"\b(?:\d{{1,2}}\s+)?(?:{T.MONTHS})(?:\s+\d{{2,4}})?\b", r"\b(?:19|20)\d{2}\s*-\s*(?:19|20)?\d{2,4}\b", T.YEAR):
+    _NOISE_SQL = f"regexp_replace({_NOISE_SQL}, '(?i){_p}', '', 'g')"
+
+QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"([fntos]|proj)\d+_|f_", k)}
 
 SQL = {
     "f_filters": f"WITH {_LISTING_SQL}, {_REASON_SQL} SELECT row_id, full_path FROM reasoned WHERE removal_reason IS NULL",
@@ -196,6 +234,16 @@ SQL = {
     "f6_noise": rf"""WITH t AS (SELECT DISTINCT unnest({_TOK.format(c='filename_stem')}) AS token FROM classified_files)
         SELECT token, length(token) <= 1 OR token IN ('the', 'and', 'for', 'copy') OR regexp_full_match(token, '\d+') OR regexp_full_match(token, '[vr]\d+')
           OR (length(token) >= 4 AND length(regexp_replace(token, '\D', '', 'g')) / length(token) > 0.6) AS noise FROM t""",
+    "n2_dates": "SELECT row_id, CASE row_id % 4 WHEN 0 THEN strftime(scanned_at, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(scanned_at, '%Y-%m-%d %H:%M:00') WHEN 2 THEN strftime(scanned_at, '%Y-%m-%d 00:00:00') END AS at FROM classified_files",
+    "t10_noise": f"""WITH x AS (SELECT row_id, concat_ws(' ', entity_scheme, 'phase 3 new dec 20 may 2019 2020-2021 1999') AS c FROM classified_files)
+        SELECT row_id, trim(regexp_replace({_NOISE_SQL}, '\\s+', ' ', 'g')) AS v FROM x""",
+    "t12_postcodes": r"SELECT addr_id, upper(regexp_extract(entity_address, '(?i)\b([A-Z]{1,2}\d{1,2}[A-Z]?\s*\d[A-Z]{2})\b', 1)) AS postcode FROM address_rows",
+    "t16_human": """WITH s AS (SELECT row_id, CAST(trunc(size / 1024) AS BIGINT) * 1024 AS b, overall_confidence AS c FROM classified_files)
+        SELECT row_id, CASE WHEN b IS NULL THEN '' WHEN b < 1024 THEN format('{:d} B', b) WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN format('{:.1f} MB', b / 1048576.0::DOUBLE) ELSE format('{:.1f} GB', b / 1073741824.0::DOUBLE) END AS size_text,
+          least(1.0::DOUBLE, greatest(0.0::DOUBLE, c * 1.5::DOUBLE - 0.2::DOUBLE)) AS clamped FROM s""",
+    "s7_jsonl": """SELECT line_id, CASE WHEN json_valid(line) THEN line ->> 'filename_stem' END AS filename_stem, CASE WHEN json_valid(line) THEN line ->> 'extension' END AS extension,
+        CASE WHEN json_valid(line) THEN line ->> 'normalized_filename' END AS normalized_filename, CASE WHEN json_valid(line) THEN line ->> 'size' END AS size FROM jsonl_lines""",
+    "s8_paths": "SELECT DISTINCT lower(trim(n)) AS name FROM (SELECT unnest(segments) AS n FROM classified_files WHERE full_path IS NOT NULL AND (contains(full_path, chr(92)) OR contains(full_path, '/'))) WHERE length(lower(trim(n))) >= 4",
     "o1_union": "SELECT source_system, filename_stem, depth FROM classified_files UNION SELECT source_system, filename_stem, depth FROM file_paths",
     "o3_sets": f"""WITH t AS (SELECT row_id, {_TOK.format(c='filename_stem')} AS a, {_TOK.format(c='normalized_filename')} AS b FROM classified_files)
         SELECT row_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))), '|'), '') AS only_stem, coalesce(array_to_string(list_sort(list_distinct(list_filter(a, lambda x: list_contains(b, x)))), '|'), '') AS both FROM t""",

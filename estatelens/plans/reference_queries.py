@@ -138,6 +138,18 @@ def d17_assigned(spark: SparkSession, d: str) -> DataFrame:
     return folders.detect_schemes(e, default_config())[0].select("row_id", "entity_scheme", "entity_scheme_depth", "entity_scheme_path", "entity_scheme_confidence")
 
 
+def d19_sidecar(spark: SparkSession, d: str) -> DataFrame:
+    """D19, T21, SK4, S12: all candidates with status and the terms of their score."""
+    c = default_config()
+    return folders.score_trace(folders.detect_schemes(_estate(spark, d).drop("entity_scheme", "entity_scheme_depth"), c)[1], c).select("folder_path", "status", "trace")
+
+
+def j15_tree_status(spark: SparkSession, d: str) -> DataFrame:
+    """Folders of level 2 to 4 with the status of their scheme candidate."""
+    e = _estate(spark, d)
+    return folders.sidecar_join(folders.folder_tree(e), folders.detect_schemes(e.drop("entity_scheme", "entity_scheme_depth"), default_config())[1]).select("folder_path", "file_count", "scheme_status", "scheme_confidence")
+
+
 def d20_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """D20, D21."""
     return folders.enforce_hierarchy(_estate(spark, d)).select("row_id", "entity_plot", "entity_plot_depth", "entity_plot_is_scheme_name", "entity_address", "entity_address_depth", "entity_address_is_scheme_name")
@@ -290,6 +302,12 @@ def a12_top(spark: SparkSession, d: str) -> DataFrame:
     return reports.top_rows(a11_types(spark, d).filter("inferred_type IS NOT NULL"), "n_files", "inferred_type", 10)
 
 
+def proj10_entity_types(spark: SparkSession, d: str) -> DataFrame:
+    """Literal tags and the names of the entities of a row."""
+    e = ingest.tag_source(_estate(spark, d), "Estate X", "/root")
+    return e.select("row_id", reports.entity_types().alias("entity_types"), "source_system", "root_prefix")
+
+
 def sk2_csv(spark: SparkSession, d: str) -> DataFrame:
     """SK2, SK3: rows as CSV text."""
     t = table(spark, d, "classified_files").select("row_id", "source_system", "segments", "depth", "owner", "dup_is_latest")
@@ -305,4 +323,4 @@ def q1_flagship(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("inferred_type", "confidence_band").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k.split("_")[0] in ("m1 m2 m3 m4 m5 m7 m10 m11 r r10 d1 d3 d6 d13 d17 d20 d22 d23 d24 e1 e2 e7 c1 c3 c4 c5 c8 c9 c10 u1 u8 u9 u10 g a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12 sk2 q1".split())}
+QUERIES = {k: v for k, v in list(globals().items()) if k.split("_")[0] in ("m1 m2 m3 m4 m5 m7 m10 m11 r r10 d1 d3 d6 d13 d17 d20 d22 d23 d24 e1 e2 e7 c1 c3 c4 c5 c8 c9 c10 u1 u8 u9 u10 g a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12 sk2 q1 d19 j15 proj10".split())}

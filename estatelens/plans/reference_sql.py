@@ -182,6 +182,11 @@ SQL = {
     "d17_assigned": f"""WITH {_EST}, {_SCHEMES}, cho AS (SELECT folder_path, name, confidence, level - 1 AS depth FROM stat WHERE status = 'chosen'), pri AS (SELECT DISTINCT ON (name) name, folder_path AS scheme_path, confidence, depth FROM cho ORDER BY name, confidence DESC, depth, folder_path),
         mer AS (SELECT cho.folder_path, cho.name, pri.scheme_path, pri.confidence, pri.depth FROM cho JOIN pri USING (name)), hit AS (SELECT DISTINCT ON (row_id) row_id, name, scheme_path, confidence, depth FROM pre JOIN mer ON path = folder_path ORDER BY row_id, level)
         SELECT e.row_id, coalesce(name, '') AS entity_scheme, CAST(coalesce(depth, -1) AS INT) AS entity_scheme_depth, coalesce(scheme_path, '') AS entity_scheme_path, coalesce(confidence, 0.0) AS entity_scheme_confidence FROM est e LEFT JOIN hit USING (row_id)""",
+    "d19_sidecar": f"""WITH {_EST}, {_SCHEMES}, u AS (SELECT folder_path, status, unique_entities, direct_plot_children, n_dev FROM stat UNION ALL SELECT folder_path, excluded_by, unique_entities, direct_plot_children, n_dev FROM cand WHERE excluded_by IS NOT NULL)
+        SELECT folder_path, status, concat_ws('; ', format('entities {{:d}}: {{}}', unique_entities, CASE WHEN unique_entities >= 5 THEN '0.85' ELSE '0.70' END), CASE WHEN direct_plot_children > 0 THEN 'plots beneath: +0.10' END, CASE WHEN n_dev >= 3 THEN format('categories {{:d}}: +0.10', n_dev) END, 'status ' || status) AS trace FROM u""",
+    "j15_tree_status": f"""WITH {_EST}, {_SCHEMES}, u AS (SELECT folder_path, status, confidence FROM stat UNION ALL SELECT folder_path, excluded_by, 0.0 FROM cand WHERE excluded_by IS NOT NULL)
+        SELECT fs.folder_path, file_count, status AS scheme_status, u.confidence AS scheme_confidence FROM fs LEFT JOIN u USING (folder_path) WHERE level BETWEEN 2 AND 4""",
+    "proj10_entity_types": f"WITH {_EST} SELECT row_id, concat_ws(', ', CASE WHEN entity_scheme <> '' THEN 'scheme' END, CASE WHEN entity_address <> '' THEN 'address' END, CASE WHEN entity_plot <> '' THEN 'plot' END) AS entity_types, 'Estate X' AS source_system, '/root' AS root_prefix FROM est",
     "d20_hierarchy": f"""WITH {_EST}, r1 AS (SELECT *, entity_scheme <> '' AND entity_scheme_depth >= 0 AS hs FROM est), r2 AS (SELECT *, hs AND entity_plot <> '' AND entity_plot_depth <= entity_scheme_depth AS po, hs AND entity_address <> '' AND entity_address_depth <= entity_scheme_depth AS ao FROM r1),
         r3 AS (SELECT row_id, CASE WHEN po THEN '' ELSE entity_plot END AS entity_plot, CASE WHEN po THEN -1 ELSE entity_plot_depth END AS entity_plot_depth, po AND entity_plot = entity_scheme AS entity_plot_is_scheme_name, CASE WHEN ao THEN '' ELSE entity_address END AS ad, CASE WHEN ao THEN -1 ELSE entity_address_depth END AS dd, ao AND entity_address = entity_scheme AS entity_address_is_scheme_name FROM r2),
         r4 AS (SELECT *, entity_plot <> '' AND entity_plot_depth >= 0 AND ad <> '' AND dd >= 0 AND entity_plot_depth > dd AS x FROM r3)
