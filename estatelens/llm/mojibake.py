@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -142,20 +143,25 @@ class Model:
     def __init__(self, pairs: np.ndarray, letters: np.ndarray, weights: dict[str | None, dict[tuple, float]]):
         self.pairs, self.letters, self.weights = pairs, letters, weights
         self.total = float(letters.sum()) + 1.0
+        # per pair its count, per letter its share, minus its log, and the log of what a pair with it is divided by
+        share = (letters + 0.01) / self.total
+        self._pair, self._share, self._rare, self._below = (array("d", x.tobytes()) for x in (pairs, 5.0 * share, -np.log(share), np.log(letters + 5.0)))
         self.kept: dict[str, tuple[float, list]] = {}
+        self.kept_forced: dict[tuple[str, tuple], float] = {}
 
     def likelihood(self, s: str) -> float:
         """Log likelihood of the letters of ``s`` after its first."""
-        pairs, codes = _pairs(s)
-        out = 0.0
-        for i, p in enumerate(pairs):
-            single = (self.letters[codes[i + 1]] + 0.01) / self.total
-            out += math.log((self.pairs[p] + 5.0 * single) / (self.letters[codes[i]] + 5.0))
+        out, log, pair, share, below = 0.0, math.log, self._pair, self._share, self._below
+        a = ord(s[0])
+        for c in s[1:]:
+            b = ord(c)
+            out += log(pair[((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) >> 7 & BIGRAMS - 1] + share[b & LETTERS - 1]) - below[a & LETTERS - 1]
+            a = b
         return out
 
     def rarity(self, run: str) -> float:
         """Negative log probability of the letters by themselves."""
-        return -sum(math.log((self.letters[ord(c) & LETTERS - 1] + 0.01) / self.total) for c in run)
+        return sum([self._rare[ord(c) & LETTERS - 1] for c in run])
 
     def gains(self, context: str) -> list[tuple[tuple, str, float]]:
         """(cipher, restored run, gain in log likelihood) of a run in its context."""
@@ -178,13 +184,20 @@ class Model:
 
     def forced(self, context: str, cipher: tuple) -> float:
         """Gain of undoing a run by a cipher however unlikely by itself; minus infinity if it cannot be undone."""
-        text: str | None = context[1:-1]
+        known = self.kept_forced.get((context, cipher))
+        if known is not None:
+            return known
+        run = context[1:-1]
+        text: str | None = run
         for step in cipher:
             text = undo(text, step) if text else None
-        if not text:
-            return float("-inf")
-        run = context[1:-1]
-        return self.likelihood(context[0] + text + context[-1]) - self.likelihood(context) + RARITY * (self.rarity(run) / len(run) * len(text) - self.rarity(text))
+        gain = float("-inf")
+        if text:
+            gain = self.likelihood(context[0] + text + context[-1]) - self.likelihood(context) + RARITY * (self.rarity(run) / len(run) * len(text) - self.rarity(text))
+        if len(self.kept_forced) >= 200_000:
+            self.kept_forced.clear()
+        self.kept_forced[(context, cipher)] = gain
+        return gain
 
     def weight(self, source: str | None, cipher: tuple) -> float:
         """Log weight of a cipher against text as it stands."""
