@@ -20,7 +20,7 @@ def heavy_keys(df: DataFrame, keys: list[str], heavy_share: float) -> DataFrame:
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = df.agg(F.count(F.lit(1)).alias("__total"))
-    return counts.join(F.broadcast(total), F.col("__n") >= F.col("__total") * heavy_share).select(*keys, "__n")  # total is one row
+    return counts.filter(F.col("__n") >= total.scalar() * heavy_share).select(*keys, "__n")
 
 
 def salted_aggregate(
