@@ -109,7 +109,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: str = "n_tokens", seed
     schedule = blocks.join(slots, ["source", "k"]).select("doc_id", "source", F.col("repeat").cast("int").alias("repeat_no"), "slot", F.col("n").alias("n_tokens"))
     chosen = schedule.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_uses"), F.countDistinct("doc_id").alias("n_documents"), F.max("repeat_no").alias("last_repeat"))
     whole = chosen.agg(F.sum("tokens").alias("all_tokens"))
-    shares = plan.join(chosen, "source", "left").join(F.broadcast(whole), F.lit(True), "left").select(
+    shares = plan.join(chosen, "source", "left").withColumn("all_tokens", whole.scalar()).select(
         "source", "target_share", "max_repeats", F.col("size").alias("available_tokens"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_uses", F.lit(0)).alias("n_uses"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce(F.col("last_repeat") + 1, F.lit(0)).alias("repeats"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share")
     )
     return schedule, shares
