@@ -135,7 +135,8 @@ def neighbours(left: DataFrame, right: DataFrame, block: str | None = None) -> D
     keys = [block] if block else []
     a = left.select(*keys, F.col("word").alias("w"), F.explode(deletions(F.col("word"))).alias("__cut"))
     b = right.select(*keys, F.col("word").alias("v"), F.explode(deletions(F.col("word"))).alias("__cut"))
-    met = a.join(b, [*keys, "__cut"]).select(*keys, "w", "v").distinct()
+    # the planner does not see how much the deletions add to a table, so it is kept from broadcasting them
+    met = a.join(b.hint("merge"), [*keys, "__cut"]).select(*keys, "w", "v").distinct()
     return met.withColumn("d", edits(F.col("w"), F.col("v"))).filter("d <= 1")
 
 
