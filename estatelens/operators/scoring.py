@@ -7,13 +7,15 @@ row is never exploded.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.config import Config
 from estatelens.functions.text import clamp
 from estatelens.operators.matching import ABBREVIATION, FUZZY, PATTERN, TOKEN, category_hits, entity_confidence, entity_hits, extension_hits, texts_of, type_hits
-from estatelens.session import cut
+from estatelens.session import checkpoint_dir, cut
 
 _TYPE = "array<struct<label:string,depth:int,layer:int,weight:double,ord:int>>"
 
@@ -28,11 +30,16 @@ def _weight(config: Config, role: str) -> Column:
 
 def text_signals(files: DataFrame, config: Config) -> dict[str, DataFrame]:
     """Type, category and entity hits of all distinct folder names and stems of ``files`` (segments, filename_stem)."""
-    folders = texts_of((files.select(F.explode("segments").alias("s")), F.col("s")))
-    stems = texts_of((files, F.col("filename_stem")))
-    types, categories = cut(type_hits(folders, config)), cut(category_hits(folders, config))
-    organisational = types.select("text").unionAll(categories.select("text"))
-    return {"folder_types": types, "categories": categories, "entities": cut(entity_hits(folders, config, organisational)), "stem_types": cut(type_hits(stems, config))}
+    checkpoint_dir(files.sparkSession)
+    # the steps are many small jobs that do not wait for each other
+    with ThreadPoolExecutor(3) as pool:
+        sides = [(files.select(F.explode("segments").alias("s")), F.col("s")), (files, F.col("filename_stem"))]
+        folders, stems = pool.map(texts_of, sides)
+        stem_types = pool.submit(lambda: cut(type_hits(stems, config)))
+        types, categories = pool.map(lambda find: cut(find(folders, config)), (type_hits, category_hits))
+        organisational = types.select("text").unionAll(categories.select("text"))
+        entities = cut(entity_hits(folders, config, organisational))
+        return {"folder_types": types, "categories": categories, "entities": entities, "stem_types": stem_types.result()}
 
 
 def folder_signals(files: DataFrame, signals: dict[str, DataFrame], config: Config) -> DataFrame:
