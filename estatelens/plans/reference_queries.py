@@ -32,6 +32,11 @@ def _estate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    """Means to ten decimals: the order in which doubles are added is not fixed."""
+    return df.withColumns({c: F.round(c, 10) for c in columns})
+
+
 def _stems(spark: SparkSession, d: str) -> DataFrame:
     e = _estate(spark, d)
     return matching.texts_of((e, F.col("filename_stem")))
@@ -157,7 +162,7 @@ def d20_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 def d22_tree(spark: SparkSession, d: str) -> DataFrame:
     """D22, J12."""
-    return folders.folder_tree(_estate(spark, d))
+    return _round(folders.folder_tree(_estate(spark, d)), "mean_confidence")
 
 
 def d23_leaves(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +171,7 @@ def d23_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d24_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return folders.leaf_conflicts(_estate(spark, d)).select("folder_path", "n_files", "top_count", "n_values", "conflict", "mean_confidence")
+    return _round(folders.leaf_conflicts(_estate(spark, d)), "mean_confidence").select("folder_path", "n_files", "top_count", "n_values", "conflict", "mean_confidence")
 
 
 def e1_addresses(spark: SparkSession, d: str) -> DataFrame:
@@ -256,11 +261,11 @@ def a1_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a2_addresses(spark: SparkSession, d: str) -> DataFrame:
-    return reports.entity_report(_estate(spark, d), "entity_address", {"entity_plot": 2, "inferred_type": 3})
+    return _round(reports.entity_report(_estate(spark, d), "entity_address", {"entity_plot": 2, "inferred_type": 3}), "mean_confidence")
 
 
 def a3_plots(spark: SparkSession, d: str) -> DataFrame:
-    return reports.entity_report(_estate(spark, d), "entity_plot", {"entity_scheme": 1})
+    return _round(reports.entity_report(_estate(spark, d), "entity_plot", {"entity_scheme": 1}), "mean_confidence")
 
 
 def a4_schemes(spark: SparkSession, d: str) -> DataFrame:
@@ -290,7 +295,7 @@ def a9_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a10_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return reports.scheme_summary(_estate(spark, d))
+    return _round(reports.scheme_summary(_estate(spark, d)), "mean", "median")
 
 
 def a11_types(spark: SparkSession, d: str) -> DataFrame:

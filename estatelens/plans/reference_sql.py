@@ -153,7 +153,7 @@ _NOISE = r"length(x) <= 1 OR regexp_full_match(x, '\d+') OR regexp_full_match(x,
 
 def _report(by: str, tops: dict[str, int]) -> str:
     joins = " ".join(f"LEFT JOIN {_TOPN.format(by=by, v=v, n=n)} t{i} USING ({by})" for i, (v, n) in enumerate(tops.items()))
-    return f"WITH {_EST}, base AS (SELECT {by}, count(*) AS n_files, count(DISTINCT source_system) AS n_estates, avg(overall_confidence) AS mean_confidence FROM est WHERE {by} <> '' GROUP BY 1) SELECT base.*, {', '.join(f'''coalesce(top_{v}, '') AS top_{v}''' for v in tops)} FROM base {joins}"
+    return f"WITH {_EST}, base AS (SELECT {by}, count(*) AS n_files, count(DISTINCT source_system) AS n_estates, round(avg(overall_confidence), 10) AS mean_confidence FROM est WHERE {by} <> '' GROUP BY 1) SELECT base.*, {', '.join(f'''coalesce(top_{v}, '') AS top_{v}''' for v in tops)} FROM base {joins}"
 
 
 _FLAG_EST = rf"""{_LISTING_SQL}, {_REASON_SQL}, kept AS (SELECT row_id, full_path FROM reasoned WHERE removal_reason IS NULL), {_PARTS_SQL},
@@ -191,13 +191,13 @@ SQL = {
         r3 AS (SELECT row_id, CASE WHEN po THEN '' ELSE entity_plot END AS entity_plot, CASE WHEN po THEN -1 ELSE entity_plot_depth END AS entity_plot_depth, po AND entity_plot = entity_scheme AS entity_plot_is_scheme_name, CASE WHEN ao THEN '' ELSE entity_address END AS ad, CASE WHEN ao THEN -1 ELSE entity_address_depth END AS dd, ao AND entity_address = entity_scheme AS entity_address_is_scheme_name FROM r2),
         r4 AS (SELECT *, entity_plot <> '' AND entity_plot_depth >= 0 AND ad <> '' AND dd >= 0 AND entity_plot_depth > dd AS x FROM r3)
         SELECT row_id, entity_plot, entity_plot_depth, entity_plot_is_scheme_name, CASE WHEN x THEN '' ELSE ad END AS entity_address, CASE WHEN x THEN -1 ELSE dd END AS entity_address_depth, entity_address_is_scheme_name FROM r4""",
-    "d22_tree": f"""WITH {_EST}, {_PREFIX}, fo AS (SELECT path AS folder_path, level, count(*) AS file_count, sum(overall_confidence) / count(*) AS mean_confidence, max(CASE WHEN entity_address <> '' AND entity_address_depth = level - 1 THEN entity_address END) AS ex FROM pre GROUP BY 1, 2),
+    "d22_tree": f"""WITH {_EST}, {_PREFIX}, fo AS (SELECT path AS folder_path, level, count(*) AS file_count, round(sum(overall_confidence) / count(*), 10) AS mean_confidence, max(CASE WHEN entity_address <> '' AND entity_address_depth = level - 1 THEN entity_address END) AS ex FROM pre GROUP BY 1, 2),
         up AS (SELECT f.folder_path, arg_max(a.ex, a.level) AS cascaded FROM fo f JOIN fo a ON a.ex IS NOT NULL AND (f.folder_path = a.folder_path OR starts_with(f.folder_path, a.folder_path || chr(92))) WHERE f.level BETWEEN 2 AND 4 GROUP BY 1)
         SELECT folder_path, CAST(level AS INT) AS level, file_count, mean_confidence, coalesce(ex, '') AS exact_address, coalesce(cascaded, '') AS cascaded_address FROM fo LEFT JOIN up USING (folder_path) WHERE level BETWEEN 2 AND 4""",
     "d23_leaves": f"WITH {_EST}, {_PREFIX}, fo AS (SELECT DISTINCT path, level FROM pre), pa AS (SELECT DISTINCT left(path, length(path) - length(string_split(path, chr(92))[-1]) - 1) AS p FROM fo WHERE level > 1) SELECT path AS folder_path FROM fo WHERE path NOT IN (SELECT p FROM pa)",
     "d24_conflicts": f"""WITH {_EST}, {_PREFIX}, fo AS (SELECT DISTINCT path, level FROM pre), pa AS (SELECT DISTINCT left(path, length(path) - length(string_split(path, chr(92))[-1]) - 1) AS p FROM fo WHERE level > 1), lf AS (SELECT path FROM fo WHERE path NOT IN (SELECT p FROM pa)),
         ro AS (SELECT array_to_string(segments, chr(92)) AS path, nullif(entity_address, '') AS v, overall_confidence AS c FROM est WHERE len(segments) > 0), cn AS (SELECT path, v, count(*) AS n, sum(c) AS c FROM ro JOIN lf USING (path) GROUP BY 1, 2)
-        SELECT path AS folder_path, sum(n)::BIGINT AS n_files, coalesce(max(n) FILTER (v IS NOT NULL), 0) AS top_count, count(v) AS n_values, count(v) > 1 AS conflict, sum(c) / sum(n) AS mean_confidence FROM cn GROUP BY 1""",
+        SELECT path AS folder_path, sum(n)::BIGINT AS n_files, coalesce(max(n) FILTER (v IS NOT NULL), 0) AS top_count, count(v) AS n_values, count(v) > 1 AS conflict, round(sum(c) / sum(n), 10) AS mean_confidence FROM cn GROUP BY 1""",
     "c1_pool": f"WITH {_EST}, {_POOL} SELECT value, count FROM pool",
     "c3_links": f"WITH {_EST}, {_POOL}, {_LINKS} SELECT a, b, similarity FROM links",
     "c4_groups": f"WITH RECURSIVE {_EST}, {_POOL}, {_LINKS}, {_COMP} SELECT node, root FROM comp",
@@ -230,7 +230,7 @@ SQL = {
     "a9_tokens": f"""WITH {_EST}, src AS (SELECT coalesce(segments[1], '') AS project, unnest(segments) AS text, 1 AS f, 0 AS n FROM est UNION ALL SELECT coalesce(segments[1], ''), filename_stem, 0, 1 FROM est),
         k AS (SELECT project, f, n, list_filter({tokens('text')}, lambda x: NOT ({_NOISE})) AS k FROM src), ph AS (SELECT project, f, n, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term FROM k)
         SELECT term, sum(f)::BIGINT AS folder_count, sum(n)::BIGINT AS file_count, count(DISTINCT project) AS n_projects, term IN ({', '.join(_q(x) for x in sorted({t for d in _C.types for t in (*d.tokens, *d.abbreviations)} | {t for d in _C.categories for t in (*d.signals, *d.aliases)} | {t for d in _C.entities for t in (*d.tokens, *d.abbreviations)}))}) AS is_known FROM ph GROUP BY 1 HAVING sum(f) + sum(n) >= 2""",
-    "a10_confidence": f"WITH {_EST} SELECT entity_scheme <> '' AS in_scheme, count(*) AS n_files, avg(overall_confidence) AS mean, median(overall_confidence) AS median, min(overall_confidence) AS least, max(overall_confidence) AS greatest FROM est GROUP BY 1",
+    "a10_confidence": f"WITH {_EST} SELECT entity_scheme <> '' AS in_scheme, count(*) AS n_files, round(avg(overall_confidence), 10) AS mean, round(median(overall_confidence), 10) AS median, min(overall_confidence) AS least, max(overall_confidence) AS greatest FROM est GROUP BY 1",
     "a11_types": f"WITH {_EST} SELECT inferred_type, count(*) AS n_files, count(DISTINCT source_system) AS n_estates FROM est GROUP BY 1",
     "a12_top": f"WITH {_EST}, t AS (SELECT inferred_type, count(*) AS n_files, count(DISTINCT source_system) AS n_estates FROM est WHERE inferred_type IS NOT NULL GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY n_files DESC, inferred_type) AS INT) AS position FROM t ORDER BY n_files DESC, inferred_type LIMIT 10",
     "sk2_csv": "SELECT CAST(row_id AS VARCHAR) AS \"Row\", coalesce(source_system, '') AS source_system, coalesce(array_to_string(segments, ' | '), '') AS \"Folders\", coalesce(CAST(depth AS VARCHAR), '') AS depth, coalesce(owner, '') AS owner, coalesce(CAST(dup_is_latest AS VARCHAR), '') AS dup_is_latest, '' AS absent FROM classified_files",
