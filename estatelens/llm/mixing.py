@@ -7,7 +7,8 @@ others in proportion to their targets until all is placed (water filling).
 
 In which order: slots of equal size are dealt to sources by a low-discrepancy sequence. Slot i
 lies at frac((i + 1) / golden ratio) on the line of cumulative shares, so every prefix of the
-schedule has nearly the target shares. The k-th slot of a source takes its k-th block of shuffled documents of
+schedule has nearly the target shares. A source whose share no point meets, as slots are few or the share is narrow,
+gets one slot behind the others. The k-th slot of a source takes its k-th block of shuffled documents of
 about equal tokens; the repeats of a source are further passes over its blocks.
 
 Running sums are taken in two levels (hash buckets of bounded size, then within a bucket), so no source is ever
@@ -90,6 +91,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: str = "n_tokens", seed
     per_chunk = slots.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("c"))
     offsets = per_chunk.select("source", "chunk", (F.sum("c").over(Window.partitionBy("source").orderBy("chunk")) - F.col("c")).alias("base"))
     slots = slots.join(offsets, ["source", "chunk"]).withColumn("k", F.col("base") + F.row_number().over(Window.partitionBy("source", "chunk").orderBy("id")) - 1).select("source", "k", F.col("id").alias("slot"))
+    # a share that none of the points met gets one slot behind the others, so that no source that is due tokens is lost
+    unmet = plan.filter("tokens_due > 0").join(per_chunk, "source", "left_anti")
+    slots = slots.unionByName(unmet.select("source", F.lit(0).cast("bigint").alias("k"), (F.lit(n_slots) + F.row_number().over(Window.orderBy("source")) - 1).cast("bigint").alias("slot")))  # at most one row per target
 
     # documents: place of each in its source's shuffled sequence
     shuffled = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))

@@ -45,6 +45,20 @@ def test_repeats_are_capped(spark):
     assert Counter(r["source"] for r in schedule.collect())["c"] == 60
 
 
+@pytest.mark.parametrize("block, total", [(100_000, None), (10, 2000.0)])
+def test_every_due_source_gets_a_slot(spark, block, total):
+    """Few slots for the sources, and a share narrower than the gaps between the points."""
+    names = [f"s{i:02}" for i in range(12)]
+    rows = [(100 * i + j, s, 10) for i, s in enumerate(names) for j in range(30)]
+    goals = [(s, 0.09 if s != "s05" else 0.01, 1) for s in names]
+    schedule, shares = mix(spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens int"), spark.createDataFrame(goals, TARGETS), block=block, total=total)
+    report = {r["source"]: r for r in shares.collect()}
+    for s, share, _ in goals:
+        assert report[s]["tokens"] > 0 and report[s]["actual_share"] == pytest.approx(share, abs=0.005)
+    rows = schedule.collect()
+    assert {r["source"] for r in rows} == set(names) and len({(r["source"], r["slot"]) for r in rows}) == len({r["slot"] for r in rows})
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     schedule, shares = mix(documents(spark).limit(0), targets)
