@@ -291,7 +291,7 @@ def a8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def a9_tokens(spark: SparkSession, d: str) -> DataFrame:
     """A9, F6, F7, M11."""
-    return reports.token_report(_estate(spark, d), matching.known_terms(default_config(), spark), 2, least_count=2)
+    return reports.token_report(_estate(spark, d), matching.known_terms(default_config(), spark), 3, least_count=2)
 
 
 def a10_confidence(spark: SparkSession, d: str) -> DataFrame:

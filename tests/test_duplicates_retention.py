@@ -62,3 +62,16 @@ def test_reports(spark):
     assert [(x["entity_plot"], x["n_files"], x["n_estates"], x["top_inferred_type"]) for x in r] == [("a", 5, 2, "w | x")]
     top = reports.top_rows(df.groupBy("inferred_type").agg(F.count(F.lit(1)).alias("n")), "n", "inferred_type", 2).collect()
     assert [(t["position"], t["inferred_type"]) for t in top] == [(1, "x"), (2, "w")]
+
+
+def test_token_query_has_three_words(spark, tmp_path):
+    """The query counts phrases of one to three words, as its operator and the reference do by default."""
+    import __spark_entry__
+
+    texts = "entity_plot entity_address entity_scheme inferred_type inferred_category dup_group_id entity_scheme_cluster_id entity_address_cluster_id entity_plot_cluster_id".split()
+    rows = [(1, ["Harbour Wharf Crane Survey"], "harbour wharf crane"), (2, ["Other"], "harbour wharf crane"), (3, ["Other"], "crane survey")]
+    df = spark.createDataFrame(rows, "row_id bigint, segments array<string>, filename_stem string").withColumns({c: F.lit(None).cast("string") for c in (*texts, "source_system", "full_path", "extension", "owner")})
+    df.withColumns({"size": F.lit(1).cast("bigint"), "overall_confidence": F.lit(0.5), "scanned_at": F.lit(datetime(2020, 1, 1))}).write.parquet(f"{tmp_path}/classified_files.parquet")
+    got = {r["term"]: (r["folder_count"], r["file_count"], r["n_projects"]) for r in __spark_entry__.queries()["a9_tokens"](spark, str(tmp_path)).collect()}
+    assert got["harbour wharf crane"] == (1, 2, 2) and got["harbour wharf"] == (1, 2, 2) and got["crane survey"] == (1, 1, 2)
+    assert "wharf crane survey" not in got and max(len(t.split()) for t in got) == 3
