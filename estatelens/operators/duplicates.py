@@ -95,16 +95,18 @@ def copy_keyword_counts(files: DataFrame, weights: dict | None = None) -> DataFr
 
 
 def folder_overlaps(files: DataFrame, most_spread: int = 50, least_files: int = 5, threshold: float = 0.5) -> DataFrame:
-    """Pairs of folders that share files by (stem, extension, size): shared count and Jaccard lower bound.
+    """Pairs of folders that share files by (stem, extension) in lower case, whatever their size: shared count and Jaccard lower bound.
 
-    A signature that occurs in more than ``most_spread`` folders adds nothing to the shared count (it stays in the
-    union), which is part of the definition of this report.
+    Folders with fewer than ``least_files`` such files take no part. A signature that occurs in more than ``most_spread``
+    of the others adds nothing to the shared count (it stays in the union), which is part of the definition of this report.
     """
     folder = F.array_join("segments", BS)
-    items = files.filter(F.size("segments") > 0).select(folder.alias("folder"), duplicate_key(F.col("filename_stem"), F.col("extension"), F.col("size")).alias("sig")).filter("sig IS NOT NULL").distinct()
+    sig = F.concat_ws("|", F.lower("filename_stem"), F.lower(F.coalesce("extension", F.lit(""))))
+    items = files.filter((F.size("segments") > 0) & (F.col("filename_stem") != "")).select(folder.alias("folder"), sig.alias("sig")).distinct()
     sizes = items.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_files)
-    spread = items.groupBy("sig").agg(F.count(F.lit(1)).alias("spread")).filter((F.col("spread") > 1) & (F.col("spread") <= most_spread)).select("sig")
-    kept = items.join(spread, "sig").join(sizes, "folder")
+    inside = items.join(sizes, "folder")
+    spread = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("spread")).filter((F.col("spread") > 1) & (F.col("spread") <= most_spread)).select("sig")
+    kept = inside.join(spread, "sig")
     a, b = kept.select("sig", F.col("folder").alias("folder_a"), F.col("n").alias("n_a")), kept.select("sig", F.col("folder").alias("folder_b"), F.col("n").alias("n_b"))
     pairs = a.join(b, "sig").filter("folder_a < folder_b").groupBy("folder_a", "folder_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
     score = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))

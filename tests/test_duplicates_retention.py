@@ -75,3 +75,18 @@ def test_token_query_has_three_words(spark, tmp_path):
     got = {r["term"]: (r["folder_count"], r["file_count"], r["n_projects"]) for r in __spark_entry__.queries()["a9_tokens"](spark, str(tmp_path)).collect()}
     assert got["harbour wharf crane"] == (1, 2, 2) and got["harbour wharf"] == (1, 2, 2) and got["crane survey"] == (1, 1, 2)
     assert "wharf crane survey" not in got and max(len(t.split()) for t in got) == 3
+
+
+def test_folder_overlap_ignores_size(spark):
+    """Other sizes, unknown sizes and names without a-z0-9 count; blank stems do not."""
+    names = [("Plan", "5", "6"), ("letter", None, "7"), ("\u0430\u043a\u0442", "1", "1"), ("n3", "5", "5"), ("---", "5", "5"), ("", "5", "5"), (None, "5", "5")]
+    rows = [(i, "E", ["p"], s, "TXT", a, None, None) for i, (s, a, _) in enumerate(names)] + [(10 + i, "E", ["q"], s and s.lower(), "txt", b, None, None) for i, (s, _, b) in enumerate(names)]
+    got = [tuple(r) for r in duplicates.folder_overlaps(spark.createDataFrame(rows, FILES)).select("folder_a", "folder_b", "n_a", "n_b", "shared").collect()]
+    assert got == [("p", "q", 5, 5, 5)]
+
+
+def test_folder_spread_counts_qualifying_folders(spark):
+    """A name in 60 folders of which 30 have enough files is not too widely spread."""
+    rows = [(i, "E", [f"f{i:02}"], "common", "txt", "5", None, None) for i in range(60)] + [(100 + i, "E", [f"f{i:02}"], "other", "txt", "5", None, None) for i in range(30)]
+    got = duplicates.folder_overlaps(spark.createDataFrame(rows, FILES), least_files=2).collect()
+    assert len(got) == 30 * 29 // 2 and {r["shared"] for r in got} == {2}
