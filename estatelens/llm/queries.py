@@ -11,8 +11,8 @@ from estatelens.llm.encode import load_vocabulary, token_count, token_ids
 from estatelens.llm.formatting import copies
 from estatelens.llm.mixing import mix
 from estatelens.llm.mojibake import affected, learn, restored
-from estatelens.llm.setjoin import similar_pairs, word_set
-from estatelens.llm.survivors import field_sources, survivors
+from estatelens.llm.setjoin import link_counts, similar_pairs, word_set
+from estatelens.llm.survivors import ABSENT, LAST, RANKS, STAND_INS, field_sources, survivors, survivors_by_arrival
 from estatelens.session import table
 
 
@@ -26,6 +26,11 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors(table(spark, d, "classified_files"), table(spark, d, "estates"))
 
 
+def p3_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Address and scheme of the surviving record per group where the row loaded last is the best."""
+    return survivors_by_arrival(table(spark, d, "classified_files")).select("dup_group_id", "n_rows", "entity_scheme", "entity_scheme_row_id", "entity_address", "entity_address_canonical", "entity_address_row_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Records written at least twice, with their number of copies."""
     return copies(table(spark, d, "jsonl_lines"))
@@ -40,6 +45,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(_path_sets(spark, d), 7, 10).select(F.col("id_a").alias("path_id_a"), F.col("id_b").alias("path_id_b"))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Class of equal sets of every path and the number of other classes that are similar to it."""
+    return link_counts(_path_sets(spark, d), 7, 10).select(F.col("id").alias("path_id"), "class_id", "n_links")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of address rows that denote the same place."""
     return same_place_pairs(table(spark, d, "address_rows")).select(F.col("id_a").alias("addr_id_a"), F.col("id_b").alias("addr_id_b"))
@@ -85,9 +95,32 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return restored(documents, learn(documents))
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_places": p6_places, "p7_found": p7_found, "p8_ids": p8_ids, "p9_schedule": p9_schedule, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p3_arrivals": p3_arrivals, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_places": p6_places, "p7_found": p7_found, "p8_ids": p8_ids, "p9_schedule": p9_schedule, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
+
+_USABLE = "CASE WHEN lower(regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) NOT IN ('', " + ", ".join(f"'{w}'" for w in STAND_INS) + ") THEN {c} END"
+_SETS = r"""w AS (SELECT path_id, trim(lower(unnest(segments))) AS t FROM file_paths UNION SELECT path_id, unnest(regexp_extract_all(lower(filename_stem), '[\p{L}\p{N}]+')) FROM file_paths)"""
 
 SQL = {
+    "p3_arrivals": f"""
+        WITH r AS (SELECT dup_group_id AS g, row_id, coalesce(-epoch_us(loaded_at), {LAST})::HUGEINT AS o, {_USABLE.format(c="entity_scheme")} AS s, {_USABLE.format(c="entity_address")} AS a, entity_address_canonical AS ac FROM classified_files WHERE dup_group_id <> ''),
+        n AS (SELECT g, count(*) AS n_rows FROM r GROUP BY g HAVING count(*) > 1),
+        sc AS (SELECT *, (o - min(o) OVER (PARTITION BY g)) * {RANKS} AS loss FROM (SELECT * FROM r WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g, s ORDER BY o, row_id) = 1)),
+        ad AS (SELECT *, (o - min(o) OVER (PARTITION BY g)) * {RANKS} AS loss FROM (SELECT * FROM r WHERE a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g, a ORDER BY o, row_id) = 1)),
+        f AS (SELECT g, a, s FROM r WHERE a IS NOT NULL AND s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g, a ORDER BY o, row_id) = 1),
+        gap AS (SELECT g, CASE WHEN g IN (SELECT g FROM sc) THEN {ABSENT}::HUGEINT ELSE 0 END AS no_s, CASE WHEN g IN (SELECT g FROM ad) THEN {ABSENT}::HUGEINT ELSE 0 END AS no_a FROM n),
+        c AS (SELECT ad.g, ad.loss + sc.loss AS loss, ad.row_id AS ar, sc.row_id AS sr, sc.s, ad.a, ad.ac FROM ad JOIN f ON f.g = ad.g AND f.a = ad.a JOIN sc ON sc.g = f.g AND sc.s = f.s
+              UNION ALL SELECT ad.g, loss + no_s, row_id, NULL, NULL, a, ac FROM ad JOIN gap ON gap.g = ad.g
+              UNION ALL SELECT sc.g, loss + no_a, NULL, row_id, s, NULL, NULL FROM sc JOIN gap ON gap.g = sc.g
+              UNION ALL SELECT g, no_s + no_a, NULL, NULL, NULL, NULL, NULL FROM gap)
+        SELECT c.g AS dup_group_id, n_rows, s AS entity_scheme, sr AS entity_scheme_row_id, a AS entity_address, ac AS entity_address_canonical, ar AS entity_address_row_id FROM c JOIN n ON n.g = c.g
+        QUALIFY row_number() OVER (PARTITION BY c.g ORDER BY loss, coalesce(ar, {LAST}), coalesce(sr, {LAST})) = 1""",
+    "p5_links": f"""
+        WITH {_SETS},
+        k AS (SELECT path_id, list_sort(list(t)) AS s FROM w WHERE t <> '' GROUP BY 1), c AS (SELECT s, min(path_id) AS c FROM k GROUP BY 1),
+        e AS (SELECT c, unnest(s) AS t, len(s) AS n FROM c),
+        i AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.t = b.t AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))),
+        l AS (SELECT a, count(*) AS n FROM i GROUP BY a)
+        SELECT p.path_id, c.c AS class_id, coalesce(l.n, 0) AS n_links FROM file_paths p LEFT JOIN k ON k.path_id = p.path_id LEFT JOIN c ON c.s = k.s LEFT JOIN l ON l.a = c.c""",
     "p7_found": """
         WITH RECURSIVE e AS (
           SELECT DISTINCT lower(trim(left_cluster_id)) AS a, lower(trim(right_cluster_id)) AS b FROM cluster_links
