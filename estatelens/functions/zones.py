@@ -1,14 +1,16 @@
 """Versioned zone transition tables.
 
 A table holds, for one IANA zone, the UTC second of every change of offset between
-1970 and 2100 with the offset and abbreviation that hold from then on. Tables are built
-from the machine's time-zone database; ``tz_version`` names its release so that a job can
-insist that every executor uses the release of the driver.
+1970 and 2100 with the offset and abbreviation that hold from then on. Changes that the zone's file lists are
+taken from there, those that its closing rule makes are found by probing behind them. ``tz_version`` names the release of
+the machine's time-zone database so that a job can insist that every executor uses the release of the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+import struct
 import zoneinfo
 from datetime import datetime, timezone
 from functools import lru_cache
@@ -27,9 +29,24 @@ class ZoneTable(NamedTuple):
     names: np.ndarray
 
 
+def _zone_file(name: str) -> bytes | None:
+    """Contents of a zone's file, of the system's database or else the packaged one."""
+    for folder in zoneinfo.TZPATH:
+        path = os.path.join(folder, *name.split("/"))
+        if os.path.isfile(path):
+            with open(path, "rb") as f:
+                return f.read()
+    try:
+        from importlib.resources import files
+
+        return files("tzdata.zoneinfo").joinpath(*name.split("/")).read_bytes()
+    except (ImportError, OSError):
+        return None
+
+
 @lru_cache(maxsize=1)
 def tz_version() -> str:
-    """Release of the zone database, or ``unversioned`` when the machine does not tell."""
+    """Release of the zone database; where the machine does not name it, a digest of its zones."""
     for folder in zoneinfo.TZPATH:
         for name in ("tzdata.zi", "+VERSION"):
             path = os.path.join(folder, name)
@@ -41,7 +58,21 @@ def tz_version() -> str:
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "unversioned"
+        digest = hashlib.sha256()
+        for name in sorted(zoneinfo.available_timezones()):
+            digest.update(name.encode() + (_zone_file(name) or b""))
+        return f"digest {digest.hexdigest()}"
+
+
+def listed_changes(name: str) -> list[int]:
+    """UTC seconds of the changes that a zone's file lists (TZif, its 64-bit part)."""
+    data = _zone_file(name) or b""
+    if data[:4] != b"TZif" or data[4:5] < b"2":
+        return []
+    utc, std, leap, times, types, chars = struct.unpack(">6l", data[20:44])
+    at = 44 + times * 5 + types * 6 + chars + leap * 8 + std + utc  # behind the 32-bit part
+    times = struct.unpack(">6l", data[at + 20 : at + 44])[3]
+    return list(struct.unpack(f">{times}q", data[at + 44 : at + 44 + 8 * times]))
 
 
 @lru_cache(maxsize=1024)
@@ -59,8 +90,13 @@ def zone_table(name: str | None) -> ZoneTable | None:
         return int(at.utcoffset().total_seconds()), at.tzname()
 
     rows = [(FIRST - 86400 * 366, *state(FIRST))]
-    before = state(FIRST)
-    for second in range(FIRST + STEP, LAST, STEP):
+    before, at = state(FIRST), FIRST
+    for second in [s for s in listed_changes(name) if FIRST < s < LAST]:
+        if (now := state(second)) != before:
+            rows.append((second, *now))
+            before = now
+        at = second
+    for second in range(at + STEP, LAST, STEP):
         now = state(second)
         if now != before:
             low, high = second - STEP, second

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.config import Config, EntityDef
-from estatelens.functions.text import DATES, MONTHS, NEW_NOTE, ORPHAN, PHASE, POSTCODE, WORD_EDGE, YEAR
+from estatelens.functions.text import DATES, NEW_NOTE, ORPHAN, PHASE, POSTCODE, WORD_EDGE, YEAR
 from estatelens.operators.matching import trigger_words
 
 #: Fixed values.
@@ -24,7 +24,7 @@ LINKS = frozenset({"&", "to", "and"})
 RANGE_GAP = 30
 _DATES = [re.compile(p, re.I) for p in DATES]
 _NOISE = [re.compile(p, re.I) for p in (NEW_NOTE, PHASE, YEAR)]
-_POSTCODE = re.compile(POSTCODE.replace("(?iu)", ""), re.I)
+_POSTCODE = re.compile(POSTCODE, re.I)
 _ORPHAN = re.compile(ORPHAN)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.functions import text as T
@@ -116,7 +116,7 @@ def t9_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t11_dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "classified_files").select("row_id", T.purge_dates(F.concat_ws(" ", "filename_stem", F.lit("12 May 2019 (2019-2020) 1.2.21 160219 March 2020"))).alias("v"))
+    return table(spark, d, "classified_files").select("row_id", T.purge_dates(_noted("filename_stem")).alias("v"))
 
 
 def t13_words(spark: SparkSession, d: str) -> DataFrame:
@@ -157,8 +157,8 @@ def n2_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t10_noise(spark: SparkSession, d: str) -> DataFrame:
-    """T10 on names without lone dashes."""
-    return table(spark, d, "classified_files").select("row_id", T.strip_scheme_noise(F.concat_ws(" ", "entity_scheme", F.lit("phase 3 new dec 20 may 2019 2020-2021 1999"))).alias("v"))
+    """Names with notes of many kinds."""
+    return table(spark, d, "classified_files").select("row_id", T.strip_scheme_noise(_noted("entity_scheme")).alias("v"))
 
 
 def t12_postcodes(spark: SparkSession, d: str) -> DataFrame:
@@ -185,13 +185,33 @@ def s8_paths(spark: SparkSession, d: str) -> DataFrame:
 
 _TOK = r"list_filter(list_transform(regexp_split_to_array(lower(coalesce({c}, '')), '[_ \t\r\n\f\v]+'), lambda x: trim(x, '()[]{{}}.,;:''\"!?#')), lambda x: x <> '')"
 _TRI = "CASE WHEN length(coalesce({c}, '')) > 0 THEN list_distinct(list_transform(range(1, length({c}) + 3), lambda i: substring('$$' || {c} || '$$', i, 3))) ELSE [] END"
-_DATES_SQL = "c"
-for _p in T.DATES:
-    _DATES_SQL = f"regexp_replace({_DATES_SQL}, '(?i){_p}', '', 'g')"
+# written from the operators' definition, independently of the patterns of the library
+_MONTH_SHORT = "(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)"
+_MONTH_LONG = "(january|jan|february|feb|march|mar|april|apr|may|june|jun|july|jul|august|aug|september|sept|sep|october|oct|november|nov|december|dec)"
+
+
+def _without(c: str, *patterns: str) -> str:
+    for p in patterns:
+        c = f"regexp_replace({c}, '(?i){p}', '', 'g')"
+    return c
+
+
+_DATES_SQL = _without("c", rf"\b\d\d?\s+{_MONTH_SHORT}\s+\d{{2,4}}\b", rf"\b{_MONTH_SHORT}\s+\d\d\d\d\b", r"\(\d\d\d\d[-–]\d\d\d\d\)", r"\b\d\d\d\d[-–]\d\d\d\d\b", r"\b\d\d?[./]\d\d?[./]\d{2,4}\b", r"\b\d\d\d\d\d\d\b")
+_NOISE_SQL = _without(
+    "c", rf"\bnew\s+(file\b[\s-]*|scheme\b|{_MONTH_LONG}(\s+\d{{2,4}})?)", r"\b(phase|ph\.|ph)\s*(\d+(\s*&\s*\d+)*|one|two|three|four|five|six|seven|eight|nine|ten)\b", rf"\b\d\d?\s+{_MONTH_LONG}\s+\d{{2,4}}\b", rf"\b{_MONTH_LONG}\s+\d{{2,4}}\b", r"\b\d\d\d\d\s*-\s*\d\d\d\d\b", r"\b(19|20)\d\d\b",
+)
+# notes and dates of many kinds, one for each row
+_NOTES = (
+    "may street", "march house", "3 may close", "april cottages phase two", "phase 1a liberty park", "1500-1600 mill lane", "2015–2016 barn", "1200-1300 wall", "(2015-16) yard", "2015 - 2016 hill", "3rd may 21", "12 May 2019 (2019-2020)", "1.2.21 160219 March 2020",
+    "phase 4 & 5 park", "Ph.2 new file - 11 May 21", "new scheme", "new dec 20", "PHASE TEN", "11 may 21", "Sept 2021", "sep 21", "1999 2101", "phase two2 x", "31/12/1999", "1/2/3 1.22.333", "newfile new filex", "(1999–2001)", "june 5 july 12345", "2020-2021-2022", "ph 3&4 & 5",
+)
+_NOTE_SQL = "[" + ", ".join(f"'{n}'" for n in _NOTES) + "][row_id % " + str(len(_NOTES)) + " + 1]"
+
+
+def _noted(c: str) -> Column:
+    """A column with a note behind it; which one depends on the row."""
+    return F.concat_ws(" ", c, F.element_at(F.array(*[F.lit(n) for n in _NOTES]), (F.col("row_id") % len(_NOTES) + 1).cast("int")))
 
-_NOISE_SQL = "c"
-for _p in (T.NEW_NOTE, T.PHASE, rf"\b(?:\d{{1,2}}\s+)?(?:{T.MONTHS})(?:\s+\d{{2,4}})?\b", r"\b(?:19|20)\d{2}\s*-\s*(?:19|20)?\d{2,4}\b", T.YEAR):
-    _NOISE_SQL = f"regexp_replace({_NOISE_SQL}, '(?i){_p}', '', 'g')"
 
 QUERIES = {k: v for k, v in list(globals().items()) if re.match(r"([fntos]|proj)\d+_|f_", k)}
 
@@ -227,7 +247,7 @@ SQL = {
         s AS (SELECT *, len(list_intersect(a, b)) AS i FROM g)
         SELECT row_id, CASE WHEN len(a) + len(b) - i > 0 THEN i / (len(a) + len(b) - i) ELSE 0.0 END AS jaccard, CASE WHEN least(len(a), len(b)) > 0 THEN i / least(len(a), len(b)) ELSE 0.0 END AS overlap FROM s""",
     "t9_values": r"SELECT row_id, trim(regexp_replace(translate(lower(entity_address), '`()[]{},;:''\"!?#@*/' || chr(92), ''), '[ \t\r\n]+', ' ', 'g')) AS v FROM classified_files",
-    "t11_dates": f"WITH x AS (SELECT row_id, concat_ws(' ', filename_stem, '12 May 2019 (2019-2020) 1.2.21 160219 March 2020') AS c FROM classified_files) SELECT row_id, trim(regexp_replace({_DATES_SQL}, '\\s+', ' ', 'g')) AS v FROM x",
+    "t11_dates": f"WITH x AS (SELECT row_id, concat_ws(' ', filename_stem, {_NOTE_SQL}) AS c FROM classified_files) SELECT row_id, trim(regexp_replace({_DATES_SQL}, '\\s+', ' ', 'g')) AS v FROM x",
     "t13_words": r"SELECT addr_id, CASE WHEN entity_address IS NULL THEN NULL ELSE coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(lower(entity_address), '\s+'), lambda x: trim(x, '.,;:''\"!?#()[]{}/')), lambda x: x <> ''), ' '), '') END AS v FROM address_rows",
     "t14_numeric": r"SELECT row_id, regexp_matches(filename_stem, '\d') AS has_digit FROM classified_files",
     "t18_sizes": "SELECT row_id, coalesce(size, -1) AS size_number, coalesce(try_cast(try_cast(owner AS DOUBLE) AS BIGINT), -1) AS owner_number FROM classified_files",
@@ -235,8 +255,10 @@ SQL = {
         SELECT token, length(token) <= 1 OR token IN ('the', 'and', 'for', 'copy') OR regexp_full_match(token, '\d+') OR regexp_full_match(token, '[vr]\d+')
           OR (length(token) >= 4 AND length(regexp_replace(token, '\D', '', 'g')) / length(token) > 0.6) AS noise FROM t""",
     "n2_dates": "SELECT row_id, CASE row_id % 4 WHEN 0 THEN strftime(scanned_at, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(scanned_at, '%Y-%m-%d %H:%M:00') WHEN 2 THEN strftime(scanned_at, '%Y-%m-%d 00:00:00') END AS at FROM classified_files",
-    "t10_noise": f"""WITH x AS (SELECT row_id, concat_ws(' ', entity_scheme, 'phase 3 new dec 20 may 2019 2020-2021 1999') AS c FROM classified_files)
-        SELECT row_id, trim(regexp_replace({_NOISE_SQL}, '\\s+', ' ', 'g')) AS v FROM x""",
+    "t10_noise": rf"""WITH x AS (SELECT row_id, concat_ws(' ', entity_scheme, {_NOTE_SQL}) AS c FROM classified_files),
+        y AS (SELECT row_id, string_split({_NOISE_SQL}, ' ') AS w FROM x),
+        z AS (SELECT row_id, list_filter(w, lambda p, i: NOT (p = '-' AND ((i = len(w) AND i > 1) OR (i = 1 AND len(w) > 1) OR (i > 1 AND i < len(w) AND w[i + 1] IN ('', '-'))))) AS w FROM y)
+        SELECT row_id, coalesce(array_to_string(list_filter(w, lambda p: p <> ''), ' '), '') AS v FROM z""",
     "t12_postcodes": r"SELECT addr_id, upper(regexp_extract(entity_address, '(?i)\b([A-Z]{1,2}\d{1,2}[A-Z]?\s*\d[A-Z]{2})\b', 1)) AS postcode FROM address_rows",
     "t16_human": """WITH s AS (SELECT row_id, CAST(trunc(size / 1024) AS BIGINT) * 1024 AS b, overall_confidence AS c FROM classified_files)
         SELECT row_id, CASE WHEN b IS NULL THEN '' WHEN b < 1024 THEN format('{:d} B', b) WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN format('{:.1f} MB', b / 1048576.0::DOUBLE) ELSE format('{:.1f} GB', b / 1073741824.0::DOUBLE) END AS size_text,

@@ -94,3 +94,22 @@ def test_zone_tables_agree_with_zoneinfo():
 @pytest.mark.parametrize("mask", ["aaa", "99:99", "9999-99-99", "", "9999-99-99a9"])
 def test_masks_without_parser(mask):
     assert parser_of(mask) is None
+
+
+def test_changes_of_a_zone_are_those_of_its_file():
+    import bisect
+    import random
+    import zoneinfo
+    from datetime import datetime, timezone
+
+    from estatelens.functions.zones import listed_changes, tz_version, zone_table
+
+    rnd = random.Random(5)
+    assert tz_version() and tz_version() != "unversioned"
+    for name in ("Europe/London", "America/New_York", "Africa/Casablanca", "Australia/Lord_Howe", "Asia/Kolkata", "UTC"):
+        table, zone = zone_table(name), zoneinfo.ZoneInfo(name)
+        near = [s + d for s in listed_changes(name) if s > 0 for d in (-1, 0, 1)] + [rnd.randrange(0, 4_102_000_000) for _ in range(300)]
+        for second in near:
+            at = datetime.fromtimestamp(second, timezone.utc).astimezone(zone)
+            i = bisect.bisect_right(list(table.starts), second) - 1
+            assert (int(at.utcoffset().total_seconds()), at.tzname()) == (table.offsets[i], table.names[i])
