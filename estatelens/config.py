@@ -246,21 +246,12 @@ def canonical_words(config: Config) -> list[str]:
     return sorted({w for t in config.types for p in t.tokens for w in p.split()} | {w for c in config.categories for p in c.signals for w in p.split()})
 
 
-def one_edit_variants(word: str) -> set[str]:
-    """Strings one deletion, insertion, substitution (a-z) or swap of neighbours away from a word."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
-    out = {a + b[1:] for a, b in cuts if b} | {a + c + b for a, b in cuts for c in letters} | {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
-    return out - {word}
+def one_letter_less(word: str) -> set[str]:
+    """A word and all its one-letter deletions."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
-def fuzzy_pairs(config: Config) -> list[tuple[str, str]]:
-    """(variant, canonical word); a variant of several words goes to the smallest, canonical words are no variants."""
-    known = canonical_words(config)
+def fuzzy_index(config: Config) -> list[tuple[str, str]]:
+    """(deletion, word) of all words that misspellings are looked up for: about as many rows a word as it has letters."""
     least = int(config.weight("fuzzy", "min_token_length"))
-    out: dict[str, str] = {}
-    for word in known:
-        if len(word) >= least:
-            for variant in one_edit_variants(word):
-                out.setdefault(variant, word)
-    return sorted((v, w) for v, w in out.items() if v not in set(known))
+    return sorted((cut, word) for word in canonical_words(config) if len(word) >= least for cut in one_letter_less(word))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from estatelens.config import Config
 from estatelens.functions.text import UNICODE, tokenise
 from estatelens.operators.ingest import BS
-from estatelens.operators.matching import category_hits, place_name_hit, texts_of, trigger_words, type_hits
+from estatelens.operators.matching import category_hits, place_texts, texts_of, trigger_words, type_hits
 from estatelens.session import cut
 
 
@@ -55,7 +55,7 @@ def direct_children(folders: DataFrame) -> DataFrame:
 
 
 def organisational_names(names: DataFrame, config: Config, types: DataFrame, categories: DataFrame) -> DataFrame:
-    """(name, is_organisational) of distinct folder names (name): named for a category or type, not for a place.
+    """(name, is_organisational, is_place) of distinct folder names (name): named for a category or type, not for a place.
 
     For names of four and more words, category aliases and single-word phrases of base-layer types do not count.
     """
@@ -66,8 +66,12 @@ def organisational_names(names: DataFrame, config: Config, types: DataFrame, cat
     joined = names.join(cats, F.col("name") == F.col("c_text"), "left").join(kinds, F.col("name") == F.col("t_text"), "left")
     by_category = F.col("c_text").isNotNull() & (~long_name | (F.col("c_phrase") == 1))
     by_type = F.col("t_text").isNotNull() & (~long_name | (F.col("t_strong") == 1))
-    place = place_name_hit(tokenise(F.col("name")), config.place_names)
-    return joined.select("name", (~place & (by_category | by_type)).alias("is_organisational"))
+    if config.place_names:
+        places = place_texts(names.select(F.col("name").alias("text"), tokenise(F.col("name")).alias("tokens")), config.place_names)
+        joined = joined.join(places.select(F.col("text").alias("p_text")), F.col("name") == F.col("p_text"), "left").withColumn("is_place", F.col("p_text").isNotNull())
+    else:
+        joined = joined.withColumn("is_place", F.lit(False))
+    return joined.select("name", (~F.col("is_place") & (by_category | by_type)).alias("is_organisational"), "is_place")
 
 
 _UNIT = r"(?iuU)^\s*(?:plots?|flats?|units?|apts?|apartments?)[\s._-]*\d+"
@@ -138,8 +142,8 @@ def scheme_candidates(files: DataFrame, config: Config, hits: dict[str, DataFram
         .when(entity_only_name(F.col("name"), config, int(config.weight("scheme_detection", "max_entity_only_tokens"))), "entity_only")
     )
     if config.place_names:
-        reason = reason.when(~(place_name_hit(tokenise(F.col("name")), config.place_names) | address_like(F.col("name"), config)), "no_location")
-    return gated.withColumn("excluded_by", reason).drop("nested_path", "is_organisational")
+        reason = reason.when(~(F.col("is_place") | address_like(F.col("name"), config)), "no_location")
+    return gated.withColumn("excluded_by", reason).drop("nested_path", "is_organisational", "is_place")
 
 
 def score_schemes(candidates: DataFrame, config: Config, root_depth: int = -1) -> DataFrame:

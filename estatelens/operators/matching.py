@@ -2,8 +2,8 @@
 
 Every distinct folder name and file stem is matched once, whatever the number of files it occurs
 in; files join the result. Phrases of up to four tokens join the dictionary (broadcast,
-configuration-sized), patterns are regular expressions on the raw text, and misspelt words are
-resolved through a table of all strings one edit away from a dictionary word.
+configuration-sized), patterns are regular expressions on the raw text, and misspelt words meet
+dictionary words in their one-letter deletions before the distance is checked.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.config import Config, EntityDef, fuzzy_pairs, small_table
-from estatelens.functions.text import UNICODE, all_ngrams, tokenise
+from estatelens.config import Config, EntityDef, canonical_words, fuzzy_index, small_table
+from estatelens.functions.text import UNICODE, all_ngrams, ngrams, tokenise
 from estatelens.session import cut
 
 TOKEN, PATTERN, ABBREVIATION, FUZZY = 1, 2, 3, 4
@@ -68,10 +68,37 @@ def type_hits(texts: DataFrame, config: Config) -> DataFrame:
     return _best(hits.unionByName(_fuzzy_hits(texts, config)))
 
 
+def deletions(word: Column) -> Column:
+    """A word and all its one-letter deletions."""
+    cuts = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.when(F.length(word) < 1, F.array(word)).otherwise(F.array_distinct(F.concat(F.array(word), cuts)))
+
+
+def one_edit_apart(a: Column, b: Column) -> Column:
+    """One deletion, insertion, substitution by a letter from a to z, or swap of neighbours leads from a to b."""
+    places = F.sequence(F.lit(1), F.length(a) - 1)
+    swapped = (F.levenshtein(a, b) == 2) & (F.length(a) == F.length(b)) & (F.length(a) > 1) & F.exists(
+        places, lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b
+    )
+    # the letter that a has and b has not is one of the alphabet's
+    return ((F.levenshtein(a, b) == 1) & ((F.length(a) < F.length(b)) | (F.length(F.regexp_replace(a, "[a-z]", "")) <= F.length(F.regexp_replace(b, "[a-z]", ""))))) | swapped
+
+
+def misspelt(tokens: DataFrame, config: Config) -> DataFrame:
+    """(variant, canonical) of distinct tokens (variant) one edit from a dictionary word; of several words the smallest counts, dictionary words are no variants."""
+    spark, least = tokens.sparkSession, int(config.weight("fuzzy", "min_token_length"))
+    words = canonical_words(config)
+    index = small_table(spark, fuzzy_index(config), "cut string, word string")
+    other = tokens.filter(F.length("variant") >= least - 1).join(small_table(spark, [(w,) for w in words], "known string"), F.col("variant") == F.col("known"), "left_anti")
+    met = other.select("variant", F.explode(deletions(F.col("variant"))).alias("cut")).join(index, "cut").select("variant", "word").distinct()
+    return met.filter(one_edit_apart(F.col("variant"), F.col("word"))).groupBy("variant").agg(F.min("word").alias("canonical"))
+
+
 def corrected_tokens(texts: DataFrame, config: Config) -> DataFrame:
     """(text, tokens, corrected): set of tokens with misspelt dictionary words replaced; texts without any are left out."""
-    table = small_table(texts.sparkSession, fuzzy_pairs(config), "variant string, canonical string")
-    wrong = texts.select("text", F.explode("tokens").alias("variant")).distinct().join(table, "variant").groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("variant", "canonical"))).alias("fix"))
+    tokens = texts.select("text", F.explode("tokens").alias("variant")).distinct()
+    table = misspelt(tokens.select("variant").distinct(), config)
+    wrong = tokens.join(table, "variant").groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("variant", "canonical"))).alias("fix"))
     fixed = F.array_distinct(F.transform("tokens", lambda t: F.coalesce(F.try_element_at("fix", t), t)))
     return texts.join(wrong, "text").select("text", "tokens", fixed.alias("corrected"))
 
@@ -119,14 +146,14 @@ def extension_hits(extensions: DataFrame, config: Config) -> DataFrame:
     return extensions.join(small_table(extensions.sparkSession, rows, "extension string, label string, ord int, layer int"), "extension")
 
 
-def place_name_hit(tokens: Column, names: frozenset[str]) -> Column:
-    """A token or pair of neighbouring tokens is a place name; False without names."""
-    if not names:
-        return F.lit(False)
-    from estatelens.functions.text import ngrams
+def place_texts(texts: DataFrame, names: frozenset[str]) -> DataFrame:
+    """(text) of distinct texts (text, tokens) that hold a place name: a token, or two neighbouring ones, among those with a letter or digit.
 
-    known = F.array(*[F.lit(n) for n in sorted(names)])
-    return F.arrays_overlap(F.concat(tokens, ngrams(tokens, 2)), known)
+    Names join as a table whose size is checked; without names there are no such texts.
+    """
+    kept = F.filter("tokens", lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    found = texts.select("text", F.explode(F.array_distinct(F.concat(kept, ngrams(kept, 2)))).alias("place"))
+    return found.join(small_table(texts.sparkSession, [(n,) for n in sorted(names)], "place string"), "place", "left_semi").select("text").distinct()
 
 
 def known_terms(config: Config, spark: SparkSession) -> DataFrame:

@@ -34,28 +34,45 @@ def similar_values(pool: DataFrame, threshold: float = 0.55, within: str | None
 
 
 def scheme_overlaps(pool: DataFrame, tokens_least: float = 0.8, grams_least: float = 0.6) -> DataFrame:
-    """Second pass for scheme names: overlap of words and of trigrams after stripping phases and dates; both need two words."""
+    """Second pass for scheme names: overlap of words and of trigrams after stripping phases and dates; both need two words.
+
+    Of two names whose words overlap enough the one with fewer words has one of its n - ceil(t n) + 1 rarest words in the
+    other, so only those are looked up, among all words of all names. A frequent word is looked up only by names that have
+    no rarer one. Names meet as numbers; words and trigrams come in when candidates are verified.
+    """
     named = cut(pool.select("value").distinct().withColumn("bare", strip_scheme_noise(F.col("value"))).withColumns({"words": F.array_distinct(tokenise(F.col("bare"))), "grams": char_trigrams(F.col("bare"))}).filter(F.size("words") >= 2))
-    a = named.select(F.col("value").alias("a"), F.col("words").alias("w_a"), F.col("grams").alias("g_a"), F.explode("words").alias("w"))
-    b = named.select(F.col("value").alias("b"), F.col("words").alias("w_b"), F.col("grams").alias("g_b"), F.explode("words").alias("w"))
+    named = cut(named.withColumn("id", F.monotonically_increasing_id()))
+    index = named.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    counts = index.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    ordered = index.join(counts, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    need = F.ceil(F.col("n") * tokens_least - 1e-9).cast("int")
+    asks = ordered.select(F.col("id").alias("i"), F.col("n").alias("n_i"), F.explode(F.slice("o", F.lit(1), F.col("n") - need + 1)).alias("p")).select("i", "n_i", F.col("p.w").alias("w"))
+    met = asks.join(index.select("w", F.col("id").alias("j"), F.col("n").alias("n_j")), "w").filter("i <> j AND n_i <= n_j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    a, b = (named.select(F.col("id").alias(k), F.col("value").alias(f"v_{k}"), F.col("words").alias(f"w_{k}"), F.col("grams").alias(f"g_{k}")) for k in "ij")
     over = lambda x, y: F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))
-    met = a.join(b, "w").filter("a < b").filter((over("w_a", "w_b") >= tokens_least) & (over("g_a", "g_b") >= grams_least))
-    return met.select("a", "b", over("g_a", "g_b").alias("similarity")).distinct()
+    checked = met.join(a, "i").join(b, "j").filter((over("w_i", "w_j") >= tokens_least) & (over("g_i", "g_j") >= grams_least))
+    return checked.select(F.least("v_i", "v_j").alias("a"), F.greatest("v_i", "v_j").alias("b"), over("g_i", "g_j").alias("similarity"))
 
 
 def linked_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, root) for all nodes: root is the smallest node linked directly or indirectly.
 
-    Smallest-label propagation with a jump to the label's label in every round, until nothing moves.
+    Every node hooks onto its smallest neighbour if that is smaller, chains are followed by doubling until they end in a root, then
+    edges are relabelled by roots and deduplicated, until none is left: rounds grow with the logarithm of the largest group.
     """
-    edges = cut(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     labels = cut(nodes.select(F.col("node").alias("node"), F.col("node").alias("root")).distinct())
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("y"), F.col("root").alias("seen")), "y").groupBy(F.col("x").alias("n_x")).agg(F.min("seen").alias("seen"))
-        stepped = labels.join(near, F.col("node") == F.col("n_x"), "left").select("node", "root", F.least("root", F.coalesce("seen", "root")).alias("next"))
-        stepped = cut(stepped)
-        up = stepped.select(F.col("node").alias("u"), F.col("next").alias("u_next"))
-        moved = cut(stepped.join(up, F.col("next") == F.col("u"), "left").select("node", F.least("next", F.coalesce("u_next", "next")).alias("new"), "root"))
-        labels = moved.select("node", F.col("new").alias("root"))
-        if moved.filter("new <> root").isEmpty():
-            return labels
+    edges = cut(pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
+    while not edges.isEmpty():
+        # the larger end hooks onto its smallest smaller neighbour; a root has none
+        up = cut(edges.groupBy(F.col("y").alias("u")).agg(F.min("x").alias("to")))
+        while True:
+            above = up.select(F.col("u").alias("m"), F.col("to").alias("m_to"))
+            doubled = cut(up.join(above, F.col("to") == F.col("m"), "left").select("u", F.coalesce("m_to", "to").alias("to"), F.col("m").isNotNull().alias("moved")))
+            up = doubled.select("u", "to")
+            if doubled.filter("moved").isEmpty():
+                break
+        ends = [up.select(F.col("u").alias(f"{k}_u"), F.col("to").alias(f"{k}_to")) for k in "xy"]
+        moved = edges.join(ends[0], F.col("x") == F.col("x_u"), "left").join(ends[1], F.col("y") == F.col("y_u"), "left").select(F.coalesce("x_to", "x").alias("p"), F.coalesce("y_to", "y").alias("q")).filter("p <> q")
+        edges = cut(moved.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct())
+        labels = cut(labels.join(up, F.col("root") == F.col("u"), "left").select("node", F.coalesce("to", "root").alias("root")))
+    return labels

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.config import default_config
+from estatelens.config import Config, SchemeExclusions, default_config
 from estatelens.operators import clustering, duplicates, extraction, folders, ingest, matching, reports, retention, scoring, similarity
 from estatelens.plans.pipeline import classify, finish
 from estatelens.plans.reference_sql import AS_OF, SQL  # noqa: F401
@@ -83,15 +84,15 @@ def m5_folder_signals(spark: SparkSession, d: str) -> DataFrame:
 
 def m7_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """Misspelt tokens with their dictionary word."""
-    from estatelens.config import fuzzy_pairs, small_table
+    return matching.misspelt(_stems(spark, d).select(F.explode("tokens").alias("variant")).distinct(), default_config())
 
-    tokens = _stems(spark, d).select(F.explode("tokens").alias("variant")).distinct()
-    return tokens.join(small_table(spark, fuzzy_pairs(default_config()), "variant string, canonical string"), "variant")
+
+PLACES = frozenset({"quillmere", "thrapcombe quay", "wexgarth", "zerouer"})
 
 
 def m10_places(spark: SparkSession, d: str) -> DataFrame:
     names = _names(spark, d)
-    return names.select("text", matching.place_name_hit(F.col("tokens"), frozenset({"quillmere", "thrapcombe quay", "wexgarth"})).alias("is_place"))
+    return names.select("text").join(matching.place_texts(names, PLACES).withColumn("is_place", F.lit(True)), "text", "left").select("text", F.coalesce("is_place", F.lit(False)).alias("is_place"))
 
 
 def m11_known(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +132,16 @@ def d6_candidates(spark: SparkSession, d: str) -> DataFrame:
     return folders.scheme_candidates(_estate(spark, d), default_config()).select("folder_path", "unique_entities", "n_dev_categories", F.coalesce("excluded_by", F.lit("")).alias("excluded_by"))
 
 
+def place_config() -> Config:
+    """The built-in dictionary with place names and exclusions."""
+    return replace(default_config(), place_names=PLACES, exclusions=SchemeExclusions(("thrapcombe quay",), ("drawing",), (r"^block\b",)))
+
+
+def d12_places(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates where place names and exclusions are set."""
+    return folders.scheme_candidates(_estate(spark, d), place_config()).select("folder_path", F.coalesce("excluded_by", F.lit("")).alias("excluded_by"))
+
+
 def d13_schemes(spark: SparkSession, d: str) -> DataFrame:
     """Confidence and status of the candidates."""
     c = default_config()
@@ -237,7 +248,12 @@ def u1_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def u8_folders(spark: SparkSession, d: str) -> DataFrame:
-    """U8, J9."""
+    """Folders of at least five files that share half of them."""
+    return duplicates.folder_overlaps(_estate(spark, d)).select("folder_a", "folder_b", "n_a", "n_b", "shared", "jaccard")
+
+
+def u8_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """U8, J9 with lower bounds: folders of at least two files that share 0.3 of them."""
     return duplicates.folder_overlaps(_estate(spark, d), 50, 2, 0.3).select("folder_a", "folder_b", "n_a", "n_b", "shared", "jaccard")
 
 
@@ -328,4 +344,4 @@ def q1_flagship(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("inferred_type", "confidence_band").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k.split("_")[0] in ("m1 m2 m3 m4 m5 m7 m10 m11 r r10 d1 d3 d6 d13 d17 d20 d22 d23 d24 e1 e2 e7 c1 c3 c4 c5 c8 c9 c10 u1 u8 u9 u10 g a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12 sk2 q1 d19 j15 proj10".split())}
+QUERIES = {k: v for k, v in list(globals().items()) if k.split("_")[0] in ("m1 m2 m3 m4 m5 m7 m10 m11 r r10 d1 d3 d6 d12 d13 d17 d20 d22 d23 d24 e1 e2 e7 c1 c3 c4 c5 c8 c9 c10 u1 u8 u9 u10 g a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12 sk2 q1 d19 j15 proj10".split())}

@@ -124,6 +124,11 @@ cand AS (SELECT gated.*, CASE WHEN length(trim(name)) < 3 THEN 'too_short' WHEN
 _BASE_SINGLE = ", ".join(_q(t) for d in _C.types if d.layer == 0 for t in d.tokens if " " not in t)
 _STRONG = f"""fth_strong AS (SELECT DISTINCT text FROM fth WHERE layer > 0 OR priority <> 1 OR NOT EXISTS (SELECT 1 FROM {_values([(d.name, t) for d in _C.types if d.layer == 0 for t in d.tokens if ' ' not in t], 'label, phrase')} b JOIN fn_p p ON p.phrase = b.phrase WHERE p.text = fth.text AND b.label = fth.label))"""
 _CAND = _CAND.replace("\norg AS", f"\n{_STRONG},\norg AS", 1)
+_ADDRESS_TERMS = ", ".join(_q(t) for t in sorted({*_C.entity("address").tokens, *_C.entity("address").abbreviations}))
+_IS_PLACE = "list_has_any(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])), ['quillmere', 'thrapcombe quay', 'wexgarth', 'zerouer'])"
+_PLACED = _CAND.replace("AS organisational, k FROM fn", f"AND NOT {_IS_PLACE} AS organisational, {_IS_PLACE} AS is_place, k FROM fn", 1).replace("(SELECT text FROM fth_strong)) AND", "(SELECT text FROM fth_strong))) AND", 1).replace("org AS (SELECT text AS name, ((len", "org AS (SELECT text AS name, (((len", 1)
+_PLACED = _PLACED.replace("'too_short' WHEN organisational", r"'too_short' WHEN lower(trim(name)) = 'thrapcombe quay' OR regexp_replace(lower(trim(name)), '^\d+[\s._-]*', '') = 'thrapcombe quay' OR contains(lower(trim(name)), 'drawing') OR regexp_matches(name, '(?i)^block\b') THEN 'cfg_excl' WHEN organisational", 1)
+_PLACED = _PLACED.replace("THEN 'entity_only' END AS excluded_by", f"THEN 'entity_only' WHEN NOT (is_place OR list_has_any(k, [{_ADDRESS_TERMS}])) THEN 'no_location' END AS excluded_by", 1)
 _SCHEMES = f"""{_CAND}, op AS (SELECT * FROM cand WHERE excluded_by IS NULL), kid AS (SELECT parent_path AS folder_path, count(*) AS n FROM op GROUP BY 1),
 sc AS (SELECT op.*, coalesce(kid.n, 0) AS kids, round(least(1.0::DOUBLE, CASE WHEN unique_entities >= 5 THEN 0.85 ELSE 0.7 END::DOUBLE + CASE WHEN direct_plot_children > 0 THEN 0.1 ELSE 0.0 END::DOUBLE + CASE WHEN n_dev >= 3 THEN 0.1 ELSE 0.0 END::DOUBLE), 3) AS confidence FROM op LEFT JOIN kid USING (folder_path)),
 s1 AS (SELECT *, CASE WHEN kids >= 3 AND tdc > 0 AND kids / tdc > 0.5 THEN 'structural' WHEN kids >= 1 AND dcc = 0 AND direct_plot_children = 0 AND tdc = kids THEN 'sub_container' END AS st FROM sc),
@@ -168,7 +173,7 @@ SQL = {
     "m5_folder_signals": f"""WITH {_EST}, {_ALL_HITS}, ch AS (SELECT DISTINCT segments FROM est WHERE len(segments) > 0), sg AS (SELECT array_to_string(segments, chr(92)) AS chain, CAST(i - 1 AS INT) AS depth, segments[i] AS text FROM (SELECT segments, unnest(range(1, len(segments) + 1)) AS i FROM ch))
         SELECT chain, 'type' AS kind, label, depth FROM sg JOIN nth USING (text) UNION ALL SELECT chain, 'category', label, depth FROM sg JOIN nch USING (text) UNION ALL SELECT chain, 'entity', label, depth FROM sg JOIN neh USING (text)""",
     "m7_fuzzy": f"WITH {_EST}, {_STEMS}, {_FUZZY.format(t='st')} SELECT * FROM fz",
-    "m10_places": f"WITH {_EST}, {_NAMES} SELECT text, coalesce(list_has_any(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])), ['quillmere', 'thrapcombe quay', 'wexgarth']), false) AS is_place FROM nm",
+    "m10_places": f"WITH {_EST}, {_NAMES} SELECT text, coalesce(list_has_any(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])), ['quillmere', 'thrapcombe quay', 'wexgarth', 'zerouer']), false) AS is_place FROM nm",
     "m11_known": f"WITH {_EST}, {_STEMS}, t AS (SELECT unnest(k) AS term FROM st) SELECT term, count(*) AS n FROM t WHERE term IN ({', '.join(_q(x) for x in sorted({t for d in _C.types for t in (*d.tokens, *d.abbreviations)} | {t for d in _C.categories for t in (*d.signals, *d.aliases)} | {t for d in _C.entities for t in (*d.tokens, *d.abbreviations)}))}) GROUP BY 1",
     "r_scores": f"{_SCORES} {_SCORE_SELECT}",
     "r10_entities": f"""WITH {_EST}, {_SEG}, {_ALL_HITS}, en AS (SELECT row_id, depth, text, label, CASE priority WHEN 1 THEN 0.8 WHEN 2 THEN 0.65 ELSE 0.5 END AS conf FROM seg JOIN neh USING (text)),
@@ -178,6 +183,7 @@ SQL = {
     "d1_folder_stats": f"WITH {_EST}, {_STATS}, tdc AS (SELECT parent_path AS folder_path, count(*) AS n FROM fs WHERE parent_path IS NOT NULL GROUP BY 1) SELECT folder_path, level, file_count, n_plots, n_addresses, direct_plot_children, coalesce(n, 0) AS total_direct_children FROM fs LEFT JOIN tdc USING (folder_path)",
     "d3_categories": f"WITH {_EST}, {_STATS}, {_CATS} SELECT folder_path, array_to_string(cats, '|') AS categories, coalesce(n, 0) AS direct_category_children FROM dev LEFT JOIN dcc USING (folder_path)",
     "d6_candidates": f"WITH {_EST}, {_CAND} SELECT folder_path, unique_entities, CAST(n_dev AS INT) AS n_dev_categories, coalesce(excluded_by, '') AS excluded_by FROM cand",
+    "d12_places": f"""WITH {_EST}, {_PLACED} SELECT folder_path, coalesce(excluded_by, '') AS excluded_by FROM cand""",
     "d13_schemes": f"WITH {_EST}, {_SCHEMES} SELECT folder_path, confidence, status FROM stat",
     "d17_assigned": f"""WITH {_EST}, {_SCHEMES}, cho AS (SELECT folder_path, name, confidence, level - 1 AS depth FROM stat WHERE status = 'chosen'), pri AS (SELECT DISTINCT ON (name) name, folder_path AS scheme_path, confidence, depth FROM cho ORDER BY name, confidence DESC, depth, folder_path),
         mer AS (SELECT cho.folder_path, cho.name, pri.scheme_path, pri.confidence, pri.depth FROM cho JOIN pri USING (name)), hit AS (SELECT DISTINCT ON (row_id) row_id, name, scheme_path, confidence, depth FROM pre JOIN mer ON path = folder_path ORDER BY row_id, level)
@@ -206,8 +212,9 @@ SQL = {
         SELECT k.row_id, CASE WHEN g.key IS NULL THEN '' ELSE left(sha256(k.key), 12) END AS dup_group_id, coalesce(g.n, 1) AS dup_group_size, CASE WHEN g.key IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, round(0.85::DOUBLE + CASE WHEN same_date THEN 0.1 ELSE 0.0 END::DOUBLE + CASE WHEN same_owner THEN 0.05 ELSE 0.0 END::DOUBLE, 3)) END AS dup_confidence,
           coalesce(cross_estate, false) AS dup_is_cross_estate, coalesce(cross_folder, false) AS dup_is_cross_folder, g.key IS NULL OR newest IS NULL OR coalesce(k.last_modified = newest, false) AS dup_is_latest, g.key IS NOT NULL AS potential_duplicate, suspect AS dup_copy_path_suspect
         FROM keyed k LEFT JOIN grp g USING (key) JOIN cps ON cps.row_id = k.row_id""",
-    "u8_folders": f"""WITH {_EST}, it AS (SELECT DISTINCT array_to_string(segments, chr(92)) AS folder, {_KEY} AS sig FROM est WHERE len(segments) > 0 AND {_KEY} IS NOT NULL), sz AS (SELECT folder, count(*) AS n FROM it GROUP BY 1 HAVING count(*) >= 2), sp AS (SELECT sig FROM it GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), k AS (SELECT * FROM it JOIN sz USING (folder) WHERE sig IN (SELECT sig FROM sp)),
-        p AS (SELECT a.folder AS folder_a, b.folder AS folder_b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM k a JOIN k b USING (sig) WHERE a.folder < b.folder GROUP BY ALL) SELECT *, shared / (n_a + n_b - shared) AS jaccard FROM p WHERE shared / (n_a + n_b - shared) >= 0.3""",
+    "u8_folders": f"""WITH {_EST}, it AS (SELECT DISTINCT array_to_string(segments, chr(92)) AS folder, lower(filename_stem) || '|' || lower(extension) AS sig FROM est WHERE len(segments) > 0 AND filename_stem <> ''), sz AS (SELECT folder, count(*) AS n FROM it GROUP BY 1 HAVING count(*) >= {{least}}),
+        i2 AS (SELECT * FROM it JOIN sz USING (folder)), sp AS (SELECT sig FROM i2 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), k AS (SELECT * FROM i2 WHERE sig IN (SELECT sig FROM sp)),
+        p AS (SELECT a.folder AS folder_a, b.folder AS folder_b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM k a JOIN k b USING (sig) WHERE a.folder < b.folder GROUP BY ALL) SELECT *, shared / (n_a + n_b - shared) AS jaccard FROM p WHERE shared / (n_a + n_b - shared) >= {{share}}""",
     "u9_redundancy": f"WITH {_EST}, {_DUP} SELECT left(sha256(key), 12) AS dup_group_id, n AS dup_group_size, first_size * (n - 1) AS redundant_bytes, CASE WHEN n = 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' ELSE '20+' END AS size_band FROM grp",
     "u10_keywords": f"WITH {_EST}, {_COPY}, w AS (SELECT row_id, unnest(list_distinct(list_transform(segments, lambda x: lower(trim(x))))) AS keyword FROM cps WHERE suspect) SELECT keyword, count(*) AS n_files FROM w WHERE keyword IN ({_WORDS_COPY}) GROUP BY 1",
     "g_retention": f"""WITH {_EST}, b AS (SELECT row_id, inferred_type, CAST(last_modified AS TIMESTAMP) - to_years(CAST(row_id % 30 AS INT)) AS dt FROM est), r AS (SELECT b.*, coalesce(inferred_type, 'Unknown') <> 'Unknown' AS known, rt, years, sens FROM b LEFT JOIN {_RULES} ON inferred_type = rt),
@@ -228,10 +235,12 @@ SQL = {
         SELECT version_cluster_id, n_files, n_types, n_folders, span_years, n_files > 20 AS oversized, n_types > 1 AS mixed_types, NOT mk AS no_version_markers, span_years > 5 AS long_span, n_folders = 1 AS single_folder FROM v""",
     "a8_coverage": f"WITH {_EST} SELECT count(*) AS n_files, {', '.join(f'''avg(CASE WHEN entity_{e} <> '' THEN 1 ELSE 0 END) AS share_{e}, avg(CASE WHEN entity_{e}_cluster_id <> '' THEN 1 ELSE 0 END) AS share_{e}_cluster''' for e in ('scheme', 'address', 'plot'))}, avg(CASE WHEN coalesce(dup_group_id, '') <> '' THEN 1 ELSE 0 END) AS share_duplicate FROM est",
     "a9_tokens": f"""WITH {_EST}, src AS (SELECT coalesce(segments[1], '') AS project, unnest(segments) AS text, 1 AS f, 0 AS n FROM est UNION ALL SELECT coalesce(segments[1], ''), filename_stem, 0, 1 FROM est),
-        k AS (SELECT project, f, n, list_filter({tokens('text')}, lambda x: NOT ({_NOISE})) AS k FROM src), ph AS (SELECT project, f, n, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term FROM k)
+        k AS (SELECT project, f, n, list_filter({tokens('text')}, lambda x: NOT ({_NOISE})) AS k FROM src), ph AS (SELECT project, f, n, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]), list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]))) AS term FROM k)
         SELECT term, sum(f)::BIGINT AS folder_count, sum(n)::BIGINT AS file_count, count(DISTINCT project) AS n_projects, term IN ({', '.join(_q(x) for x in sorted({t for d in _C.types for t in (*d.tokens, *d.abbreviations)} | {t for d in _C.categories for t in (*d.signals, *d.aliases)} | {t for d in _C.entities for t in (*d.tokens, *d.abbreviations)}))}) AS is_known FROM ph GROUP BY 1 HAVING sum(f) + sum(n) >= 2""",
     "a10_confidence": f"WITH {_EST} SELECT entity_scheme <> '' AS in_scheme, count(*) AS n_files, round(avg(overall_confidence), 10) AS mean, round(median(overall_confidence), 10) AS median, min(overall_confidence) AS least, max(overall_confidence) AS greatest FROM est GROUP BY 1",
     "a11_types": f"WITH {_EST} SELECT inferred_type, count(*) AS n_files, count(DISTINCT source_system) AS n_estates FROM est GROUP BY 1",
     "a12_top": f"WITH {_EST}, t AS (SELECT inferred_type, count(*) AS n_files, count(DISTINCT source_system) AS n_estates FROM est WHERE inferred_type IS NOT NULL GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY n_files DESC, inferred_type) AS INT) AS position FROM t ORDER BY n_files DESC, inferred_type LIMIT 10",
     "sk2_csv": "SELECT CAST(row_id AS VARCHAR) AS \"Row\", coalesce(source_system, '') AS source_system, coalesce(array_to_string(segments, ' | '), '') AS \"Folders\", coalesce(CAST(depth AS VARCHAR), '') AS depth, coalesce(owner, '') AS owner, coalesce(CAST(dup_is_latest AS VARCHAR), '') AS dup_is_latest, '' AS absent FROM classified_files",
 }
+SQL["u8_pairs"] = SQL["u8_folders"].format(least=2, share=0.3)
+SQL["u8_folders"] = SQL["u8_folders"].format(least=5, share=0.5)

@@ -25,6 +25,38 @@ def test_groups_partition_the_nodes(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "e", "g": "e", "h": "e"}
 
 
+def test_groups_of_chains_and_stars(spark):
+    rnd = random.Random(8)
+    names = [f"n{i:03d}" for i in range(300)]
+    order = rnd.sample(names, 200)
+    links = [*zip(order[:100], order[1:100]), *((order[150], x) for x in order[151:200]), (names[0], names[0])]
+    parent = {n: n for n in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["node"]: r["root"] for r in similarity.linked_groups(spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {n: find(n) for n in names}
+
+
+def test_scheme_overlaps_against_brute_force(spark):
+    from estatelens.functions.text import strip_scheme_noise
+
+    rnd = random.Random(6)
+    words = ["park"] * 6 + ["road", "phase 2", "mill", "oak", "liberty", "hoo", "new dec 20", "elm", "ash", "way", "quay", "view"]
+    names = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 7))) for _ in range(120)})
+    df = spark.createDataFrame([(n,) for n in names], "value string")
+    bare = {r["value"]: r["b"] for r in df.withColumn("b", strip_scheme_noise(F.col("value"))).collect()}
+    over = lambda x, y: len(x & y) / min(len(x), len(y))
+    w, g = {n: set(bare[n].split()) for n in names}, {n: trigrams(bare[n]) for n in names}
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if min(len(w[a]), len(w[b])) >= 2 and over(w[a], w[b]) >= 0.8 and over(g[a], g[b]) >= 0.6}
+    assert {(r["a"], r["b"]) for r in similarity.scheme_overlaps(df).collect()} == want and want
+
+
 def test_clusters_and_ids(spark):
     pool = spark.createDataFrame([("liberty park hoo road", 5), ("phase 2 liberty park hoo road", 1), ("liberty park hoo rd", 5), ("mill lane", 9)], "value string, count bigint")
     got = {r["value"]: (r["canonical"], r["cluster_id"]) for r in clustering.cluster_values(pool, "scheme").collect()}
