@@ -1,26 +1,32 @@
 """Records that differ in formatting only, collapsed with their number of copies.
 
-Progressive partition refinement. Each line gets a cheap key, a hash of the stripped length of
-every field and of the letter histogram of all, and keys are counted with map-side combining. Only lines
-whose cheap class has several members get the costly key, a digest of the whole canonical
-record, and are grouped by it. Canonical text: Unicode NFC, case folded, letters and decimal
-digits only; the order of the fields in the line plays no part, an absent, null or empty value
-is the same. Lines that are null, blank, cut off or no JSON object are no records.
+Canonical text of a field: Unicode NFC, case folded, letters and decimal digits only; the order of the fields in the line
+plays no part, an absent, null or empty value is the same. Lines that are null, blank, cut off or no JSON object are
+no records.
+
+Progressive partition refinement over rows that are parsed once and written out:
+
+1. Cheap invariants: the stripped length of every field. Lines whose class has one member are done.
+2. In classes with several members: the histogram of the letters and digits of the whole record.
+3. In classes that still have several members: the digest of the canonical record.
+
+Every step is a map-side combined count; only keys travel. Parsing and canonical text stay in the JVM for lines that are flat
+objects of plain scalars and whose letters are ASCII; the others (escaped or accented letters, nested values, numbers
+with a fraction, very long lines) are read by Python, by the same rules.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from estatelens.session import cut
+
 FIELDS = ("filename_stem", "extension", "normalized_filename", "size")
 
 
@@ -46,44 +52,58 @@ def canonical(line: str | None, fields: tuple[str, ...] = FIELDS) -> list[str] |
     return [_plain(record.get(f)) for f in fields] if isinstance(record, dict) else None
 
 
-def _cheap(values: list[str]) -> int:
-    shape = [*map(len, values), *sorted(Counter("".join(values)).items())]
-    return xxhash.xxh64_intdigest(repr(shape)) - (1 << 63)
+LONGEST = 8192  # characters of a line that the JVM's pattern reads; longer ones go to Python
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\["\\/bfnrt][^"\\\x00-\x1f]*+)*+"'
+_SCALAR = rf"(?:{_STRING}|-?(?:0|[1-9]\d*+)|true|false|null)"
+_PAIR = rf"\s*+{_STRING}\s*+:\s*+{_SCALAR}\s*+"
+#: A flat object of strings without \u escapes, whole numbers, true, false and null, which every parser reads alike.
+FLAT = rf"^[ \t\r\n]*+\{{(?:{_PAIR}(?:,{_PAIR})*+|[ \t\r\n]*+)\}}[ \t\r\n]*+$".replace(r"\s*+", r"[ \t\r\n]*+")
 
 
-def _exact(values: list[str]) -> bytes:
-    return hashlib.sha256("\x1f".join(values).encode("utf-8", "surrogatepass")).digest()
+def _canonical_rows(lines: DataFrame, line_id: str, line: str, fields: tuple[str, ...]) -> DataFrame:
+    """(__id, __text): canonical fields of every line as one text, null where the line is no record."""
 
-
-def _key(make, fields: tuple[str, ...], kind: str):
-    @F.arrow_udf(kind)
-    def key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("array<string>")
+    def by_python(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = (canonical(line, fields) for line in batch.to_pylist())
-            yield pa.array([None if r is None else make(r) for r in rows], pa.int64() if kind == "bigint" else pa.binary())
-
-    return key.asNondeterministic()  # evaluated once, also where a filter uses it
-
+            yield pa.array([None if text is None else canonical(text, fields) for text in batch.to_pylist()], pa.list_(pa.string()))
 
-def cheap_key(line: Column, fields: tuple[str, ...] = FIELDS) -> Column:
-    """Hash of lengths and letter histogram; null if the line is no record."""
-    return _key(_cheap, fields, "bigint")(line)
+    rows = lines.select(F.col(line_id).alias("__id"), F.col(line).cast("string").alias("__line"))
+    flat = F.coalesce((F.length("__line") <= LONGEST) & F.col("__line").rlike(FLAT), F.lit(False))
+    names = [f"f{i}" for i in range(len(fields))]
+    schema = ", ".join("`" + f.replace("`", "``") + "` string" for f in fields)
+    read = F.when(flat, F.from_json("__line", schema, {"allowSingleQuotes": "false"}))
+    bare = [F.lower(F.regexp_replace(F.coalesce(F.col("__read").getField(f), F.lit("")), r"[^\p{L}\p{M}\p{Nd}\p{Cn}]", "")) for f in fields]
+    rows = rows.withColumn("__read", read).select("__id", "__line", F.col("__read").isNotNull().alias("__flat"), *[c.alias(n) for c, n in zip(bare, names)])
+    # marks compose and letters beyond ASCII fold in ways that the JVM does not know, and some characters are newer than it is
+    plain = F.col("__flat") & F.concat(*names).rlike(r"^\p{ASCII}*+$")
+    rows = rows.select("__id", plain.alias("__plain"), F.array(*names).alias("__own"), F.when(~plain, F.col("__line")).alias("__hard"))
+    rows = rows.withColumn("__other", by_python.asNondeterministic()("__hard"))
+    return rows.select("__id", F.when(F.col("__plain"), F.col("__own")).otherwise(F.col("__other")).alias("__text"))
 
 
-def exact_key(line: Column, fields: tuple[str, ...] = FIELDS) -> Column:
-    """Digest of the canonical record; null if the line is no record."""
-    return _key(_exact, fields, "binary")(line)
+def _histogram(text: Column) -> Column:
+    """Hash of how often each ASCII letter and digit occurs, and of how many characters are others."""
+    counts = [F.length(text) - F.length(F.translate(text, c, "")) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    return F.xxhash64(*counts, F.length(text))
 
 
 def _records(lines: DataFrame, line_id: str, line: str, fields: tuple[str, ...], single: bool) -> DataFrame:
-    """(first_line_id, n_copies) of the records of cheap classes with several members, and of single ones if wanted."""
-    rows = lines.select(F.col(line_id).alias("__id"), F.col(line).alias("__line"))
-    keyed = rows.withColumn("__cheap", cheap_key(F.col("__line"), fields))
-    classes = keyed.groupBy("__cheap").agg(F.min("__id").alias("first_line_id"), F.count(F.lit(1)).alias("n_copies")).filter("__cheap IS NOT NULL")
-    several = classes.filter("n_copies > 1").select(F.col("__cheap").alias("__class"))
-    refined = keyed.join(several, F.col("__cheap") == F.col("__class"), "left_semi").withColumn("__exact", exact_key(F.col("__line"), fields))
-    out = refined.groupBy("__exact").agg(F.min("__id").alias("first_line_id"), F.count(F.lit(1)).alias("n_copies")).select("first_line_id", "n_copies")
-    return out.unionByName(classes.filter("n_copies = 1").select("first_line_id", "n_copies")) if single else out
+    """(first_line_id, n_copies) of the records with several lines, and of single ones if wanted."""
+    keyed = _canonical_rows(lines, line_id, line, fields).filter(F.col("__text").isNotNull())
+    keyed = cut(keyed.withColumn("__shape", F.xxhash64(*[F.length(F.col("__text")[i]) for i in range(len(fields))])))
+    count = [F.min("__id").alias("first_line_id"), F.count(F.lit(1)).alias("n_copies")]
+    by_shape = keyed.groupBy("__shape").agg(*count)
+    open_ = by_shape.filter("n_copies > 1").select(F.col("__shape").alias("__s"))
+    second = keyed.join(open_, F.col("__shape") == F.col("__s"), "left_semi").withColumn("__letters", _histogram(F.concat_ws("", "__text")))
+    by_letters = second.groupBy("__shape", "__letters").agg(*count)
+    still = by_letters.filter("n_copies > 1").select(F.col("__shape").alias("__s"), F.col("__letters").alias("__l"))
+    third = second.join(still, (F.col("__shape") == F.col("__s")) & (F.col("__letters") == F.col("__l")), "left_semi")
+    # canonical fields hold no separators, so joined by one they are as distinct as the record
+    out = third.groupBy(F.sha2(F.concat_ws("\x1f", "__text"), 256).alias("__digest")).agg(*count).select("first_line_id", "n_copies")
+    if single:
+        out = out.unionByName(by_shape.filter("n_copies = 1").select("first_line_id", "n_copies")).unionByName(by_letters.filter("n_copies = 1").select("first_line_id", "n_copies"))
+    return out
 
 
 def copies(lines: DataFrame, line_id: str = "line_id", line: str = "line", fields: tuple[str, ...] = FIELDS) -> DataFrame:
