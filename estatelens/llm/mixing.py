@@ -11,8 +11,9 @@ schedule has nearly the target shares. A source whose share no point meets, as s
 gets one slot behind the others. The k-th slot of a source takes its k-th block of shuffled documents of
 about equal tokens; the repeats of a source are further passes over its blocks.
 
-Running sums are taken in two levels (hash buckets of bounded size, then within a bucket), so no source is ever
-summed in one task. Documents with no tokens (null and empty texts) take no part.
+Running sums are taken in two levels (hash buckets in the shuffled order, at most 65,536 a source, then within a bucket), so no source is
+ever summed in one task, and buckets that lie wholly behind what a source is due are left out before the second level.
+Documents with no tokens (null and empty texts) take no part.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from estatelens.session import cut
 GOLDEN = (math.sqrt(5) - 1) / 2
 MOST_SOURCES = 100_000
 CHUNK = 4096
+MOST_BUCKETS = 1 << 16
 
 
 def allocation(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
@@ -55,12 +57,14 @@ def allocation(sizes: dict[str, int], targets: dict[str, tuple[float, int]], tot
     return given
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokens: str = "n_tokens", seed: int = 17, block: int | None = None, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, tokens: str = "n_tokens", seed: int = 17, block: int | None = None, total: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     """(schedule, shares): chosen documents with repeat number and slot, and actual against target shares.
 
     ``documents`` has doc_id, source and ``tokens``; ``targets`` has source, target_share, max_repeats.
     ``block`` is the size of a slot in tokens, by default 1/20,000 of the total and at least 8,192.
-    Sources that only one side has give nothing. A source without documents has an actual share of 0.
+    ``total`` is the size of the mix, "corpus" for as many tokens as the documents of all target sources have.
+    Sources that only one side has give nothing. A source without documents has an actual share of 0. ``unused_tokens``
+    are those of a source's documents that the mix leaves out.
     """
     spark = documents.sparkSession
     wanted = targets.select("source", "target_share", "max_repeats").filter("source IS NOT NULL")
@@ -68,13 +72,13 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: str = "n_tokens", seed
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} target sources")
     goals = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in rows}
-    plan_schema = "source string, target_share double, max_repeats int, size bigint, tokens_due double"
+    plan_schema = "source string, target_share double, max_repeats int, size bigint, tokens_due double, n_buckets bigint"
     sized = cut(documents.select(F.col("doc_id"), F.col("source"), F.col(tokens).cast("bigint").alias("n")).filter("n > 0 AND source IS NOT NULL").join(wanted.select("source"), "source", "left_semi"))
     sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # at most one row per target source
-    due = allocation(sizes, goals, total)
+    due = allocation(sizes, goals, float(sum(sizes.values())) if total == "corpus" else total)
     goal = sum(due.values())
     block = block or max(8192, int(goal / 20_000))
-    plan = spark.createDataFrame([(s, goals[s][0], goals[s][1], int(sizes.get(s, 0)), due[s]) for s in goals], plan_schema)
+    plan = spark.createDataFrame([(s, goals[s][0], goals[s][1], int(sizes.get(s, 0)), due[s], min(MOST_BUCKETS, max(1, math.ceil(sizes.get(s, 0) / (block * 16))))) for s in goals], plan_schema)
     live = [s for s in goals if due[s] > 0]
     n_slots = sum(max(1, round(due[s] / block)) for s in live)
 
@@ -95,25 +99,32 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: str = "n_tokens", seed
     unmet = plan.filter("tokens_due > 0").join(per_chunk, "source", "left_anti")
     slots = slots.unionByName(unmet.select("source", F.lit(0).cast("bigint").alias("k"), (F.lit(n_slots) + F.row_number().over(Window.orderBy("source")) - 1).cast("bigint").alias("slot")))  # at most one row per target
 
-    # documents: place of each in its source's shuffled sequence
-    shuffled = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    n_buckets = max(1, math.ceil(max([sizes[s] for s in live], default=1) / (block * 16)))
-    shuffled = shuffled.withColumn("bucket", F.pmod(F.shiftright("h", 16), F.lit(n_buckets)))
-    sums = shuffled.groupBy("source", "bucket").agg(F.sum("n").alias("t"))
-    bases = sums.select("source", "bucket", (F.sum("t").over(Window.partitionBy("source").orderBy("bucket")) - F.col("t")).alias("base"))
+    # documents: place of each in its source's shuffled sequence; plan has as many rows as targets, checked above
+    facts = F.broadcast(plan.filter("tokens_due > 0").select("source", "max_repeats", "size", "tokens_due", "n_buckets"))
+    shuffled = sized.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)).join(facts, "source")
+    shuffled = shuffled.withColumn("bucket", F.shiftright(F.shiftright("h", 31) * F.col("n_buckets"), 32))
+    sums = shuffled.groupBy("source", "bucket", "tokens_due").agg(F.sum("n").alias("t"))
+    bases = sums.select("source", "bucket", "tokens_due", (F.sum("t").over(Window.partitionBy("source").orderBy("bucket")) - F.col("t")).alias("base"))
     inner = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shuffled.join(bases, ["source", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    placed = shuffled.join(bases.filter("base < tokens_due").drop("tokens_due"), ["source", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
     # a repeat is one more pass; a document counts while its start lies below what is due
-    passes = placed.join(F.broadcast(plan.select("source", "max_repeats", "size", "tokens_due")), "source")  # plan has as many rows as targets, checked above
-    repeated = passes.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.col("max_repeats") - 1, F.ceil(F.col("tokens_due") / F.col("size")).cast("int") - 1)))))
+    repeated = placed.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.col("max_repeats") - 1, F.ceil(F.col("tokens_due") / F.col("size")).cast("int") - 1)))))
     repeated = repeated.withColumn("from", F.col("start") + F.col("repeat") * F.col("size")).filter(F.col("from") + F.col("n") / 2 <= F.col("tokens_due"))
     # due tokens and slots of a source differ by less than a slot; the last slot takes what is over
     counts = slots.groupBy("source").agg(F.count(F.lit(1)).alias("n_slots"))
     blocks = repeated.join(F.broadcast(counts), "source").withColumn("k", F.least(F.floor(F.col("from") * F.col("n_slots") / F.col("tokens_due")), F.col("n_slots") - 1))
     schedule = blocks.join(slots, ["source", "k"]).select("doc_id", "source", F.col("repeat").cast("int").alias("repeat_no"), "slot", F.col("n").alias("n_tokens"))
-    chosen = schedule.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_uses"), F.countDistinct("doc_id").alias("n_documents"), F.max("repeat_no").alias("last_repeat"))
+    chosen = schedule.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_uses"), F.count_if(F.col("repeat_no") == 0).alias("n_documents"), F.sum(F.when(F.col("repeat_no") == 0, F.col("n_tokens"))).alias("used"), F.max("repeat_no").alias("last_repeat"))
     whole = chosen.agg(F.sum("tokens").alias("all_tokens"))
     shares = plan.join(chosen, "source", "left").withColumn("all_tokens", whole.scalar()).select(
-        "source", "target_share", "max_repeats", F.col("size").alias("available_tokens"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_uses", F.lit(0)).alias("n_uses"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce(F.col("last_repeat") + 1, F.lit(0)).alias("repeats"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share")
+        "source", "target_share", "max_repeats", F.col("size").alias("available_tokens"), F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("size") - F.coalesce("used", F.lit(0))).alias("unused_tokens"), F.coalesce("n_uses", F.lit(0)).alias("n_uses"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce(F.col("last_repeat") + 1, F.lit(0)).alias("repeats"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share")
     )
     return schedule, shares
+
+
+def due_tokens(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, available, due): what each target source gives by default, as a query over (source, n) sizes; see ``allocation``."""
+    room = targets.filter("source IS NOT NULL").join(sizes.filter("n > 0").groupBy("source").agg(F.sum("n").alias("available")), "source", "left")
+    room = room.withColumns({"available": F.coalesce("available", F.lit(0)), "live": (F.col("target_share") > 0) & (F.col("max_repeats") > 0) & F.col("available").isNotNull()})
+    bounds = room.filter("live").agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("least"))
+    return room.select("source", "available", F.when(F.col("live"), F.col("target_share") * bounds.scalar()).otherwise(0.0).alias("due"))

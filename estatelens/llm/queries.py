@@ -9,7 +9,7 @@ from estatelens.llm.addresses import place_groups, same_place_pairs
 from estatelens.llm.components import match_groups
 from estatelens.llm.encode import load_vocabulary, token_count, token_ids
 from estatelens.llm.formatting import copies
-from estatelens.llm.mixing import mix
+from estatelens.llm.mixing import due_tokens, mix
 from estatelens.llm.mojibake import affected, learn, restored
 from estatelens.llm.setjoin import link_counts, similar_pairs, word_set
 from estatelens.llm.survivors import ABSENT, LAST, RANKS, STAND_INS, field_sources, survivors, survivors_by_arrival
@@ -84,6 +84,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
 
 
+def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Actual against target shares where the mix is as large as all documents of the target sources."""
+    return mix(_sized(spark, d), table(spark, d, "mix_targets"), total="corpus")[1]
+
+
+def p9_due(spark: SparkSession, d: str) -> DataFrame:
+    """What each source is due by default, by characters."""
+    sizes = table(spark, d, "documents").select("source", F.col("n_chars").alias("n"))
+    return due_tokens(sizes, table(spark, d, "mix_targets")).withColumn("due", F.round("due", 3))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that went through wrong decodings, with the digest of their original text."""
     return affected(table(spark, d, "documents").select("doc_id", "text", "source"))
@@ -95,7 +106,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return restored(documents, learn(documents))
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p3_arrivals": p3_arrivals, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_places": p6_places, "p7_found": p7_found, "p8_ids": p8_ids, "p9_schedule": p9_schedule, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p3_arrivals": p3_arrivals, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_places": p6_places, "p7_found": p7_found, "p8_ids": p8_ids, "p9_schedule": p9_schedule, "p9_shares": p9_shares, "p9_corpus": p9_corpus, "p9_due": p9_due, "p10_found": p10_found, "p10_texts": p10_texts}
 
 _USABLE = "CASE WHEN lower(regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) NOT IN ('', " + ", ".join(f"'{w}'" for w in STAND_INS) + ") THEN {c} END"
 _SETS = r"""w AS (SELECT path_id, trim(lower(unnest(segments))) AS t FROM file_paths UNION SELECT path_id, unnest(regexp_extract_all(lower(filename_stem), '[\p{L}\p{N}]+')) FROM file_paths)"""
@@ -114,6 +125,9 @@ SQL = {
               UNION ALL SELECT g, no_s + no_a, NULL, NULL, NULL, NULL, NULL FROM gap)
         SELECT c.g AS dup_group_id, n_rows, s AS entity_scheme, sr AS entity_scheme_row_id, a AS entity_address, ac AS entity_address_canonical, ar AS entity_address_row_id FROM c JOIN n ON n.g = c.g
         QUALIFY row_number() OVER (PARTITION BY c.g ORDER BY loss, coalesce(ar, {LAST}), coalesce(sr, {LAST})) = 1""",
+    "p9_due": """
+        WITH s AS (SELECT source, sum(n_chars) AS n FROM documents WHERE n_chars > 0 GROUP BY 1), r AS (SELECT t.source, coalesce(n, 0) AS n, target_share, target_share > 0 AND max_repeats > 0 AND n IS NOT NULL AS live, n * max_repeats / target_share AS most FROM mix_targets t LEFT JOIN s USING (source))
+        SELECT source, n::BIGINT AS available, round(CASE WHEN live THEN target_share * (SELECT min(most) FROM r WHERE live) ELSE 0 END, 3) AS due FROM r""",
     "p5_links": f"""
         WITH {_SETS},
         k AS (SELECT path_id, list_sort(list(t)) AS s FROM w WHERE t <> '' GROUP BY 1), c AS (SELECT s, min(path_id) AS c FROM k GROUP BY 1),

@@ -1,8 +1,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from estatelens.llm.mixing import allocation, mix
+from estatelens.llm.mixing import allocation, due_tokens, mix
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -59,6 +60,33 @@ def test_every_due_source_gets_a_slot(spark, block, total):
     assert {r["source"] for r in rows} == set(names) and len({(r["source"], r["slot"]) for r in rows}) == len({r["slot"] for r in rows})
 
 
+def test_source_far_larger_than_a_scarce_one(spark):
+    """The goal follows the scarce source, so only the first buckets of the large one are summed."""
+    rows = spark.range(200_000).selectExpr("id AS doc_id", "'a' AS source", "500 AS n_tokens").union(spark.createDataFrame([(1_000_000, "b", 100)], "doc_id bigint, source string, n_tokens int"))
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], TARGETS)
+    schedule, shares = mix(rows, targets)
+    report = {r["source"]: r for r in shares.collect()}
+    assert report["b"]["tokens"] == 100 and report["a"]["tokens"] == 1000 and report["a"]["unused_tokens"] == 200_000 * 500 - 1000
+    assert schedule.count() == 3
+
+
+def test_total_of_the_corpus(spark):
+    targets = spark.createDataFrame([("a", 0.2, 1), ("c", 0.8, 3)], TARGETS)
+    report = {r["source"]: r for r in mix(documents(spark), targets, block=100, total="corpus")[1].collect()}
+    size = sum(100 + i % 7 for i in range(900))
+    assert report["c"]["tokens"] == 3000 and report["a"]["tokens"] == pytest.approx(size + 1000 - 3000, abs=200) and report["c"]["unused_tokens"] == 0
+
+
+def test_due_tokens_are_those_of_the_allocation(spark):
+    goals = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.15, 4), ("absent", 0.05, 3), ("d", 0.0, 5)]
+    targets = spark.createDataFrame([*goals, (None, 0.1, 1)], TARGETS)
+    sizes = documents(spark).select("source", F.col("n_tokens").alias("n"))
+    got = {r["source"]: r["due"] for r in due_tokens(sizes, targets).collect()}
+    own = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    assert got == pytest.approx(allocation(own, {s: (w, k) for s, w, k in goals}))
+    assert all(r["due"] == 0 for r in due_tokens(sizes.limit(0), targets).collect())
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     schedule, shares = mix(documents(spark).limit(0), targets)
