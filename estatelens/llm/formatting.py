@@ -4,13 +4,11 @@ Canonical text of a field: Unicode NFC, case folded, letters and decimal digits
 plays no part, an absent, null or empty value is the same. Lines that are null, blank, cut off or no JSON object are
 no records.
 
-Progressive partition refinement over rows that are parsed once and written out:
+Progressive partition refinement over rows that are parsed once and written out: first a cheap key, the stripped length of every
+field and the histogram of the record's letters and digits; lines whose class has one member are done. Only lines of
+classes with several members get the digest of the canonical record and are grouped by it.
 
-1. Cheap invariants: the stripped length of every field. Lines whose class has one member are done.
-2. In classes with several members: the histogram of the letters and digits of the whole record.
-3. In classes that still have several members: the digest of the canonical record.
-
-Every step is a map-side combined count; only keys travel. Parsing and canonical text stay in the JVM for lines that are flat
+Both counts are map-side combined. Parsing and canonical text stay in the JVM for lines that are flat
 objects of plain scalars and whose letters are ASCII; the others (escaped or accented letters, nested values, numbers
 with a fraction, very long lines) are read by Python, by the same rules.
 """
@@ -90,18 +88,16 @@ def _histogram(text: Column) -> Column:
 def _records(lines: DataFrame, line_id: str, line: str, fields: tuple[str, ...], single: bool) -> DataFrame:
     """(first_line_id, n_copies) of the records with several lines, and of single ones if wanted."""
     keyed = _canonical_rows(lines, line_id, line, fields).filter(F.col("__text").isNotNull())
-    keyed = cut(keyed.withColumn("__shape", F.xxhash64(*[F.length(F.col("__text")[i]) for i in range(len(fields))])))
+    lengths = [F.length(F.col("__text")[i]) for i in range(len(fields))]
+    keyed = cut(keyed.withColumn("__cheap", F.xxhash64(*lengths, _histogram(F.concat_ws("", "__text")))))
     count = [F.min("__id").alias("first_line_id"), F.count(F.lit(1)).alias("n_copies")]
-    by_shape = keyed.groupBy("__shape").agg(*count)
-    open_ = by_shape.filter("n_copies > 1").select(F.col("__shape").alias("__s"))
-    second = keyed.join(open_, F.col("__shape") == F.col("__s"), "left_semi").withColumn("__letters", _histogram(F.concat_ws("", "__text")))
-    by_letters = second.groupBy("__shape", "__letters").agg(*count)
-    still = by_letters.filter("n_copies > 1").select(F.col("__shape").alias("__s"), F.col("__letters").alias("__l"))
-    third = second.join(still, (F.col("__shape") == F.col("__s")) & (F.col("__letters") == F.col("__l")), "left_semi")
+    classes = keyed.groupBy("__cheap").agg(*count)
+    several = classes.filter("n_copies > 1").select(F.col("__cheap").alias("__class"))
+    refined = keyed.join(several, F.col("__cheap") == F.col("__class"), "left_semi")
     # canonical fields hold no separators, so joined by one they are as distinct as the record
-    out = third.groupBy(F.sha2(F.concat_ws("\x1f", "__text"), 256).alias("__digest")).agg(*count).select("first_line_id", "n_copies")
+    out = refined.groupBy(F.sha2(F.concat_ws("\x1f", "__text"), 256).alias("__digest")).agg(*count).select("first_line_id", "n_copies")
     if single:
-        out = out.unionByName(by_shape.filter("n_copies = 1").select("first_line_id", "n_copies")).unionByName(by_letters.filter("n_copies = 1").select("first_line_id", "n_copies"))
+        out = out.unionByName(classes.filter("n_copies = 1").select("first_line_id", "n_copies"))
     return out
 
 
