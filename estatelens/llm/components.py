@@ -40,6 +40,16 @@ def _collapse(parents: DataFrame) -> DataFrame:
             return parents
 
 
+def follow(up: DataFrame) -> DataFrame:
+    """(id, up) where chains of (id, up) are followed to their end; an end need not have a row, and chains have no cycles."""
+    while True:
+        upper = up.select(F.col("id").alias("p_id"), F.col("up").alias("p_up"))
+        doubled = cut(up.join(upper, F.col("up") == F.col("p_id"), "left").select("id", F.coalesce("p_up", "up").alias("up"), F.col("p_id").isNotNull().alias("moved")))
+        up = doubled.select("id", "up")
+        if doubled.filter("moved").isEmpty():
+            return up
+
+
 def connected_groups(edges: DataFrame) -> DataFrame:
     """(id, group) for every end of ``edges`` (u, v with u < v, distinct); group is the smallest id of the component."""
     edges = cut(edges)

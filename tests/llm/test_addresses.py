@@ -16,17 +16,32 @@ CASES = {
     "Pleskimouth,249 Camieest St": ("", "249", "camieest", "street", None, None),
     "Voskamouth; Trisieel Tce": ("", "", "trisieel", "terrace", None, None),
     "DRIXEASTEAD BREAPEAND RD.": ("", "", "breapeand", "road", None, None),
+    "24 Warren Wood Road, Rochester ME1 1AA": ("", "24", "warren wood", "road", "me1", "1aa"),
+    "9 Lower Church Lane, Rochester": ("", "9", "lower church", "lane", None, None),
+    "12 The Broadway, Rochester": ("", "12", "broadway", "", None, None),
+    "3 Orchard Yard, Rochester ME1 1AA": ("", "3", "orchard yard", "", "me1", "1aa"),
+    "3rd Avenue 12, Rochester": ("", "12", "3rd", "avenue", None, None),
+    "Plot 3, 9 Upper Church Lane, Hoo": ("plot 3", "9", "upper church", "lane", None, None),
+    "Flat 2, Block B, 67-70 Hawkes Way, Hoo": ("2, block b", "67-70", "hawkes", "way", None, None),
+    "12 North Park Road, Hoo": ("", "12", "north park", "road", None, None),
+    "12 North Park Close, Hoo": ("", "12", "north park", "close", None, None),
+    "Park View, 12 Mill Lane, Hoo": ("", "12", "mill", "lane", None, None),
+    "Hawkes Way 67, Hoo": ("", "67", "hawkes", "way", None, None),
 }
 
 
 @pytest.mark.parametrize("text, out", CASES.items())
 def test_parse(text, out):
     p = parse(text)
-    assert (p["flat"], p["number"], p["street"], p["kind"], p["district"], p["unit"]) == out
+    way = p["ways"][0]
+    assert (p["flat"], p["number"], way["street"], way["kind"], p["district"], p["unit"]) == out
 
 
 def test_no_address():
     assert all(parse(t) is None for t in (None, "", "TBC", "see file", "n/a", "Road", "x" * 10_000))
+    assert parse("word " * 20_000) is None
+    assert all(parse(t) is None for t in ("1 " + "mill road " * 3000, "mill road " * 3000 + "me1 1aa", "".join(f"a{chr(97 + i % 26)}b road, " for i in range(3000))))
+    assert parse("1 " + "mill road " * 90)["ways"] and parse("mill road, " * 90 + "me1 1aa")["ways"]
 
 
 @pytest.mark.parametrize("a, b, d", [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "abcd", 1), ("abc", "axc", 1), ("abc", "bca", 2), ("", "a", 1), ("abcd", "badc", 2)])
@@ -75,3 +90,37 @@ def test_places(spark):
     groups = {r["id"]: (r["place_id"], r["n_records"]) for r in place_groups(df).collect()}
     assert groups[typo] == (same[0], len(same) + 2) and groups[typo + 2] == (None, None) and len(groups) == len(rows)
     assert same_place_pairs(df.limit(0)).count() == 0
+
+
+def test_different_places_stay_apart(spark):
+    together = [
+        ["24 Warren Wood Road, Rochester ME1 1AA", "24 Warren Wood Rd, Rochester", "Rochester, 24 warren wod road, ME1 1AA"],
+        ["24 Oak Wood Road, Rochester ME1 1AB", "24 Oak Wood Rd, Rochester"],
+        ["9 Lower Church Lane, Rochester ME1 2AA", "9 lower church ln rochester"],
+        ["9 Upper Church Lane, Rochester ME1 2AB", "9 upper church la, Rochester"],
+        ["12 North Park Road, Rochester ME1 3AA", "12 North Park Rd, Rochester"],
+        ["12 North Park Close, Rochester ME1 3AB", "12 North Park Cl, Rochester"],
+        ["12 The Broadway, Rochester ME1 4AA", "12 Broadway, Rochester"],
+        ["3 Orchard Yard, Rochester ME1 5AA", "3 Orchard Yard Rochester"],
+        # alike, but with postcodes of their own
+        ["7 Mill Road, Rochester ME1 6AA", "7 Mill Rd, Rochester ME1 6AA"],
+        ["7 Hill Road, Rochester ME1 6AB", "7 Hill Rd, Rochester ME1 6AB"],
+        # a locality beside the town, known from addresses with a postcode
+        ["5 Ferry Lane, Wouldham, Rochester ME1 7AA", "5 Ferry Lane, Wouldham", "5 Ferry La, Wouldham ME1 7AA"],
+        ["5 Ferry Lane, Wouldham, Rochester ME1 7AA".replace("5 F", "Flat 1, 5 F")],
+        ["Plot 5, Ferry Lane, Wouldham"],
+        ["3rd Avenue 12, Gillingham GL1 1AA", "12 3rd Ave, Gillingham GL1 1AA"],
+    ]
+    texts = [t for group in together for t in group]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "addr_id bigint, entity_address string")
+    where = {r["id"]: r["place_id"] for r in place_groups(df).collect()}
+    got: dict = {}
+    for i, place in where.items():
+        got.setdefault(place, set()).add(texts[i])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, (set(g) for g in together)))
+
+
+def test_frequent_street_one_letter_from_another(spark):
+    rows = [f"{i} Mill Road, Rochester ME1 6AA" for i in range(60)] + [f"{i} Hill Road, Rochester ME1 6AB" for i in range(10)] + ["3 Mlil Road, Rochester ME1 6AA", "4 Mlil Road, Rochester"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "addr_id bigint, entity_address string")
+    assert {tuple(r) for r in same_place_pairs(df).collect()} == {(3, 70), (4, 71)}
