@@ -202,35 +202,14 @@ def parsed_address(address: Column) -> Column:
     return parsed.asNondeterministic()(address.cast("string"))  # evaluated once, also where a filter uses it
 
 
-def distance(a: str, b: str, most: int = 1) -> int:
-    """Edits (with transpositions of neighbours) from a to b; most + 1 if there are more than ``most``."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j - 1] + 1, last[j] + 1, last[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        before, last = last, row
-    return min(last[-1], most + 1)
-
-
-def edits(left: Column, right: Column) -> Column:
-    """``distance`` of two word columns."""
-
-    @F.arrow_udf("int")
-    def distances(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            yield pa.array([distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
-
-    return distances.asNondeterministic()(left, right)
+def distance(a: Column, b: Column) -> Column:
+    """0 for equal words, 1 for one edit or swap of neighbours, else 2."""
+    places = F.sequence(F.lit(1), F.length(a) - 1)
+    swapped = (F.length(a) == F.length(b)) & (F.length(a) > 1) & F.exists(
+        places, lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b
+    )
+    apart = F.levenshtein(a, b, 2)
+    return F.when(a == b, 0).when(apart == 1, 1).when((apart == 2) & swapped, 1).otherwise(2)
 
 
 def deletions(word: Column) -> Column:
@@ -246,7 +225,7 @@ def neighbours(left: DataFrame, right: DataFrame, block: str | None = None) -> D
     b = right.select(*keys, F.col("word").alias("v"), F.explode(deletions(F.col("word"))).alias("__cut"))
     # the planner does not see how much the deletions add to a table, so it is kept from broadcasting them
     met = a.join(b.hint("merge"), [*keys, "__cut"]).select(*keys, "w", "v").distinct()
-    return met.withColumn("d", edits(F.col("w"), F.col("v"))).filter("d <= 1")
+    return met.withColumn("d", distance(F.col("w"), F.col("v"))).filter("d <= 1")
 
 
 def canonical_phrases(counted: DataFrame, codes: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from estatelens.llm.addresses import deletions, distance, parse, place_groups, same_place_pairs
 
@@ -44,17 +45,26 @@ def test_no_address():
     assert parse("1 " + "mill road " * 90)["ways"] and parse("mill road, " * 90 + "me1 1aa")["ways"]
 
 
-@pytest.mark.parametrize("a, b, d", [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "abcd", 1), ("abc", "axc", 1), ("abc", "bca", 2), ("", "a", 1), ("abcd", "badc", 2)])
-def test_distance(a, b, d):
-    assert distance(a, b) == d and distance(b, a) == d
-
-
-def test_deletions_meet_at_one_edit(spark):
-    from pyspark.sql import functions as F
-
-    words = ["stream", "straem", "strem", "streams", "stredm", "ab", "ba", "a"]
-    cut = {r["w"]: set(r["c"]) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", deletions(F.col("w")).alias("c")).collect()}
-    assert all(cut[a] & cut[b] for a in words[:5] for b in words[:5] if distance(a, b) <= 1)
+def apart(a, b):
+    """Edits and swaps of neighbours from a to b, by the table of all prefixes."""
+    table = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                table[i][j] = min(table[i][j], table[i - 2][j - 2] + 1)
+    return table[-1][-1]
+
+
+def test_distance_and_deletions(spark):
+    rnd = random.Random(9)
+    words = ["stream", "straem", "strem", "streams", "stredm", "ab", "ba", "a", "abc", "acb", "bca", "badc", "abcd", *("".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 6))) for _ in range(60))]
+    pairs = [(a, b) for a in words for b in words]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rows = df.select("a", "b", distance(F.col("a"), F.col("b")).alias("d"), deletions(F.col("a")).alias("x"), deletions(F.col("b")).alias("y")).collect()
+    for r in rows:
+        assert r["d"] == min(apart(r["a"], r["b"]), 2), (r["a"], r["b"])
+        assert r["d"] == 2 or set(r["x"]) & set(r["y"]) or min(len(r["a"]), len(r["b"])) < 3
 
 
 def spelled(rnd, flat, number, street, kind, town, code):
