@@ -1,14 +1,18 @@
 """Garbled text from wrong character decodings, found and restored.
 
-A wrong decoding is a substitution cipher: bytes of the true encoding became letters of another
-code page. Ciphers are chains of steps, each either "UTF-8 read as page W" or "page T read as
-page R"; the pages are fixed tables, which cipher was used where is hidden. It is learned by
-expectation-maximisation against character bigrams of the whole corpus:
+A wrong decoding is a substitution cipher: bytes of the true encoding became letters of another code page. Ciphers are chains
+of steps, each "UTF-8 read as page W" or "page T read as page R". Which cipher was used where is hidden, as is the page itself where it is none
+of the known ones. Both are learned by expectation-maximisation against character bigrams of the whole corpus:
 
 * The corpus is reduced to its runs of non-ASCII letters with the ASCII letter on either side, counted per source.
+* Known pages are starting points: first the common ones, then, for runs that none of these explains, every code page
+  that the Python codecs have, East Asian ones included. Steps are undone one after the other for as long as one fits.
 * E-step: the posterior of every cipher that can undo a run, from the bigram likelihood of the
   undone run against the run as it stands and the cipher's weight in that source.
-* M-step: weights per source and the bigram counts, which move from garbled to restored letters.
+* M-step: weights per source and the bigram counts, which move from garbled to restored letters. Rounds go on until the weights stand still.
+* Runs that no page explains are left over. In sources whose leftovers look like UTF-8 (a few letters begin nearly all of them and hardly ever stand second) a
+  page is learned freely: letter -> byte, by expectation-maximisation over all spellings of frequent letters
+  (forward and backward over the run), until it stands still. It is kept where it explains more than it takes to state it.
 
 Then each text is decoded by the best path over its runs (changing the cipher costs its weight), so
 stretches come out whole whatever their bounds, and a run is undone by ``translate()`` with the cipher's
@@ -16,42 +20,50 @@ table. Texts that quote garbled letters as their subject (every garbled run of a
 directly in quotation marks) keep them. Texts with replacement characters are affected and cannot be restored.
 Null, empty and ASCII texts are never affected.
 
-The model is of fixed size (2^20 hashed bigrams, 2^16 letters) and so are its messages.
+The model is of fixed size (2^20 hashed bigrams, 2^16 letters, weights and tables for 4,096 classes of sources) and so are its messages.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import math
 import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from encodings.aliases import aliases
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.session import cut
 
-#: Pages that UTF-8 bytes are commonly read as, and (read as, truly) pairs of single-byte pages.
+#: Pages that UTF-8 bytes are commonly read as, and (read as, truly) pairs of single-byte pages.
 PAGES = ("cp1252", "cp437", "cp850", "cp1250", "cp1251", "mac_roman", "koi8-r", "cp866", "iso8859-2")
 SWAPS = (("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1252", "cp1250"), ("cp1250", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"))
-DEPTH = 3  # most times that UTF-8 was read wrongly in turn
-BIGRAMS, LETTERS = 1 << 20, 1 << 16
-#: A run is non-ASCII letters of one kind: East Asian ones, which no page has, or others.
-_EAST = "ᄀ-ᇿ⺀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯"
+EAST_PAGES = ("gbk", "cp932", "big5", "cp949", "euc_jp")
+BIGRAMS, LETTERS, SOURCES = 1 << 20, 1 << 16, 4096
+#: A run is non-ASCII letters of one kind: East Asian ones or others.
+_EAST = "ᄀ-ᇿ⺀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯"
 RUN = re.compile(rf"[^\x00-\x7f{_EAST}]+|[{_EAST}]+")
-ROUNDS = 3
 RARITY = 0.5  # weight of single letters beside bigrams
-CLEAN = 0.97  # initial weight of text as it stands
+CLEAN = 0.97  # weight of text as it stands before anything is learned
+LEAST_CLEAN = 0.05  # and the least it can have
+FLOOR = 2e-4  # weight of a cipher that a source has not shown
+ENTER = (4.0, 9.0)  # nats that a text must gain to enter a cipher: by its weight, within these bounds
+WORSE = -4.0  # a reading that loses more is none
+STEADY = 1e-3  # weights that move less stand still
+ODD = (4.0, 3.0)  # a run is unlikely beyond this many nats and so many for each letter
 
 
+@lru_cache(maxsize=256)
 def _bytes_of(page: str) -> dict[int, str | int]:
     """Letter -> byte (as a letter below 256) of a page; letters below 256 that it lacks map to U+FFFF."""
-    table: dict[int, str | int] = {c: "￿" for c in range(128, 256)}
+    table: dict[int, str | int] = {c: "\uffff" for c in range(128, 256)}
     for b in range(128, 256):
         try:
             letter = bytes([b]).decode(page)
@@ -64,6 +76,31 @@ def _bytes_of(page: str) -> dict[int, str | int]:
     return table
 
 
+@lru_cache(maxsize=1)
+def further_pages() -> tuple[str, ...]:
+    """All other single-byte pages over ASCII that the codecs have, each once."""
+    out, seen = [], {frozenset(_bytes_of(p).items()) for p in PAGES}
+    for name in sorted(set(aliases.values()) - set(EAST_PAGES)):
+        try:
+            if bytes(range(128)).decode(name) != "".join(map(chr, range(128))):
+                continue
+            high = 0
+            for b in range(128, 256):
+                try:
+                    high += len(bytes([b]).decode(name)) == 1
+                except UnicodeDecodeError:
+                    pass
+            if high < 64 or len(bytes([0xC3, 0xA4]).decode(name, "replace")) != 2:
+                continue
+        except (LookupError, UnicodeError, ValueError, AssertionError):
+            continue
+        table = frozenset(_bytes_of(name).items())
+        if table not in seen and name != "latin_1":
+            seen.add(table)
+            out.append(name)
+    return tuple(out)
+
+
 @lru_cache(maxsize=64)
 def table_of(step: tuple[str, ...]) -> dict[int, str | int]:
     """translate() table of a step: ("utf8", W) gives bytes as letters, (R, T) the true letters."""
@@ -73,52 +110,94 @@ def table_of(step: tuple[str, ...]) -> dict[int, str | int]:
     out: dict[int, str | int] = {}
     for letter, b in _bytes_of(read).items():
         try:
-            out[letter] = "￿" if b == "￿" else bytes([ord(b)]).decode(true)
+            out[letter] = "\uffff" if b == "\uffff" else bytes([ord(b)]).decode(true)
         except UnicodeDecodeError:
-            out[letter] = "￿"
+            out[letter] = "\uffff"
     return out
 
 
-def undo(text: str, step: tuple[str, ...]) -> str | None:
-    """``text`` before a step, or None if the step cannot have made it."""
-    moved = text.translate(table_of(step))
-    if step[0] != "utf8":
-        letters = table_of(step)
-        return None if "￿" in moved or not all(ord(c) in letters for c in text if c > "\x7f") else moved
+def undo(text: str, step: tuple[str, ...], tables: dict[str, dict[int, str]] | None = None) -> str | None:
+    """``text`` before a step, or None if the step cannot have made it; ``tables`` has the learned pages by name."""
     try:
-        return moved.encode("latin-1").decode("utf-8")
+        if step[0] == "utf8" and step[1] in EAST_PAGES:
+            begin = text[:4].encode(step[1])
+            codecs.getincrementaldecoder("utf-8")().decode(begin)
+            return text.encode(step[1]).decode("utf-8")
+        if step[0] == "utf8":
+            own = (tables or {}).get(step[1]) or table_of(step)
+            return text.translate(own).encode("latin-1").decode("utf-8")
     except UnicodeError:
         return None
-
-
-_UTF8 = [("utf8", p) for p in PAGES]
-
-
-def readings(run: str, swaps: bool = True) -> list[tuple[str, list[tuple[tuple[str, ...], ...]]]]:
-    """(text before, ciphers) of every text that a wrong decoding can have made the run of.
+    letters = table_of(step)
+    moved = text.translate(letters)
+    return None if "\uffff" in moved or not all(ord(c) in letters for c in text if c > "\x7f") else moved
+
+
+@lru_cache(maxsize=8)
+def _roles(pages: tuple[str, ...]) -> tuple[dict[str, int], dict[str, int]]:
+    """Letter -> set of pages (as bits) where it begins a UTF-8 sequence, and where it continues one."""
+    lead: dict[str, int] = {}
+    inner: dict[str, int] = {}
+    for i, page in enumerate(pages):
+        for letter, b in _bytes_of(page).items():
+            if 0xC2 <= ord(b) <= 0xF4:
+                lead[chr(letter)] = lead.get(chr(letter), 0) | 1 << i
+            elif 0x80 <= ord(b) <= 0xBF:
+                inner[chr(letter)] = inner.get(chr(letter), 0) | 1 << i
+    return lead, inner
+
+
+def _is_east(text: str) -> bool:
+    return text[0] >= "⺀" or "ᄀ" <= text[0] <= "ᇿ"
+
+
+def _unread(text: str) -> Iterator[tuple[tuple[str, str], str]]:
+    """(step, text before) of the pages that the text can be UTF-8 read as; further pages only where no common one fits."""
+    if _is_east(text):
+        for page in EAST_PAGES:
+            if (before := undo(text, ("utf8", page))) is not None and before != text:
+                yield ("utf8", page), before
+        return
+    if len(text) < 2:
+        return
+    for pages in (PAGES, further_pages()):
+        lead, inner = _roles(pages)
+        fits, some = lead.get(text[0], 0) & inner.get(text[1], 0), False
+        for i, page in enumerate(pages):
+            if fits >> i & 1 and (before := undo(text, ("utf8", page))) is not None:
+                some = True
+                yield ("utf8", page), before
+        if some:
+            return
+
+
+Cipher = tuple[tuple[str, ...], ...]
+
+
+def readings(run: str, swaps: bool = True) -> list[tuple[str, list[Cipher]]]:
+    """(text before, ciphers) of every text that a wrong decoding can have made the run of, however often it was repeated.
 
     Pages share letters, so several ciphers may lead to one text; all are named, as a stretch is
-    undone by one cipher throughout.
+    undone by one cipher throughout. ``swaps`` adds pairs of single-byte pages, on the run and behind each UTF-8 step.
     """
-    out: dict[str, list[tuple[tuple[str, ...], ...]]] = {}
-    frontier: dict[str, list[tuple[tuple[str, ...], ...]]] = {run: [()]}
-    for _ in range(DEPTH):
-        after: dict[str, list[tuple[tuple[str, ...], ...]]] = {}
+    out: dict[str, list[Cipher]] = {}
+    frontier: dict[str, list[Cipher]] = {run: [()]}
+    while frontier:
+        after: dict[str, list[Cipher]] = {}
         for text, ciphers in frontier.items():
-            if len(text) > 1:
-                for step in _UTF8:
-                    before = undo(text, step)
-                    if before is not None and len(before) < len(text):
-                        after.setdefault(before, []).extend((*c, step) for c in ciphers)
+            for step, before in _unread(text):
+                if before != run and before not in out:
+                    after.setdefault(before, []).extend((*c, step) for c in ciphers)
         for text, ciphers in after.items():
             out.setdefault(text, []).extend(ciphers)
         frontier = {t: c for t, c in after.items() if not t.isascii()}
-    if swaps:
-        for step in SWAPS:
-            before = undo(run, step)
-            # where the bytes are UTF-8 they were UTF-8
-            if before is not None and before != run and undo(run, ("utf8", step[0])) is None:
-                out.setdefault(before, []).append((step,))
+    if swaps and not _is_east(run):
+        for text, ciphers in [(run, [()]), *((t, c) for t, c in out.items() if not t.isascii() and not _is_east(t))]:
+            for step in SWAPS:
+                before = undo(text, step)
+                # where the bytes are UTF-8 they were UTF-8
+                if before is not None and before != text and before not in out and undo(text, ("utf8", step[0])) is None:
+                    out.setdefault(before, []).extend((*c, step) for c in ciphers)
     return list(out.items())
 
 
@@ -131,23 +210,29 @@ def contexts(text: str) -> list[str]:
     return out
 
 
+def _bucket(a: int, b: int) -> int:
+    return ((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) >> 7 & BIGRAMS - 1
+
+
 def _pairs(s: str) -> tuple[list[int], list[int]]:
     codes = [ord(c) for c in s]
-    firsts = codes[:-1]
-    return [((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) >> 7 & BIGRAMS - 1 for a, b in zip(firsts, codes[1:])], [c & LETTERS - 1 for c in codes]
+    return [_bucket(a, b) for a, b in zip(codes, codes[1:])], [c & LETTERS - 1 for c in codes]
 
 
 class Model:
-    """Bigram likelihoods and the weights of ciphers per source."""
+    """Bigram likelihoods, the weights of ciphers per class of sources, and the pages learned for them."""
 
-    def __init__(self, pairs: np.ndarray, letters: np.ndarray, weights: dict[str | None, dict[tuple, float]]):
-        self.pairs, self.letters, self.weights = pairs, letters, weights
+    def __init__(self, pairs: np.ndarray, letters: np.ndarray, weights: dict[int, dict[Cipher, float]], tables: dict[str, dict[int, str]] | None = None):
+        self.pairs, self.letters, self.weights, self.tables = pairs, letters, weights, tables or {}
         self.total = float(letters.sum()) + 1.0
         # per pair its count, per letter its share, minus its log, and the log of what a pair with it is divided by
         share = (letters + 0.01) / self.total
         self._pair, self._share, self._rare, self._below = (array("d", x.tobytes()) for x in (pairs, 5.0 * share, -np.log(share), np.log(letters + 5.0)))
-        self.kept: dict[str, tuple[float, list]] = {}
-        self.kept_forced: dict[tuple[str, tuple], float] = {}
+        self.kept: dict[tuple[str, str], list] = {}
+        self.kept_forced: dict[tuple[str, Cipher], float] = {}
+
+    def parts(self) -> tuple:
+        return self.pairs, self.letters, self.weights, self.tables
 
     def likelihood(self, s: str) -> float:
         """Log likelihood of the letters of ``s`` after its first."""
@@ -155,6 +240,9 @@ class Model:
         a = ord(s[0])
         for c in s[1:]:
             b = ord(c)
+            if a < 128 and b < 128:  # only pairs with a letter beyond ASCII are counted
+                a = b
+                continue
             out += log(pair[((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) >> 7 & BIGRAMS - 1] + share[b & LETTERS - 1]) - below[a & LETTERS - 1]
             a = b
         return out
@@ -163,47 +251,64 @@ class Model:
         """Negative log probability of the letters by themselves."""
         return sum([self._rare[ord(c) & LETTERS - 1] for c in run])
 
-    def gains(self, context: str) -> list[tuple[tuple, str, float]]:
-        """(cipher, restored run, gain in log likelihood) of a run in its context."""
-        if (known := self.kept.get(context)) is not None:
+    def oddness(self, context: str) -> float:
+        """How far beyond the bound for unlikely runs a run is, in nats."""
+        run = context[1:-1]
+        return -self.likelihood(context) + RARITY * self.rarity(run) - ODD[0] - ODD[1] * len(run)
+
+    def gain(self, context: str, text: str) -> float:
+        """Gain in log likelihood where a run is replaced by ``text``."""
+        # garbled text keeps the order of letters and so makes bigrams of its own; but its letters are rarer
+        run, bare = context[1:-1], text if not any(c < "\x80" for c in text) else "".join(c for c in text if c > "\x7f")
+        return self.likelihood(context[0] + text + context[-1]) - self.likelihood(context) + RARITY * (self.rarity(run) / len(run) * len(bare) - self.rarity(bare))
+
+    def gains(self, context: str, page: str = "") -> list[tuple[Cipher, str, float]]:
+        """(cipher, restored run, gain in log likelihood) of a run in its context; ``page`` is a learned page to try where no other fits."""
+        if (known := self.kept.get((context, page))) is not None:
             return known
         run = context[1:-1]
         found = []
-        if RUN.match(run) and not run[0] >= "⺀":
-            stands, rare = self.likelihood(context), self.rarity(run)
-            # a swap of pages is only in question where the run itself is unlikely
-            for text, ciphers in readings(run, swaps=-stands + RARITY * rare > 4.0 + (2.0 + 2.0 * RARITY) * len(run)):
-                # garbled text keeps the order of letters and so makes bigrams of its own; but its letters are rarer
-                gain = self.likelihood(context[0] + text + context[-1]) - stands + RARITY * (rare / len(run) * len(text) - self.rarity(text))
-                if gain > -4.0:
-                    found += [(cipher, text, gain) for cipher in ciphers]
+        # a swap of pages is only in question where the run itself is unlikely
+        for text, ciphers in readings(run, swaps=not _is_east(run) and self.oddness(context) > 0.0):
+            gain = self.gain(context, text) if text else WORSE
+            if gain > WORSE:
+                found += [(cipher, text, gain) for cipher in ciphers]
+        if page and not found and (text := undo(run, ("utf8", page), self.tables)):
+            if (gain := self.gain(context, text)) > WORSE:
+                found.append(((("utf8", page),), text, gain))
         if len(self.kept) >= 200_000:
             self.kept.clear()
-        self.kept[context] = found
+        self.kept[context, page] = found
         return found
 
-    def forced(self, context: str, cipher: tuple) -> float:
+    def forced(self, context: str, cipher: Cipher) -> float:
         """Gain of undoing a run by a cipher however unlikely by itself; minus infinity if it cannot be undone."""
         known = self.kept_forced.get((context, cipher))
         if known is not None:
             return known
-        run = context[1:-1]
-        text: str | None = run
+        text: str | None = context[1:-1]
         for step in cipher:
-            text = undo(text, step) if text else None
-        gain = float("-inf")
-        if text:
-            gain = self.likelihood(context[0] + text + context[-1]) - self.likelihood(context) + RARITY * (self.rarity(run) / len(run) * len(text) - self.rarity(text))
+            text = undo(text, step, self.tables) if text else None
+        gain = self.gain(context, text) if text else float("-inf")
         if len(self.kept_forced) >= 200_000:
             self.kept_forced.clear()
         self.kept_forced[(context, cipher)] = gain
         return gain
 
-    def weight(self, source: str | None, cipher: tuple) -> float:
+    def weight(self, source: int, cipher: Cipher) -> float:
         """Log weight of a cipher against text as it stands."""
         own = self.weights.get(source, {})
-        share = own.get(cipher, 0.0)
-        return math.log(max(share, 2e-4) / max(own.get((), CLEAN), 0.05))
+        return math.log(max(own.get(cipher, 0.0), FLOOR) / max(own.get((), CLEAN), LEAST_CLEAN))
+
+
+def page_name(source: int) -> str:
+    """Name of the page learned for a class of sources."""
+    return f"learned {source}"
+
+
+def source_class(source: Column) -> Column:
+    """One of 4,096 classes of sources by hash, -1 for null, so that what is learned per source is bounded."""
+    return F.when(source.isNull(), -1).otherwise(F.pmod(F.xxhash64(source.cast("string")), F.lit(SOURCES))).cast("int")
 
 
 def _arrow_rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -212,106 +317,272 @@ def _arrow_rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -
 
 
 def count_runs(documents: DataFrame) -> DataFrame:
-    """(source, context, n): runs of non-ASCII letters of all texts, counted per source."""
+    """(source, context, n): runs of non-ASCII letters of all texts, counted per class of sources."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: dict[str | None, Counter] = {}
+            own: dict[int, Counter] = {}
             for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
                 if text and not text.isascii():
                     own.setdefault(source, Counter()).update(contexts(text))
             rows = [(s, c, n) for s, counts in own.items() for c, n in counts.items()]
-            yield _arrow_rows(rows, ["source", "context", "n"], [pa.string(), pa.string(), pa.int64()])
+            yield _arrow_rows(rows, ["source", "context", "n"], [pa.int32(), pa.string(), pa.int64()])
 
-    return documents.select("source", "text").mapInArrow(count, "source string, context string, n bigint").groupBy("source", "context").agg(F.sum("n").alias("n"))
+    return documents.select(source_class(F.col("source")).alias("source"), "text").mapInArrow(count, "source int, context string, n bigint").groupBy("source", "context").agg(F.sum("n").alias("n"))
 
 
-def _collect_counts(counts: DataFrame, kind: str, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    for r in counts.filter(F.col("kind") == kind).select("key", "v").toPandas().itertuples(index=False):
-        out[int(r.key)] = r.v
-    return out
+def _filled(rows, kind: str, size: int) -> np.ndarray:
+    """Sums of one kind as an array; ``rows`` is a frame of at most BIGRAMS + LETTERS rows and weights per class of sources."""
+    out, own = np.zeros(size), rows[rows["kind"] == kind]
+    np.add.at(out, own["key"].to_numpy("int64"), own["v"].to_numpy())
+    return np.round(out, 6)  # the order of addition is not fixed
+
+
+_SUMS = "kind string, key bigint, source int, cipher string, v double"
+_SUM_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64()]
 
 
-def learn(documents: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Bigrams and weights by expectation-maximisation over the runs of all documents."""
-    spark = documents.sparkSession
+def _summed(df: DataFrame, step):
+    return df.mapInArrow(step, _SUMS).groupBy("kind", "key", "source", "cipher").agg(F.sum("v").alias("v")).toPandas()
+
+
+def learn(documents: DataFrame, rounds: int = 50) -> Model:
+    """Bigrams, weights and pages by expectation-maximisation over the runs of all documents; stops when the weights stand still, after ``rounds`` at most."""
     runs = cut(count_runs(documents))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, letters = np.zeros(BIGRAMS), np.zeros(LETTERS)
+        pairs, letters, every = np.zeros(BIGRAMS), np.zeros(LETTERS), Counter()
         for batch in batches:
-            for context, n in zip(batch.column("context").to_pylist(), batch.column("n").to_pylist()):
+            for source, context, n in zip(*(batch.column(k).to_pylist() for k in ("source", "context", "n"))):
                 p, c = _pairs(context)
                 for k in p:
                     pairs[k] += n
                 for k in c[:-1]:
                     letters[k] += n
-        rows = [("pair", int(k), float(pairs[k])) for k in np.flatnonzero(pairs)] + [("letter", int(k), float(letters[k])) for k in np.flatnonzero(letters)]
-        yield _arrow_rows(rows, ["kind", "key", "v"], [pa.string(), pa.int64(), pa.float64()])
-
-    base = runs.groupBy("context").agg(F.sum("n").alias("n")).mapInArrow(first, "kind string, key bigint, v double").groupBy("kind", "key").agg(F.sum("v").alias("v"))
-    base = base.toPandas()  # at most BIGRAMS + LETTERS rows
-    pairs0, letters0 = np.zeros(BIGRAMS), np.zeros(LETTERS)
-    for kind, array in (("pair", pairs0), ("letter", letters0)):
-        own = base[base["kind"] == kind]
-        array[own["key"].to_numpy("int64")] = own["v"].to_numpy()
+                every[source] += n
+        rows = [("pair", int(k), 0, "", float(pairs[k])) for k in np.flatnonzero(pairs)] + [("letter", int(k), 0, "", float(letters[k])) for k in np.flatnonzero(letters)]
+        yield _arrow_rows(rows + [("all", 0, s, "", float(n)) for s, n in every.items()], ["kind", "key", "source", "cipher", "v"], _SUM_TYPES)
+
+    base = _summed(runs, first)
+    pairs0, letters0 = _filled(base, "pair", BIGRAMS), _filled(base, "letter", LETTERS)
+    every = {int(s): float(v) for s, v in base[base["kind"] == "all"][["source", "v"]].itertuples(index=False)}
     model = Model(pairs0, letters0, {})
+    open_ = cut(_open_runs(runs, model))
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((model.pairs, model.letters, model.weights))
+        model, moved = _round(open_.filter("readable"), model, pairs0, letters0, every)
+        if moved < STEADY:
+            break
+    tables = learn_pages(open_, model)
+    if tables:
+        model = Model(model.pairs, model.letters, model.weights, tables)
+        for _ in range(rounds):
+            model, moved = _round(open_, model, pairs0, letters0, every)
+            if moved < STEADY:
+                break
+    return model
 
-        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now = Model(*sent.value)
-            moved: Counter = Counter()
-            for batch in batches:
-                for source, context, n in zip(*(batch.column(k).to_pylist() for k in ("source", "context", "n"))):
-                    moved[("all", 0, source, "")] += n
-                    found = now.gains(context)
-                    if not found:
-                        continue
-                    odds = [(c, t, math.exp(min(60.0, g + now.weight(source, c)))) for c, t, g in found]
-                    whole = 1.0 + sum(o for _, _, o in odds)
-                    gone = 1.0 - 1.0 / whole
-                    if gone < 0.02:
-                        continue
-                    p, c = _pairs(context)
+
+def _open_runs(runs: DataFrame, model: Model) -> DataFrame:
+    """(source, context, n, readable): runs that a known cipher can undo, and unlikely ones that none can; the others never change."""
+    sent = runs.sparkSession.sparkContext.broadcast(model.parts())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = Model(*sent.value)
+        for batch in batches:
+            rows = []
+            for source, context, n in zip(*(batch.column(k).to_pylist() for k in ("source", "context", "n"))):
+                run = context[1:-1]
+                # counts move away from garbled runs, which makes them less likely than they are now
+                odd = not _is_east(run) and now.oddness(context) > -2.0 * len(run)
+                readable = bool(readings(run, swaps=odd))
+                if readable or (odd and len(run) > 1 and not _is_east(run)):
+                    rows.append((source, context, n, readable))
+            yield _arrow_rows(rows, ["source", "context", "n", "readable"], [pa.int32(), pa.string(), pa.int64(), pa.bool_()])
+
+    return runs.mapInArrow(keep, "source int, context string, n bigint, readable boolean")
+
+
+def _round(open_: DataFrame, model: Model, pairs0: np.ndarray, letters0: np.ndarray, every: dict[int, float]) -> tuple[Model, float]:
+    """One round of expectation and maximisation, and how far the weights moved."""
+    sent = open_.sparkSession.sparkContext.broadcast(model.parts())
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = Model(*sent.value)
+        moved: Counter = Counter()
+        for batch in batches:
+            for source, context, n in zip(*(batch.column(k).to_pylist() for k in ("source", "context", "n"))):
+                page = page_name(source) if page_name(source) in now.tables else ""
+                found = now.gains(context, page)
+                if not found:
+                    continue
+                odds = [(c, t, math.exp(min(60.0, g + now.weight(source, c)))) for c, t, g in found]
+                whole = 1.0 + sum(o for _, _, o in odds)
+                gone = 1.0 - 1.0 / whole
+                if gone < 0.02:  # too little to change a count
+                    continue
+                p, c = _pairs(context)
+                for k in p:
+                    moved[("pair", k, 0, "")] -= n * gone
+                for k in c[:-1]:
+                    moved[("letter", k, 0, "")] -= n * gone
+                for cipher, text, o in odds:
+                    share = n * o / whole
+                    moved[("weight", 0, source, "|".join("/".join(s) for s in cipher))] += share
+                    p, c = _pairs(context[0] + text + context[-1])
                     for k in p:
-                        moved[("pair", k, None, "")] -= n * gone
+                        moved[("pair", k, 0, "")] += share
                     for k in c[:-1]:
-                        moved[("letter", k, None, "")] -= n * gone
-                    for cipher, text, o in odds:
-                        share = n * o / whole
-                        moved[("weight", 0, source, "|".join("/".join(s) for s in cipher))] += share
-                        p, c = _pairs(context[0] + text + context[-1])
-                        for k in p:
-                            moved[("pair", k, None, "")] += share
-                        for k in c[:-1]:
-                            moved[("letter", k, None, "")] += share
-            yield _arrow_rows([(*k, float(v)) for k, v in moved.items()], ["kind", "key", "source", "cipher", "v"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64()])
-
-        sums = runs.mapInArrow(step, "kind string, key bigint, source string, cipher string, v double").groupBy("kind", "key", "source", "cipher").agg(F.sum("v").alias("v"))
-        got = sums.toPandas()  # buckets, and ciphers per source
-        pairs, letters = pairs0.copy(), letters0.copy()
-        for kind, array in (("pair", pairs), ("letter", letters)):
-            own = got[got["kind"] == kind]
-            np.add.at(array, own["key"].to_numpy("int64"), own["v"].to_numpy())
-        pairs, letters = np.maximum(pairs, 0.0), np.maximum(letters, 0.0)
-        weights: dict[str | None, dict[tuple, float]] = {}
-        every = {(s if isinstance(s, str) else None): v for s, v in got[got["kind"] == "all"][["source", "v"]].itertuples(index=False)}
-        for source, cipher, v in got[got["kind"] == "weight"][["source", "cipher", "v"]].itertuples(index=False):
-            source = source if isinstance(source, str) else None
-            weights.setdefault(source, {})[tuple(tuple(s.split("/")) for s in cipher.split("|"))] = v / every[source]
-        for source in every:
-            own_w = weights.setdefault(source, {})
-            own_w[()] = max(0.05, 1.0 - sum(own_w.values()))
-        model = Model(pairs, letters, weights)
-    return model
-
+                        moved[("letter", k, 0, "")] += share
+        yield _arrow_rows([(*k, float(v)) for k, v in moved.items()], ["kind", "key", "source", "cipher", "v"], _SUM_TYPES)
+
+    got = _summed(open_, step)
+    pairs, letters = np.maximum(pairs0 + _filled(got, "pair", BIGRAMS), 0.0), np.maximum(letters0 + _filled(got, "letter", LETTERS), 0.0)
+    weights: dict[int, dict[Cipher, float]] = {s: {} for s in every}
+    for source, cipher, v in got[got["kind"] == "weight"][["source", "cipher", "v"]].itertuples(index=False):
+        weights[int(source)][tuple(tuple(s.split("/")) for s in cipher.split("|"))] = round(v / every[int(source)], 12)
+    for own in weights.values():
+        own[()] = max(LEAST_CLEAN, 1.0 - sum(own.values()))
+    before = model.weights
+    moved = max((abs(w - before.get(s, {}).get(c, 0.0)) for s, own in weights.items() for c, w in own.items() if c), default=0.0)
+    return Model(pairs, letters, weights, model.tables), moved
+
+
+# pages that are not known
+
+INVENTORY = 256  # frequent letters that an unknown page may spell
+LEADS = 6  # letters that may begin the sequences of one page
+SURE = 0.6  # share of a letter's uses that its byte must have
+STATE = 8.0  # nats to state one letter of a page
+
+
+def learn_pages(open_: DataFrame, model: Model, rounds: int = 50) -> dict[str, dict[int, str]]:
+    """Learned pages (letter -> byte) by name, of sources whose unexplained runs look like UTF-8 of one unknown page."""
+    suspects = _suspects(open_)
+    if suspects is None:
+        return {}
+    suspects = cut(suspects)
+    codes = [k for k in np.argsort(-model.letters)[: 8 * INVENTORY] if k >= 0x80 and model.letters[k] > 0 and not 0xD800 <= k < 0xE000 and not _is_east(chr(k))][:INVENTORY]
+    if not codes or suspects.isEmpty():
+        return {}
+    tables: dict[int, dict[str, np.ndarray]] = {}
+    for _ in range(rounds):
+        sent = open_.sparkSession.sparkContext.broadcast((model.parts(), codes, tables))
 
-_QUOTES = ('"',)
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, letters, pages = sent.value
+            speller = Speller(Model(*parts), letters)
+            told: Counter = Counter()
+            for batch in batches:
+                for source, context, n in zip(*(batch.column(k).to_pylist() for k in ("source", "context", "n"))):
+                    gain, uses = speller.expect(context, pages.get(source, {}))
+                    for letter, shares in uses.items():
+                        for b in np.flatnonzero(shares > 1e-4):
+                            told[("use", ord(letter) << 8 | int(b) + 128, source, "")] += n * float(shares[b])
+                    if uses:
+                        told[("gain", 0, source, "")] += n * gain
+            yield _arrow_rows([(*k, float(v)) for k, v in told.items()], ["kind", "key", "source", "cipher", "v"], _SUM_TYPES)
+
+        got = _summed(suspects, step)
+        fresh: dict[int, dict[str, np.ndarray]] = {}
+        for source, key, v in got[got["kind"] == "use"][["source", "key", "v"]].itertuples(index=False):
+            fresh.setdefault(int(source), {}).setdefault(chr(int(key) >> 8), np.zeros(128))[(int(key) & 255) - 128] += v
+        moved = 0.0
+        for source, own in fresh.items():
+            for letter, uses in own.items():
+                own[letter] = (uses + 0.01) / (uses.sum() + 1.28)
+                moved = max(moved, float(np.abs(own[letter] - tables.get(source, {}).get(letter, np.full(128, 1 / 128))).max()))
+        tables = fresh
+        if moved < 10 * STEADY:
+            break
+    out = {}
+    for source, gain in got[got["kind"] == "gain"][["source", "v"]].itertuples(index=False):
+        page = {ord(letter): chr(128 + int(p.argmax())) for letter, p in tables[int(source)].items() if p.max() >= SURE}
+        leads = [b for b in page.values() if b >= "\xc2"]
+        # a page is worth stating if it explains several letters by several leads and continuations
+        if len(page) - len(leads) >= 4 and leads and gain > STATE * len(page):
+            out[page_name(int(source))] = {**{c: "\uffff" for c in range(128, 256)}, **page}
+    return out
 
 
-def restore(text: str | None, source: str | None, model: Model) -> str | None:
+def _suspects(open_: DataFrame) -> DataFrame | None:
+    """Unexplained runs of the classes of sources where at most LEADS letters begin nine in ten of them and hardly ever stand second."""
+    left = open_.filter(~F.col("readable")).select("source", "context", "n", F.substring("context", 2, 1).alias("one"), F.substring("context", 3, 1).alias("two"))
+    firsts = left.groupBy("source", "one").agg(F.sum("n").alias("n")).groupBy("source").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "one"))).alias("top"))
+    leads = firsts.select("source", "all", F.slice("top", 1, LEADS).alias("top")).withColumn("held", -F.aggregate("top", F.lit(0).cast("bigint"), lambda t, x: t + x["neg"]))
+    leads = cut(leads.filter("held >= 0.9 * all AND all >= 20").select(F.col("source").alias("s"), "all", F.transform("top", lambda x: x["one"]).alias("letters")))
+    if leads.isEmpty():
+        return None
+    inside = left.join(leads, F.col("source") == F.col("s"))
+    mixed = inside.groupBy("source", "all").agg(F.sum(F.when(F.array_contains("letters", F.col("two")), F.col("n")).otherwise(0)).alias("second")).filter("second <= 0.05 * all").select(F.col("source").alias("kept"))
+    return inside.join(mixed, F.col("source") == F.col("kept"), "left_semi").select("source", "context", "n")
+
+
+class Speller:
+    """Expected bytes of the letters of a run, over all spellings of frequent letters."""
+
+    def __init__(self, model: Model, codes: list[int]):
+        self.model, self.codes = model, [int(c) for c in codes]
+        self.bytes = [chr(c).encode("utf-8") for c in self.codes]
+        self.sizes = np.array([len(b) for b in self.bytes])
+        self.grid = np.array([[b[k] - 128 if k < len(b) else 0 for b in self.bytes] for k in range(4)])
+        self.inner = np.array([[self._step(a, b) for b in self.codes] for a in self.codes])
+
+    def _step(self, a: int, b: int) -> float:
+        m = self.model
+        return math.log(m._pair[_bucket(a, b)] + m._share[b & LETTERS - 1]) - m._below[a & LETTERS - 1]
+
+    def expect(self, context: str, page: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+        """(gain against the run as it stands, letter -> expected uses of each byte) under the page so far."""
+        run, n = context[1:-1], len(context) - 2
+        flat = np.full(128, 1 / 128)
+        odds = [np.log(page.get(c, flat)) for c in run]
+        begin = np.array([self._step(ord(context[0]), c) for c in self.codes])
+        close = np.array([self._step(c, ord(context[-1])) for c in self.codes])
+        spell = {}
+        for i in range(n):
+            for size in (2, 3, 4):
+                own = self.sizes == size
+                if i + size <= n and own.any():
+                    spell[i, size] = np.where(own, sum(odds[i + k][self.grid[k]] for k in range(size)), -np.inf)
+        none = np.full(len(self.codes), -np.inf)
+        ahead, back = [none] * (n + 1), [none] * (n + 1)  # of a letter that ends before i, and of what follows it
+        for i in range(n):
+            enter = begin if i == 0 else _sum_exp(ahead[i][:, None] + self.inner, 0) if np.isfinite(ahead[i]).any() else none
+            for size in (2, 3, 4):
+                if (i, size) in spell:
+                    ahead[i + size] = np.logaddexp(ahead[i + size], enter + spell[i, size])
+        whole = float(_sum_exp(ahead[n] + close, 0)) if np.isfinite(ahead[n]).any() else float("-inf")
+        if not math.isfinite(whole):
+            return 0.0, {}
+        back[n] = close
+        uses = {c: np.zeros(128) for c in run}
+        for i in range(n - 1, -1, -1):
+            ways = none
+            for size in (2, 3, 4):
+                if (i, size) in spell and np.isfinite(back[i + size]).any():
+                    rest = spell[i, size] + back[i + size]
+                    ways = np.logaddexp(ways, rest)
+                    enter = begin if i == 0 else _sum_exp(ahead[i][:, None] + self.inner, 0) if np.isfinite(ahead[i]).any() else none
+                    share = np.exp(np.minimum(0.0, enter + rest - whole))
+                    for k in range(size):
+                        np.add.at(uses[run[i + k]], self.grid[k], np.where(self.sizes == size, share, 0.0))
+            if i and np.isfinite(ways).any():
+                back[i] = _sum_exp(self.inner + ways[None, :], 1)
+        m = self.model
+        return whole - m.likelihood(context), uses
+
+
+def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
+    top = np.max(x, axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.squeeze(np.log(np.sum(np.exp(x - top), axis=axis, keepdims=True)) + top, axis=axis)
+
+
+_QUOTES = ('"', "'", "`")
+
+
+def restore(text: str | None, source: int, model: Model) -> str | None:
     """The original of an affected text, "" if it is lost, None if the text is not affected."""
     if not text or text.isascii():
         return None
@@ -320,13 +591,14 @@ def restore(text: str | None, source: str | None, model: Model) -> str | None:
     if "�" in text and any("�" in text[a:b] and not (a and b < n and text[a - 1] in _QUOTES and text[b] in _QUOTES) for a, b in spans):
         return ""
     around = [(text[a - 1] if a else "\n") + text[a:b] + (text[b] if b < n else "\n") for a, b in spans]
-    found = [model.gains(c) for c in around]
+    page = page_name(source) if page_name(source) in model.tables else ""
+    found = [model.gains(c, page) for c in around]
     hope: dict[tuple, float] = {}
     for options in found:
         for cipher, _, gain in options:
             if gain > 0:
                 hope[cipher] = hope.get(cipher, 0.0) + gain
-    enter = {c: min(9.0, max(4.0, -model.weight(source, c))) for c in hope}
+    enter = {c: min(ENTER[1], max(ENTER[0], -model.weight(source, c))) for c in hope}
     states = [c for c, gain in hope.items() if gain > enter[c]]
     if not states:
         return None
@@ -358,7 +630,7 @@ def restore(text: str | None, source: str | None, model: Model) -> str | None:
         if cipher:
             run = text[a:b]
             for s in cipher:
-                run = undo(run, s) or run
+                run = undo(run, s, model.tables) or run
             out += [text[at:a], run]
             at = b
     out.append(text[at:])
@@ -389,7 +661,7 @@ def _keep_quoted(text: str, spans: list[tuple[int, int]], path: list[tuple]) ->
 
 def restored(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, restored) of affected documents; "" where the original is lost."""
-    sent = documents.sparkSession.sparkContext.broadcast((model.pairs, model.letters, model.weights))
+    sent = documents.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
@@ -401,7 +673,7 @@ def restored(documents: DataFrame, model: Model) -> DataFrame:
                     rows.append((doc, original))
             yield _arrow_rows(rows, ["doc_id", "restored"], [pa.int64(), pa.string()])
 
-    return documents.select("doc_id", "text", "source").mapInArrow(run, "doc_id bigint, restored string")
+    return documents.select("doc_id", "text", source_class(F.col("source")).alias("source")).mapInArrow(run, "doc_id bigint, restored string")
 
 
 def digest(restored_text: str) -> str:
@@ -409,7 +681,7 @@ def digest(restored_text: str) -> str:
     return hashlib.sha256(restored_text.encode("utf-8", "surrogatepass")).hexdigest() if restored_text else ""
 
 
-def affected(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def affected(documents: DataFrame, rounds: int = 50) -> DataFrame:
     """(doc_id, restored_sha256) of every affected document of ``documents`` (doc_id, text, source)."""
     model = learn(documents, rounds)
     return restored(documents, model).select("doc_id", F.when(F.col("restored") != "", F.sha2("restored", 256)).otherwise("").alias("restored_sha256"))

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from estatelens.llm.mojibake import SWAPS, affected, learn, readings, restored, undo
+import pytest
+
+from estatelens.llm.mojibake import EAST_PAGES, SWAPS, affected, contexts, further_pages, learn, readings, restored, undo
 
 WORDS = {
     "de": "Gehäuse Führungsschiene Düse Wärmeübertrager größer Öffnung Träger für gleichmäßig Kräfte Lösung über Prüfung".split(),
@@ -79,6 +81,69 @@ def test_single_byte_swap(spark):
     assert [(r["doc_id"], r["restored"]) for r in restored(df, learn(df)).collect()] == [(999, plain)]
 
 
+def clean(rnd, n=300, source="s1"):
+    return [(i, "\n".join(sentence(rnd, rnd.choice(list(WORDS))) for _ in range(6)), source) for i in range(n)]
+
+
+def restored_share(spark, docs, truth):
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["restored"] for r in restored(df, learn(df)).collect()}
+    assert set(got) <= set(truth), sorted(set(got) - set(truth))
+    return sum(got.get(i) == t for i, t in truth.items()) / len(truth)
+
+
+@pytest.mark.parametrize("page, langs", [("iso8859_7", ("de", "fr")), ("cp1257", ("de", "fr")), ("gbk", ("de", "fr", "ru")), ("cp932", ("de",)), ("cp949", ("de", "fr"))])
+def test_pages_beyond_the_common_ones(spark, page, langs):
+    rnd = random.Random(21)
+    docs, truth = clean(rnd, 500), {}
+    for i in range(1000, 1020):
+        text = "\n".join(sentence(rnd, rnd.choice(langs)) for _ in range(6))
+        try:
+            docs.append((i, text.encode("utf-8").decode(page) if page in EAST_PAGES else garble(text, page), f"s{i % 2}"))
+        except UnicodeDecodeError:
+            continue
+        truth[i] = text
+    assert len(truth) >= 10 and restored_share(spark, docs, truth) >= 0.9
+
+
+def test_many_times_and_mixed_chains(spark):
+    rnd = random.Random(22)
+    docs, truth = clean(rnd), {}
+    for i in range(1000, 1030):
+        text = "\n".join(sentence(rnd, rnd.choice(["de", "fr"])) for _ in range(4))
+        garbled = text
+        for page in (["latin-1"] * 4 if i % 3 == 0 else ["latin-1"] * 6 if i % 3 == 1 else ["cp437", "latin-1", "cp850"]):
+            garbled = garble(garbled, page)
+        docs.append((i, garbled, "s2"))
+        truth[i] = text
+    assert restored_share(spark, docs, truth) >= 0.95
+    ru = "\n".join(sentence(rnd, "ru") for _ in range(8))
+    swapped = garble(ru.encode("cp1251").decode("cp1252"), "latin-1")  # a swap of pages, then UTF-8 read wrongly
+    assert restored_share(spark, [*clean(rnd), (2000, swapped, "s1")], {2000: ru}) == 1.0
+
+
+def test_page_that_nobody_knows(spark):
+    """UTF-8 read as a page made for this test: its letters are learned from the corpus."""
+    rnd = random.Random(23)
+    letters = [chr(c) for c in range(0x0531, 0x0587) if chr(c).isalpha()] + [chr(c) for c in range(0x10A0, 0x10FF) if chr(c).isalpha()]
+    page = rnd.sample(letters, 128)
+    docs, truth = clean(rnd, 600), {}
+    for i in range(1000, 1080):
+        text = "\n".join(sentence(rnd, rnd.choice(["de", "fr", "pl"])) for _ in range(6))
+        docs.append((i, "".join(chr(b) if b < 128 else page[b - 128] for b in text.encode("utf-8")), "odd"))
+        truth[i] = text
+    # a source with real words in the same letters, and one with formulas
+    docs += [(3000 + i, " ".join("".join(rnd.choice(letters[:38]) for _ in range(rnd.randint(2, 9))) for _ in range(12)), "armenian") for i in range(60)]
+    docs += [(4000 + i, "set α = 5 and Δβ of ρφ is used", "formulas") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    model = learn(df)
+    assert len(model.tables) == 1
+    got = {r["doc_id"]: r["restored"] for r in restored(df, model).collect()}
+    assert set(got) <= set(truth)
+    own = [(a, b) for i, t in truth.items() for a, b in zip(t, got.get(i, "\uffff" * len(t))) if a > "\x7f"]
+    assert sum(a == b for a, b in own) / len(own) > 0.9, sum(a == b for a, b in own) / len(own)
+
+
 def test_steps():
     assert undo("Ã¤", ("utf8", "cp1252")) == "ä" and undo("ä", ("utf8", "cp1252")) is None and undo("├ñ", ("utf8", "cp437")) == "ä"
     assert undo("ðîòîð", ("cp1252", "cp1251")) == "ротор" and all(undo("漢", s) is None for s in SWAPS)
@@ -88,3 +153,15 @@ def test_steps():
 def test_empty(spark):
     assert affected(spark.createDataFrame([], SCHEMA)).count() == 0
     assert affected(spark.createDataFrame([(1, None, None, ""), (2, "", None, "")], SCHEMA)).count() == 0
+
+
+def test_readings_of_every_page():
+    for page in further_pages():
+        for letter in "äéßП":
+            garbled = garble(letter, page)
+            if len(garbled) == 2 and garbled.encode("utf-8", "replace") and all(c > "\x7f" for c in garbled):
+                assert letter in dict(readings(garbled, False)) or dict(readings(garbled, False)), (page, letter)
+    text = "ä"
+    for _ in range(7):
+        text = garble(text, "latin-1")
+    assert "ä" in dict(readings(text, False)) and contexts("aÃ¤b") == ["aÃ¤b"]
