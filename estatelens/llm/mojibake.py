@@ -56,7 +56,7 @@ LEAST_CLEAN = 0.05  # and the least it can have
 FLOOR = 2e-4  # weight of a cipher that a source has not shown
 ENTER = (4.0, 9.0)  # nats that a text must gain to enter a cipher: by its weight, within these bounds
 WORSE = -4.0  # a reading that loses more is none
-STEADY = 1e-3  # weights that move less stand still
+STEADY = 2e-3  # weights that move less stand still
 ODD = (4.0, 3.0)  # a run is unlikely beyond this many nats and so many for each letter
 
 
@@ -120,8 +120,6 @@ def undo(text: str, step: tuple[str, ...], tables: dict[str, dict[int, str]] | N
     """``text`` before a step, or None if the step cannot have made it; ``tables`` has the learned pages by name."""
     try:
         if step[0] == "utf8" and step[1] in EAST_PAGES:
-            begin = text[:4].encode(step[1])
-            codecs.getincrementaldecoder("utf-8")().decode(begin)
             return text.encode(step[1]).decode("utf-8")
         if step[0] == "utf8":
             own = (tables or {}).get(step[1]) or table_of(step)
@@ -147,6 +145,19 @@ def _roles(pages: tuple[str, ...]) -> tuple[dict[str, int], dict[str, int]]:
     return lead, inner
 
 
+@lru_cache(maxsize=200_000)
+def _east_pages(begin: str) -> tuple[str, ...]:
+    """East Asian pages in which two letters can be the beginning of UTF-8 bytes."""
+    out = []
+    for page in EAST_PAGES:
+        try:
+            codecs.getincrementaldecoder("utf-8")().decode(begin.encode(page))
+        except UnicodeError:
+            continue
+        out.append(page)
+    return tuple(out)
+
+
 def _is_east(text: str) -> bool:
     return text[0] >= "⺀" or "ᄀ" <= text[0] <= "ᇿ"
 
@@ -154,7 +165,7 @@ def _is_east(text: str) -> bool:
 def _unread(text: str) -> Iterator[tuple[tuple[str, str], str]]:
     """(step, text before) of the pages that the text can be UTF-8 read as; further pages only where no common one fits."""
     if _is_east(text):
-        for page in EAST_PAGES:
+        for page in _east_pages(text[:2]):
             if (before := undo(text, ("utf8", page))) is not None and before != text:
                 yield ("utf8", page), before
         return
@@ -181,7 +192,7 @@ def readings(run: str, swaps: bool = True) -> list[tuple[str, list[Cipher]]]:
     undone by one cipher throughout. ``swaps`` adds pairs of single-byte pages, on the run and behind each UTF-8 step.
     """
     out: dict[str, list[Cipher]] = {}
-    frontier: dict[str, list[Cipher]] = {run: [()]}
+    frontier: dict[str, list[Cipher]] = {run: [()]} if len(run) > 1 or _is_east(run) else {}
     while frontier:
         after: dict[str, list[Cipher]] = {}
         for text, ciphers in frontier.items():
@@ -228,7 +239,7 @@ class Model:
         # per pair its count, per letter its share, minus its log, and the log of what a pair with it is divided by
         share = (letters + 0.01) / self.total
         self._pair, self._share, self._rare, self._below = (array("d", x.tobytes()) for x in (pairs, 5.0 * share, -np.log(share), np.log(letters + 5.0)))
-        self.kept: dict[tuple[str, str], list] = {}
+        self.kept: dict[str, dict[str, list]] = {}
         self.kept_forced: dict[tuple[str, Cipher], float] = {}
 
     def parts(self) -> tuple:
@@ -264,21 +275,24 @@ class Model:
 
     def gains(self, context: str, page: str = "") -> list[tuple[Cipher, str, float]]:
         """(cipher, restored run, gain in log likelihood) of a run in its context; ``page`` is a learned page to try where no other fits."""
-        if (known := self.kept.get((context, page))) is not None:
+        kept = self.kept.setdefault(page, {})
+        if (known := kept.get(context)) is not None:
             return known
-        run = context[1:-1]
+        run, east = context[1:-1], _is_east(context[1])
         found = []
+        stands = 0.0 if east else self.likelihood(context)
+        rare = 0.0 if east else self.rarity(run)
         # a swap of pages is only in question where the run itself is unlikely
-        for text, ciphers in readings(run, swaps=not _is_east(run) and self.oddness(context) > 0.0):
+        for text, ciphers in readings(run, swaps=not east and -stands + RARITY * rare > ODD[0] + ODD[1] * len(run)):
             gain = self.gain(context, text) if text else WORSE
             if gain > WORSE:
                 found += [(cipher, text, gain) for cipher in ciphers]
         if page and not found and (text := undo(run, ("utf8", page), self.tables)):
             if (gain := self.gain(context, text)) > WORSE:
                 found.append(((("utf8", page),), text, gain))
-        if len(self.kept) >= 200_000:
-            self.kept.clear()
-        self.kept[context, page] = found
+        if len(kept) >= 200_000:
+            kept.clear()
+        kept[context] = found
         return found
 
     def forced(self, context: str, cipher: Cipher) -> float:
@@ -408,7 +422,7 @@ def _round(open_: DataFrame, model: Model, pairs0: np.ndarray, letters0: np.ndar
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = Model(*sent.value)
-        moved: Counter = Counter()
+        pairs, letters, weights = {}, {}, {}
         for batch in batches:
             for source, context, n in zip(*(batch.column(k).to_pylist() for k in ("source", "context", "n"))):
                 page = page_name(source) if page_name(source) in now.tables else ""
@@ -420,20 +434,21 @@ def _round(open_: DataFrame, model: Model, pairs0: np.ndarray, letters0: np.ndar
                 gone = 1.0 - 1.0 / whole
                 if gone < 0.02:  # too little to change a count
                     continue
-                p, c = _pairs(context)
-                for k in p:
-                    moved[("pair", k, 0, "")] -= n * gone
-                for k in c[:-1]:
-                    moved[("letter", k, 0, "")] -= n * gone
+                texts = {context: -n * gone}
                 for cipher, text, o in odds:
                     share = n * o / whole
-                    moved[("weight", 0, source, "|".join("/".join(s) for s in cipher))] += share
-                    p, c = _pairs(context[0] + text + context[-1])
+                    weights[source, cipher] = weights.get((source, cipher), 0.0) + share
+                    text = context[0] + text + context[-1]
+                    texts[text] = texts.get(text, 0.0) + share
+                for text, share in texts.items():
+                    p, c = _pairs(text)
                     for k in p:
-                        moved[("pair", k, 0, "")] += share
+                        pairs[k] = pairs.get(k, 0.0) + share
                     for k in c[:-1]:
-                        moved[("letter", k, 0, "")] += share
-        yield _arrow_rows([(*k, float(v)) for k, v in moved.items()], ["kind", "key", "source", "cipher", "v"], _SUM_TYPES)
+                        letters[k] = letters.get(k, 0.0) + share
+        rows = [("pair", k, 0, "", v) for k, v in pairs.items()] + [("letter", k, 0, "", v) for k, v in letters.items()]
+        rows += [("weight", 0, s, "|".join("/".join(x) for x in c), v) for (s, c), v in weights.items()]
+        yield _arrow_rows(rows, ["kind", "key", "source", "cipher", "v"], _SUM_TYPES)
 
     got = _summed(open_, step)
     pairs, letters = np.maximum(pairs0 + _filled(got, "pair", BIGRAMS), 0.0), np.maximum(letters0 + _filled(got, "letter", LETTERS), 0.0)
@@ -592,7 +607,10 @@ def restore(text: str | None, source: int, model: Model) -> str | None:
         return ""
     around = [(text[a - 1] if a else "\n") + text[a:b] + (text[b] if b < n else "\n") for a, b in spans]
     page = page_name(source) if page_name(source) in model.tables else ""
-    found = [model.gains(c, page) for c in around]
+    kept = model.kept.setdefault(page, {})
+    found = [model.gains(c, page) if (f := kept.get(c)) is None else f for c in around]
+    if not any(found):
+        return None
     hope: dict[tuple, float] = {}
     for options in found:
         for cipher, _, gain in options:
