@@ -185,11 +185,11 @@ def _unread(text: str) -> Iterator[tuple[tuple[str, str], str]]:
 Cipher = tuple[tuple[str, ...], ...]
 
 
-def readings(run: str, swaps: bool = True) -> list[tuple[str, list[Cipher]]]:
-    """(text before, ciphers) of every text that a wrong decoding can have made the run of, however often it was repeated.
+def readings(run: str) -> list[tuple[str, list[Cipher]]]:
+    """(text before, ciphers) of every text that UTF-8 read wrongly can have made the run of, however often that was repeated.
 
     Pages share letters, so several ciphers may lead to one text; all are named, as a stretch is
-    undone by one cipher throughout. ``swaps`` adds pairs of single-byte pages, on the run and behind each UTF-8 step.
+    undone by one cipher throughout.
     """
     out: dict[str, list[Cipher]] = {}
     frontier: dict[str, list[Cipher]] = {run: [()]} if len(run) > 1 or _is_east(run) else {}
@@ -202,16 +202,20 @@ def readings(run: str, swaps: bool = True) -> list[tuple[str, list[Cipher]]]:
         for text, ciphers in after.items():
             out.setdefault(text, []).extend(ciphers)
         frontier = {t: c for t, c in after.items() if not t.isascii()}
-    if swaps and not _is_east(run):
-        for text, ciphers in [(run, [()]), *((t, c) for t, c in out.items() if not t.isascii() and not _is_east(t))]:
-            for step in SWAPS:
-                before = undo(text, step)
-                # where the bytes are UTF-8 they were UTF-8
-                if before is not None and before != text and before not in out and undo(text, ("utf8", step[0])) is None:
-                    out.setdefault(before, []).extend((*c, step) for c in ciphers)
     return list(out.items())
 
 
+def swapped(text: str) -> list[tuple[str, tuple[str, str]]]:
+    """(text before, step) of the pairs of single-byte pages that can have made the text."""
+    out = []
+    for step in SWAPS:
+        before = undo(text, step)
+        # where the bytes are UTF-8 they were UTF-8
+        if before is not None and before != text and undo(text, ("utf8", step[0])) is None:
+            out.append((before, step))
+    return out
+
+
 def contexts(text: str) -> list[str]:
     """Runs of a text with one letter on either side."""
     out, n = [], len(text)
@@ -278,12 +282,17 @@ class Model:
         kept = self.kept.setdefault(page, {})
         if (known := kept.get(context)) is not None:
             return known
-        run, east = context[1:-1], _is_east(context[1])
-        found = []
-        stands = 0.0 if east else self.likelihood(context)
-        rare = 0.0 if east else self.rarity(run)
-        # a swap of pages is only in question where the run itself is unlikely
-        for text, ciphers in readings(run, swaps=not east and -stands + RARITY * rare > ODD[0] + ODD[1] * len(run)):
+        run = context[1:-1]
+        read = readings(run)
+        options = list(read)
+        # a swap of pages is only in question where what it is to have made is unlikely
+        for text, ciphers in [(run, [()]), *read]:
+            if text and not text.isascii() and not _is_east(text) and self.oddness(context[0] + text + context[-1]) > 0.0:
+                options += [(before, [(*c, step) for c in ciphers]) for before, step in swapped(text)]
+        found, named = [], {}
+        for text, ciphers in options:
+            named.setdefault(text, []).extend(ciphers)
+        for text, ciphers in named.items():
             gain = self.gain(context, text) if text else WORSE
             if gain > WORSE:
                 found += [(cipher, text, gain) for cipher in ciphers]
@@ -408,7 +417,7 @@ def _open_runs(runs: DataFrame, model: Model) -> DataFrame:
                 run = context[1:-1]
                 # counts move away from garbled runs, which makes them less likely than they are now
                 odd = not _is_east(run) and now.oddness(context) > -2.0 * len(run)
-                readable = bool(readings(run, swaps=odd))
+                readable = bool(readings(run) or (odd and swapped(run)))
                 if readable or (odd and len(run) > 1 and not _is_east(run)):
                     rows.append((source, context, n, readable))
             yield _arrow_rows(rows, ["source", "context", "n", "readable"], [pa.int32(), pa.string(), pa.int64(), pa.bool_()])
@@ -618,6 +627,19 @@ def restore(text: str | None, source: int, model: Model) -> str | None:
                 hope[cipher] = hope.get(cipher, 0.0) + gain
     enter = {c: min(ENTER[1], max(ENTER[0], -model.weight(source, c))) for c in hope}
     states = [c for c, gain in hope.items() if gain > enter[c]]
+    if len(states) > 1:
+        # of ciphers that read all runs alike the source's most frequent one stands for all
+        reads: dict[Cipher, list] = {c: [] for c in states}
+        for i, options in enumerate(found):
+            for cipher, run, _ in options:
+                if cipher in reads:
+                    reads[cipher].append((i, run))
+        alike: dict[tuple, Cipher] = {}
+        for c in states:
+            key = tuple(reads[c])
+            if key not in alike or enter[c] < enter[alike[key]]:
+                alike[key] = c
+        states = list(alike.values())
     if not states:
         return None
     # best path: text as it stands scores 0; entering a cipher costs, leaving is free
