@@ -56,7 +56,7 @@ LEAST_CLEAN = 0.05  # and the least it can have
 FLOOR = 2e-4  # weight of a cipher that a source has not shown
 ENTER = (4.0, 9.0)  # nats that a text must gain to enter a cipher: by its weight, within these bounds
 WORSE = -4.0  # a reading that loses more is none
-STEADY = 2e-3  # weights that move less stand still
+STEADY = 5e-3  # weights that move less stand still
 ODD = (4.0, 3.0)  # a run is unlikely beyond this many nats and so many for each letter
 
 
@@ -417,7 +417,8 @@ def _open_runs(runs: DataFrame, model: Model) -> DataFrame:
                 run = context[1:-1]
                 # counts move away from garbled runs, which makes them less likely than they are now
                 odd = not _is_east(run) and now.oddness(context) > -2.0 * len(run)
-                readable = bool(readings(run) or (odd and swapped(run)))
+                before = [text for text, _ in readings(run)] + ([text for text, _ in swapped(run)] if odd else [])
+                readable = any(text and now.gain(context, text) > 2.0 * WORSE for text in before)
                 if readable or (odd and len(run) > 1 and not _is_east(run)):
                     rows.append((source, context, n, readable))
             yield _arrow_rows(rows, ["source", "context", "n", "readable"], [pa.int32(), pa.string(), pa.int64(), pa.bool_()])
@@ -516,7 +517,7 @@ def learn_pages(open_: DataFrame, model: Model, rounds: int = 50) -> dict[str, d
                 own[letter] = (uses + 0.01) / (uses.sum() + 1.28)
                 moved = max(moved, float(np.abs(own[letter] - tables.get(source, {}).get(letter, np.full(128, 1 / 128))).max()))
         tables = fresh
-        if moved < 10 * STEADY:
+        if moved < 0.01:
             break
     out = {}
     for source, gain in got[got["kind"] == "gain"][["source", "v"]].itertuples(index=False):
