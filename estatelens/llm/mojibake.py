@@ -299,6 +299,7 @@ class Model:
         if page and not found and (text := undo(run, ("utf8", page), self.tables)):
             if (gain := self.gain(context, text)) > WORSE:
                 found.append(((("utf8", page),), text, gain))
+        found.sort(key=lambda f: -f[2])
         if len(kept) >= 200_000:
             kept.clear()
         kept[context] = found
@@ -619,7 +620,7 @@ def restore(text: str | None, source: int, model: Model) -> str | None:
     page = page_name(source) if page_name(source) in model.tables else ""
     kept = model.kept.setdefault(page, {})
     found = [model.gains(c, page) if (f := kept.get(c)) is None else f for c in around]
-    if not any(found):
+    if not any(f and f[0][2] > 0 for f in found):
         return None
     hope: dict[tuple, float] = {}
     for options in found:
