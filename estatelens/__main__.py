@@ -38,10 +38,15 @@ def main(argv: list[str] | None = None) -> None:
     files, sidecar = run_estates(spark, estates, a.as_of or datetime.now(), config, not a.no_cluster)
     sinks.write_jsonl(files, f"{a.output}/files.jsonl")
     written = spark.read.schema(files.schema).json(f"{a.output}/files.jsonl")
-    sinks.write_csv(written, f"{a.output}/files.csv")
-    sinks.write_csv(written, f"{a.output}/files_slim.csv", sinks.SLIM)
+    sinks.write_csv(written, f"{a.output}/files.csv", titles=sinks.FULL)
+    sinks.write_csv(written, f"{a.output}/files_slim.csv", titles=sinks.SLIM)
     sinks.write_sidecar(sidecar, f"{a.output}/scheme_candidates.json")
-    sinks.write_report(reports.scheme_report(written), f"{a.output}/schemes.csv", "n_files", "entity_scheme")
+    sinks.write_report(reports.scheme_report(written), f"{a.output}/schemes.csv", "file_count", "full_path")
+    sinks.duplicate_report(written, f"{a.output}/duplicates.txt")
+    if not a.no_cluster:
+        for e, other in (("address", "plot"), ("plot", "address")):
+            sinks.write_report(reports.entity_report(written, e, other), f"{a.output}/{e}.csv", "file_count", e)
+        sinks.review_report(written, f"{a.output}/clusters.txt")
 
 
 if __name__ == "__main__":

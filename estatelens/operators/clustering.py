@@ -117,11 +117,18 @@ def cluster_plots(files: DataFrame, threshold: float = 0.55) -> DataFrame:
     return cluster_sizes(out.withColumn("entity_plot_cluster_context", F.when(F.col("entity_plot_cluster_id") != "", F.col("entity_plot_cluster_context")).otherwise("")), "plot")
 
 
-def cluster_entities(files: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """Clusters of schemes, then addresses with backfill, then plots in their context."""
+def cluster_entities(files: DataFrame, threshold: float = 0.55, others: tuple[str, ...] = ()) -> DataFrame:
+    """Clusters of schemes, then addresses with backfill, then plots in their context, then of all other entities that ``files`` has."""
     df = files
-    for entity in ("scheme", "address"):
+
+    def clustered(df: DataFrame, entity: str) -> DataFrame:
         clusters = cut(cluster_values(value_pool(df, entity), entity, threshold))
-        df = cluster_sizes(backfill(assign_clusters(df, clusters, entity), clusters, entity), entity)
-        df = cut(df)
-    return cluster_plots(df, threshold)
+        return cut(cluster_sizes(backfill(assign_clusters(df, clusters, entity), clusters, entity), entity))
+
+    for entity in ("scheme", "address"):
+        df = clustered(df, entity)
+    df = cluster_plots(df, threshold)
+    for entity in others:
+        if entity not in ("scheme", "address", "plot") and {f"entity_{entity}", f"entity_{entity}_depth"} <= set(df.columns):
+            df = clustered(df, entity)
+    return df

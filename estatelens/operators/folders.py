@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.config import Config
-from estatelens.functions.text import UNICODE, tokenise
+from estatelens.functions.text import UNICODE, tokenise, two_places
 from estatelens.operators.ingest import BS
 from estatelens.operators.matching import category_hits, place_texts, texts_of, trigger_words, type_hits
 from estatelens.session import cut
@@ -225,27 +225,44 @@ def leaf_folders(files: DataFrame) -> DataFrame:
     return folders.join(parents, F.col("path") == F.col("parent"), "left_anti").select(F.col("path").alias("folder_path"))
 
 
-def folder_tree(files: DataFrame, most: int = 4) -> DataFrame:
-    """Folders of level 2 to ``most``: file count, most frequent address at the folder, nearest one above (cascade), mean confidence."""
-    at = files.groupBy("segments", "entity_address", "entity_address_depth").agg(F.count(F.lit(1)).alias("n"), F.sum("overall_confidence").alias("conf"))
-    exploded = at.withColumn("f", F.explode(prefixes(F.col("segments"))))
-    here = F.when((F.col("entity_address") != "") & (F.col("entity_address_depth") == F.col("f.level") - 1), F.col("entity_address"))
-    folders = exploded.groupBy(F.col("f.path").alias("folder_path"), F.col("f.level").alias("level")).agg(F.sum("n").alias("file_count"), (F.sum("conf") / F.sum("n")).alias("mean_confidence"), F.max(here).alias("exact_address"))
-    folders = cut(folders)
-    named = folders.filter("exact_address IS NOT NULL").select(F.col("folder_path").alias("n_path"), F.col("exact_address").alias("n_address"))
-    up = folders.filter(F.col("level").between(2, most)).select("folder_path", F.explode(prefixes(F.split("folder_path", r"\\"))).alias("f")).join(named, F.col("f.path") == F.col("n_path"))
-    nearest = up.groupBy(F.col("folder_path").alias("u_path")).agg(F.max(F.struct(F.col("f.level").alias("l"), "n_address")).alias("b"))
-    return folders.filter(F.col("level").between(2, most)).join(nearest, F.col("folder_path") == F.col("u_path"), "left").select("folder_path", "level", "file_count", "mean_confidence", F.coalesce("exact_address", F.lit("")).alias("exact_address"), F.coalesce("b.n_address", F.lit("")).alias("cascaded_address"))
-
-
-def leaf_conflicts(files: DataFrame, value: str = "entity_address", confidence: str = "overall_confidence") -> DataFrame:
-    """Per leaf folder: number of files, most frequent value and its share, distinct values, conflict flag, mean confidence."""
-    leaves = leaf_folders(files)
-    rows = files.select(F.array_join("segments", BS).alias("path"), F.col(value).alias("v"), F.col(confidence).alias("c")).join(leaves, F.col("path") == F.col("folder_path"))
-    counted = rows.groupBy("path", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"))
-    named = F.when(F.coalesce(F.col("v"), F.lit("")) != "", F.col("v"))
-    out = counted.groupBy("path").agg(F.sum("n").alias("n_files"), F.max(F.when(named.isNotNull(), F.struct(F.col("n"), F.col("v")))).alias("b"), F.count(named).alias("n_values"), (F.sum("c") / F.sum("n")).alias("mean_confidence"))
-    return out.select(F.col("path").alias("folder_path"), "n_files", F.coalesce("b.v", F.lit("")).alias("top_value"), F.coalesce("b.n", F.lit(0)).alias("top_count"), "n_values", (F.col("n_values") > 1).alias("conflict"), "mean_confidence")
+def folder_tree(files: DataFrame, most: int = 4, entities: tuple[str, ...] = ("scheme", "plot", "address")) -> DataFrame:
+    """Folders of level 2 to ``most`` with their files and mean confidence and, per entity: whether the folder is the one that carries it,
+    the name (of the nearest such folder at or above), mean confidence and number of the files that have it from there, and the kinds of entity.
+
+    A folder's own name of an entity is the most frequent one, of equals the first in order.
+    """
+    chains = files.groupBy("segments").agg(F.count(F.lit(1)).alias("n"), F.sum("overall_confidence").alias("c"), F.count("overall_confidence").alias("k"))
+    at = chains.withColumn("f", F.explode(prefixes(F.col("segments"))))
+    folders = cut(at.groupBy(F.col("f.path").alias("folder_path"), F.col("f.level").alias("level")).agg(F.sum("n").alias("file_count"), (F.sum("c") / F.sum("k")).alias("mean_confidence")))
+    out = folders.filter(F.col("level").between(2, most))
+    above = cut(out.select("folder_path", F.explode(prefixes(F.split("folder_path", r"\\"))).alias("f")))
+    kinds = []
+    for e in entities:
+        value, depth, sure = F.col(f"entity_{e}"), F.col(f"entity_{e}_depth"), f"entity_{e}_confidence"
+        own = files.filter((value != "") & (depth >= 0) & (depth < F.size("segments"))).groupBy(F.array_join(F.slice("segments", F.lit(1), F.greatest(depth, F.lit(0)) + 1), BS).alias("at"), value.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(sure).alias("c"))
+        best = cut(own.groupBy("at").agg(F.min(F.struct((-F.col("n")).alias("neg"), "v")).alias("b"), F.sum("n").alias(f"{e}_file_count"), two_places(F.sum("c") / F.sum("n")).alias(f"{e}_confidence")).withColumn("v", F.col("b.v")).drop("b"))
+        nearest = above.join(best.select(F.col("at").alias("n_at"), "v"), F.col("f.path") == F.col("n_at")).groupBy(F.col("folder_path").alias("u")).agg(F.max(F.struct("f.level", "v")).alias("b")).select("u", F.col("b.v").alias(f"{e}_name"))
+        out = out.join(best.drop("v"), F.col("folder_path") == F.col("at"), "left").join(nearest, F.col("folder_path") == F.col("u"), "left")
+        out = out.withColumns({f"is_{e}": F.col("at").isNotNull(), f"{e}_name": F.coalesce(f"{e}_name", F.lit("")), f"{e}_file_count": F.coalesce(f"{e}_file_count", F.lit(0))}).drop("at", "u")
+        kinds.append(F.when(F.col(f"is_{e}"), e))
+    return out.withColumn("entity_types", F.concat_ws(", ", *kinds))
+
+
+def leaf_conflicts(files: DataFrame, entities: tuple[str, ...] = ("plot", "address", "scheme")) -> DataFrame:
+    """Per leaf of the display paths (folders without the last one): files, and per entity the most frequent value with its share k/n, mean
+    confidence (of those above 0), files that have one, distinct values, the list of values and whether they conflict. Of equals the first in order is taken."""
+    shown = files.filter(F.size("segments") >= 2).withColumn("__s", F.slice("segments", F.lit(1), F.size("segments") - 1))
+    leaves = leaf_folders(shown.select(F.col("__s").alias("segments")))
+    rows = shown.withColumn("__path", F.array_join("__s", BS)).join(leaves, F.col("__path") == F.col("folder_path"), "left_semi")
+    out = rows.groupBy(F.col("__path").alias("folder_path")).agg(F.count(F.lit(1)).alias("n_files"))
+    for e in entities:
+        v, c = F.trim(F.col(f"entity_{e}")), F.col(f"entity_{e}_confidence")
+        counted = rows.filter(F.coalesce(v, F.lit("")) != "").groupBy(F.col("__path").alias("at"), v.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(c > 0, c)).alias("c"), F.count_if(c > 0).alias("k"))
+        facts = counted.groupBy("at").agg(F.min(F.struct((-F.col("n")).alias("neg"), "v")).alias("b"), F.sum("n").alias(f"{e}_count"), F.count(F.lit(1)).alias(f"{e}_distinct"), F.array_join(F.array_sort(F.collect_list("v")), "; ").alias(f"{e}_values"), two_places(F.sum("c") / F.sum("k")).alias(f"{e}_confidence"))
+        facts = facts.withColumns({f"{e}_selected": F.col("b.v"), f"{e}_share": F.concat((-F.col("b.neg")).cast("string"), F.lit("/"), F.col(f"{e}_count").cast("string"))}).drop("b")
+        out = out.join(facts, F.col("folder_path") == F.col("at"), "left").drop("at")
+        out = out.withColumns({f"{e}_conflict": F.coalesce(F.col(f"{e}_distinct") > 1, F.lit(False)), **{k: F.coalesce(k, F.lit(0)) for k in (f"{e}_count", f"{e}_distinct")}, **{k: F.coalesce(k, F.lit("")) for k in (f"{e}_values", f"{e}_selected", f"{e}_share")}})
+    return out
 
 
 def score_trace(sidecar: DataFrame, config: Config) -> DataFrame:

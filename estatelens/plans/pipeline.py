@@ -35,7 +35,10 @@ def ingest_listing(raw: DataFrame, estate: Estate) -> DataFrame:
     df = ingest.validate(ingest.map_columns(raw, fmt.column_map) if fmt.column_map else raw)
     df = ingest.decompose_paths(ingest.normalise(ingest.apply_filters(df, estate.exclusions)), estate.root_prefix)
     df = ingest.tag_source(df, estate.name, estate.root_prefix)
-    return df.withColumn("row_id", F.xxhash64("full_path", "source_system")) if "row_id" not in df.columns else df
+    if "row_id" in df.columns:
+        return df
+    # ids count up in the order in which the files of the listing are read, so the first row of a listing stays the first
+    return df.withColumn("row_id", F.monotonically_increasing_id())
 
 
 def classify(files: DataFrame, config: Config, root_depth: int = -1) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +56,7 @@ def finish(files: DataFrame, config: Config, as_of: datetime, cluster: bool = Tr
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("timestamp_ntz" if c == "last_modified" else "string"))
     if cluster:
-        df = clustering.cluster_entities(df, float(config.weight("entity_clustering", "similarity_threshold")))
+        df = clustering.cluster_entities(df, float(config.weight("entity_clustering", "similarity_threshold")), tuple(e.name for e in config.entities))
     if find_duplicates:
         df = duplicates.detect_duplicates(df, weights=config.weights)
     df = retention.apply_retention(df, config.retention, as_of)
@@ -70,10 +73,11 @@ def run_estates(spark: SparkSession, estates: list[Estate], as_of: datetime, con
         raise ValueError("no estates given")
     config = config or default_config()
     done, sidecars = [], []
-    for e in estates:
+    for i, e in enumerate(estates):
         try:
             raw = read_listing(spark, e.path, e.format_name, e.source)
-            files, sidecar = classify(ingest_listing(raw, e), config)
+            listing = ingest_listing(raw, e)
+            files, sidecar = classify(listing.withColumn("row_id", F.col("row_id") + F.lit(i % 128 << 56)), config)
         except (FileNotFoundError, ValueError) as problem:
             log.warning("estate %s skipped: %s", e.name, problem)
             continue

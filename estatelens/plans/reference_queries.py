@@ -33,6 +33,16 @@ def _estate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _reported(spark: SparkSession, d: str) -> DataFrame:
+    """The same with what the reports read: canonical forms, scheme paths, raw plots, a plot's context and confidences."""
+    e = _estate(spark, d).join(table(spark, d, "classified_files").select(F.col("row_id").alias("__r"), F.coalesce("entity_address_canonical", F.lit("")).alias("entity_address_canonical")), F.col("row_id") == F.col("__r")).drop("__r")
+    path = F.when(F.col("entity_scheme_depth") >= 0, F.array_join(F.slice("segments", F.lit(1), F.greatest(F.col("entity_scheme_depth"), F.lit(0)) + 1), "\\")).otherwise(F.col("entity_scheme"))
+    context = F.when(F.col("entity_plot") == "", "").when(F.col("entity_scheme_cluster_id") != "", F.col("entity_scheme_cluster_id")).when(F.col("entity_address_cluster_id") != "", F.concat(F.lit("addr:"), "entity_address_cluster_id")).otherwise(F.concat(F.lit("__nocontext__"), F.array_join("segments", "\\")))
+    raw = F.transform(F.filter("segments", lambda s: s.rlike("^[A-Z][a-z]+ [0-9]")), lambda s: F.struct(s.alias("value"), F.lit(0.5).alias("confidence")))
+    sure = F.coalesce("overall_confidence", F.lit(0.0))
+    return e.withColumns({"entity_scheme_canonical": F.upper("entity_scheme"), "entity_plot_canonical": F.lit(""), "entity_scheme_path": path, "entity_plot_cluster_context": context, "raw_plots": raw, "raw_addresss": raw, "entity_scheme_confidence": sure, "entity_address_confidence": sure, "entity_plot_confidence": sure})
+
+
 def _round(df: DataFrame, *columns: str) -> DataFrame:
     """Means to ten decimals: the order in which doubles are added is not fixed."""
     return df.withColumns({c: F.round(c, 10) for c in columns})
@@ -163,7 +173,7 @@ def d19_sidecar(spark: SparkSession, d: str) -> DataFrame:
 def j15_tree_status(spark: SparkSession, d: str) -> DataFrame:
     """Folders of level 2 to 4 with the status of their scheme candidate."""
     e = _estate(spark, d)
-    return folders.sidecar_join(folders.folder_tree(e), folders.detect_schemes(e.drop("entity_scheme", "entity_scheme_depth"), default_config())[1]).select("folder_path", "file_count", "scheme_status", "scheme_confidence")
+    return folders.sidecar_join(folders.folder_tree(e, entities=()), folders.detect_schemes(e.drop("entity_scheme", "entity_scheme_depth"), default_config())[1]).select("folder_path", "file_count", "scheme_status", "scheme_confidence")
 
 
 def d20_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +183,7 @@ def d20_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 def d22_tree(spark: SparkSession, d: str) -> DataFrame:
     """D22, J12."""
-    return _round(folders.folder_tree(_estate(spark, d)), "mean_confidence")
+    return _round(folders.folder_tree(_reported(spark, d)), "mean_confidence")
 
 
 def d23_leaves(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +192,7 @@ def d23_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d24_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return _round(folders.leaf_conflicts(_estate(spark, d)), "mean_confidence").select("folder_path", "n_files", "top_count", "n_values", "conflict", "mean_confidence")
+    return folders.leaf_conflicts(_reported(spark, d))
 
 
 def e1_addresses(spark: SparkSession, d: str) -> DataFrame:
@@ -277,20 +287,20 @@ def a1_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a2_addresses(spark: SparkSession, d: str) -> DataFrame:
-    return _round(reports.entity_report(_estate(spark, d), "entity_address", {"entity_plot": 2, "inferred_type": 3}), "mean_confidence")
+    return reports.entity_report(_reported(spark, d), "address", "plot")
 
 
 def a3_plots(spark: SparkSession, d: str) -> DataFrame:
-    return _round(reports.entity_report(_estate(spark, d), "entity_plot", {"entity_scheme": 1}), "mean_confidence")
+    return reports.entity_report(_reported(spark, d).drop("raw_plots"), "plot", "address")
 
 
 def a4_schemes(spark: SparkSession, d: str) -> DataFrame:
-    return reports.scheme_report(_estate(spark, d))
+    return reports.scheme_report(_reported(spark, d), "R:\\data")
 
 
 def a5_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """A5, J15, J16."""
-    return reports.cluster_report(_estate(spark, d), "scheme")
+    """Clusters of all entities, and what the contexts of plots stand for."""
+    return reports.cluster_report(_reported(spark, d))
 
 
 def a6_review(spark: SparkSession, d: str) -> DataFrame:
@@ -314,6 +324,11 @@ def a10_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _round(reports.scheme_summary(_estate(spark, d)), "mean", "median")
 
 
+def a10_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """A10: files whose scheme is their address, and others with both."""
+    return reports.entity_overlap(_reported(spark, d).withColumn("entity_address", F.when(F.col("row_id") % 7 == 0, F.col("entity_scheme")).otherwise(F.col("entity_address"))))
+
+
 def a11_types(spark: SparkSession, d: str) -> DataFrame:
     return _estate(spark, d).groupBy("inferred_type").agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("source_system").alias("n_estates"))
 

@@ -152,13 +152,70 @@ grp AS (SELECT key, count(*) AS n, count(last_modified) = count(*) AND min(last_
 _WORDS_COPY = ", ".join(_q(w) for w in WEIGHTS["duplicate_detection"]["copy_path_keywords"])
 _COPY = f"cp AS (SELECT *, coalesce(list_has_any(list_transform(segments, lambda x: lower(trim(x))), [{_WORDS_COPY}]), false) AS is_copy, lower(filename_stem) || '|' || extension AS nm FROM est), cps AS (SELECT *, is_copy AND nm IN (SELECT nm FROM cp WHERE NOT is_copy) AS suspect FROM cp)"
 _RULES = _values([(t, y, b, s) for t, (y, b, s) in _C.retention.rules.items()], "rt, years, basis, sens")
-_TOPN = "(SELECT {by}, string_agg({v}, ' | ' ORDER BY r) AS top_{v} FROM (SELECT {by}, {v}, row_number() OVER (PARTITION BY {by} ORDER BY count(*) DESC, {v}) AS r FROM est WHERE coalesce({v}, '') <> '' AND {by} <> '' GROUP BY 1, 2) WHERE r <= {n} GROUP BY 1)"
 _NOISE = r"length(x) <= 1 OR regexp_full_match(x, '\d+') OR regexp_full_match(x, '[vr]\d+') OR (length(x) >= 4 AND length(regexp_replace(x, '\D', '', 'g')) / length(x) > 0.6)"
 
 
-def _report(by: str, tops: dict[str, int]) -> str:
-    joins = " ".join(f"LEFT JOIN {_TOPN.format(by=by, v=v, n=n)} t{i} USING ({by})" for i, (v, n) in enumerate(tops.items()))
-    return f"WITH {_EST}, base AS (SELECT {by}, count(*) AS n_files, count(DISTINCT source_system) AS n_estates, round(avg(overall_confidence), 10) AS mean_confidence FROM est WHERE {by} <> '' GROUP BY 1) SELECT base.*, {', '.join(f'''coalesce(top_{v}, '') AS top_{v}''' for v in tops)} FROM base {joins}"
+_RPT = f"""{_EST}, rep AS (SELECT est.* EXCLUDE (entity_scheme_cluster_id), est.entity_scheme_cluster_id, coalesce(c.entity_address_canonical, '') AS entity_address_canonical, upper(entity_scheme2) AS entity_scheme_canonical, '' AS entity_plot_canonical,
+   CASE WHEN entity_scheme_depth >= 0 THEN array_to_string(est.segments[1:entity_scheme_depth + 1], chr(92)) ELSE est.entity_scheme END AS entity_scheme_path,
+   CASE WHEN est.entity_plot = '' THEN '' WHEN est.entity_scheme_cluster_id <> '' THEN est.entity_scheme_cluster_id WHEN est.entity_address_cluster_id <> '' THEN 'addr:' || est.entity_address_cluster_id ELSE '__nocontext__' || coalesce(array_to_string(est.segments, chr(92)), '') END AS ctx,
+   list_filter(est.segments, lambda s: regexp_matches(s, '^[A-Z][a-z]+ [0-9]')) AS raws, coalesce(est.overall_confidence, 0.0::DOUBLE) AS sure
+   FROM (SELECT *, entity_scheme AS entity_scheme2 FROM est) est JOIN classified_files c USING (row_id))"""
+
+
+def _entity_report(entity: str, other: str, raw: bool) -> str:
+    v, plural, many = f"entity_{entity}", f"{other}{'es' if other.endswith('s') else 's'}", f"{entity}{'es' if entity.endswith('s') else 's'}"
+    best = lambda e: f"nullif(trim(coalesce(entity_{e}_canonical, entity_{e})), '')"
+    items = {
+        "canonical": f"entity_{entity}_canonical", "variant": f"nullif(trim({v}), '')", "depth": f"CAST(entity_{entity}_depth + 1000 AS VARCHAR)", "scheme": best("scheme"), "other": best(other), "type": "nullif(trim(inferred_type), '')",
+        "path": f"CASE WHEN len(segments) > 0 THEN array_to_string(CASE WHEN entity_{entity}_depth BETWEEN 0 AND len(segments) - 1 THEN segments[1:entity_{entity}_depth + 1] ELSE segments END, chr(92)) END",
+        "name": "nullif(trim(filename_stem || CASE WHEN extension <> '' THEN '.' || extension ELSE '' END), '')",
+    }
+    long = " UNION ALL ".join([f"SELECT g, '{k}' AS k, {x} AS x FROM r" for k, x in items.items()] + (["SELECT g, 'raw', nullif(trim(unnest(raws)), '') FROM r"] if raw else []))
+    top = lambda k, n, x="x": f"string_agg({x}, '; ' ORDER BY i) FILTER (k = '{k}' AND i <= {n})"
+    every = lambda k: f"string_agg(x, '; ' ORDER BY x) FILTER (k = '{k}')"
+    more = f""", coalesce((SELECT string_agg(x, '; ' ORDER BY n DESC, x) FROM c WHERE c.g = t.g AND c.k = 'raw' AND lower(x) <> lower({entity})), '') AS other_folder_{many}""" if raw else ""
+    return f"""WITH {_RPT}, r AS (SELECT *, CASE WHEN entity_{entity}_cluster_id <> '' THEN entity_{entity}_cluster_id ELSE 'raw:' || {v} END AS g FROM rep WHERE trim({v}) <> ''),
+        c AS (SELECT g, k, x, count(*) AS n FROM ({long}) WHERE x IS NOT NULL GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY g, k ORDER BY n DESC, x) AS i FROM c),
+        f AS (SELECT g, count(*) AS file_count, round(CAST(avg(sure) AS DECIMAL(20,10)), 2)::DOUBLE AS avg_confidence FROM r GROUP BY 1),
+        t AS (SELECT g, coalesce(nullif(trim({top('canonical', 1)}), ''), {top('variant', 1)}) AS {entity}, count(*) FILTER (k = 'variant')::INT AS variant_count, CAST({top('depth', 1)} AS INT) - 1000 AS typical_depth, {top('path', 1)} AS p, {every('scheme')} AS schemes,
+          count(*) FILTER (k = 'other') AS unique_{plural}, {top('type', 3, "x || ' (' || n || ')'")} AS top_types, {top('name', 5)} AS sample_filenames, {top('path', 5)} AS sample_full_paths, {top('other', 5)} AS sample_{plural}, {every('variant')} AS vs FROM o GROUP BY g)
+        SELECT {entity}, variant_count, file_count, avg_confidence, typical_depth, CASE WHEN p IS NULL THEN '' WHEN contains(p, chr(92)) THEN string_split(p, chr(92))[-2] ELSE '(root)' END AS parent_folder, coalesce(p, '') AS full_path, coalesce(schemes, '') AS schemes, unique_{plural}, coalesce(top_types, '') AS top_types,
+          coalesce(sample_filenames, '') AS sample_filenames, coalesce(sample_full_paths, '') AS sample_full_paths, coalesce(sample_{plural}, '') AS sample_{plural}, CASE WHEN variant_count > 1 THEN vs ELSE '' END AS all_variants{more} FROM t JOIN f USING (g)"""
+
+
+def _cluster_report() -> str:
+    names = ", ".join(f"{e}_n AS (SELECT entity_{e}_cluster_id AS id, min(entity_{e}_canonical) AS canon FROM rep WHERE entity_{e}_cluster_id <> '' AND entity_{e}_canonical <> '' GROUP BY 1)" for e in ("scheme", "address"))
+    parts = " UNION ALL ".join(
+        f"""SELECT '{e}' AS entity_type, entity_{e}_cluster_id AS cluster_id, coalesce((SELECT m.v FROM (SELECT entity_{e}_canonical AS v, count(*) AS n FROM rep q WHERE q.entity_{e}_cluster_id = rep.entity_{e}_cluster_id AND entity_{e}_canonical <> '' GROUP BY 1 ORDER BY n DESC, v LIMIT 1) m), '') AS canonical_form,
+        count(DISTINCT nullif(entity_{e}, ''))::INT AS variant_count, count(*) AS file_count, count(DISTINCT source_system) AS n_estates, count(DISTINCT coalesce(array_to_string(segments, chr(92)), '')) AS n_folders, coalesce(array_to_string(list_sort(list(DISTINCT nullif(entity_{e}, ''))  FILTER (entity_{e} <> '')), '; '), '') AS variants,
+        {"min(nullif(ctx, ''))" if e == "plot" else "NULL"} AS ctx FROM rep WHERE entity_{e}_cluster_id <> '' GROUP BY entity_{e}_cluster_id"""
+        for e in ("scheme", "address", "plot")
+    )
+    return f"""WITH {_RPT}, {names}, u AS ({parts}) SELECT u.* EXCLUDE (ctx), CASE WHEN coalesce(ctx, '') = '' THEN '' WHEN starts_with(ctx, '__nocontext__') THEN '(isolated — no scheme/address context)' WHEN starts_with(ctx, 'addr:') THEN 'address: ' || coalesce(a.canon, substr(ctx, 6)) ELSE 'scheme: ' || coalesce(s.canon, ctx) END AS linked_context
+        FROM u LEFT JOIN scheme_n s ON s.id = ctx LEFT JOIN address_n a ON 'addr:' || a.id = ctx"""
+
+
+def _tree_report() -> str:
+    pre = "pre AS (SELECT rep.*, i AS level, array_to_string(segments[1:i], chr(92)) AS path FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS i FROM rep) rep)"
+    ctes, columns, joins, kinds = [], [], [], []
+    for e in ("scheme", "plot", "address"):
+        ctes.append(f"{e}_o AS (SELECT path AS pl, entity_{e} AS v, count(*) AS n, sum(sure) AS c FROM pre WHERE entity_{e} <> '' AND entity_{e}_depth = level - 1 GROUP BY 1, 2), {e}_b AS (SELECT pl, first(v ORDER BY n DESC, v) AS v, sum(n)::BIGINT AS n, round(CAST(sum(c) / sum(n) AS DECIMAL(20,10)), 2)::DOUBLE AS c FROM {e}_o GROUP BY 1), {e}_u AS (SELECT f.folder_path, arg_max(b.v, len(string_split(b.pl, chr(92)))) AS v FROM fo f JOIN {e}_b b ON f.folder_path = b.pl OR starts_with(f.folder_path, b.pl || chr(92)) GROUP BY 1)")
+        columns.append(f"{e}_b.pl IS NOT NULL AS is_{e}, coalesce({e}_u.v, '') AS {e}_name, {e}_b.c AS {e}_confidence, coalesce({e}_b.n, 0) AS {e}_file_count")
+        joins.append(f"LEFT JOIN {e}_b ON {e}_b.pl = fo.folder_path LEFT JOIN {e}_u ON {e}_u.folder_path = fo.folder_path")
+        kinds.append(f"CASE WHEN {e}_b.pl IS NOT NULL THEN '{e}' END")
+    return f"""WITH {_RPT}, {pre}, fo AS (SELECT path AS folder_path, level, count(*) AS file_count, avg(overall_confidence) AS mean_confidence FROM pre GROUP BY 1, 2), {', '.join(ctes)}
+        SELECT fo.folder_path, CAST(level AS INT) AS level, file_count, round(mean_confidence, 10) AS mean_confidence, {', '.join(columns)}, concat_ws(', ', {', '.join(kinds)}) AS entity_types FROM fo {' '.join(joins)} WHERE level BETWEEN 2 AND 4"""
+
+
+def _leaf_report() -> str:
+    ctes, columns, joins = [], [], []
+    for e in ("plot", "address", "scheme"):
+        ctes.append(f"{e}_v AS (SELECT path, trim(entity_{e}) AS v, count(*) AS n, sum(sure) FILTER (sure > 0) AS c, count(*) FILTER (sure > 0) AS k FROM ro WHERE trim(entity_{e}) <> '' GROUP BY 1, 2), {e}_f AS (SELECT path, first(v ORDER BY n DESC, v) AS sel, max(n) AS top, sum(n)::BIGINT AS cnt, count(*) AS dis, string_agg(v, '; ' ORDER BY v) AS vals, round(CAST(sum(c) / sum(k) AS DECIMAL(20,10)), 2)::DOUBLE AS conf FROM {e}_v GROUP BY 1)")
+        columns.append(f"coalesce({e}_f.sel, '') AS {e}_selected, coalesce({e}_f.top || '/' || {e}_f.cnt, '') AS {e}_share, {e}_f.conf AS {e}_confidence, coalesce({e}_f.cnt, 0) AS {e}_count, coalesce({e}_f.dis, 0) AS {e}_distinct, coalesce({e}_f.vals, '') AS {e}_values, coalesce({e}_f.dis > 1, false) AS {e}_conflict")
+        joins.append(f"LEFT JOIN {e}_f ON {e}_f.path = b.path")
+    return f"""WITH {_RPT}, sh AS (SELECT *, segments[1:len(segments) - 1] AS s FROM rep WHERE len(segments) >= 2), px AS (SELECT DISTINCT array_to_string(s[1:i], chr(92)) AS path, i FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM sh)),
+        ab AS (SELECT DISTINCT left(path, length(path) - length(string_split(path, chr(92))[-1]) - 1) AS p FROM px WHERE i > 1), ro AS (SELECT *, array_to_string(s, chr(92)) AS path FROM sh WHERE array_to_string(s, chr(92)) IN (SELECT path FROM px) AND array_to_string(s, chr(92)) NOT IN (SELECT p FROM ab)),
+        b AS (SELECT path, count(*) AS n_files FROM ro GROUP BY 1), {', '.join(ctes)} SELECT b.path AS folder_path, n_files, {', '.join(columns)} FROM b {' '.join(joins)}"""
 
 
 _FLAG_EST = rf"""{_LISTING_SQL}, {_REASON_SQL}, kept AS (SELECT row_id, full_path FROM reasoned WHERE removal_reason IS NULL), {_PARTS_SQL},
@@ -197,13 +254,7 @@ SQL = {
         r3 AS (SELECT row_id, CASE WHEN po THEN '' ELSE entity_plot END AS entity_plot, CASE WHEN po THEN -1 ELSE entity_plot_depth END AS entity_plot_depth, po AND entity_plot = entity_scheme AS entity_plot_is_scheme_name, CASE WHEN ao THEN '' ELSE entity_address END AS ad, CASE WHEN ao THEN -1 ELSE entity_address_depth END AS dd, ao AND entity_address = entity_scheme AS entity_address_is_scheme_name FROM r2),
         r4 AS (SELECT *, entity_plot <> '' AND entity_plot_depth >= 0 AND ad <> '' AND dd >= 0 AND entity_plot_depth > dd AS x FROM r3)
         SELECT row_id, entity_plot, entity_plot_depth, entity_plot_is_scheme_name, CASE WHEN x THEN '' ELSE ad END AS entity_address, CASE WHEN x THEN -1 ELSE dd END AS entity_address_depth, entity_address_is_scheme_name FROM r4""",
-    "d22_tree": f"""WITH {_EST}, {_PREFIX}, fo AS (SELECT path AS folder_path, level, count(*) AS file_count, round(sum(overall_confidence) / count(*), 10) AS mean_confidence, max(CASE WHEN entity_address <> '' AND entity_address_depth = level - 1 THEN entity_address END) AS ex FROM pre GROUP BY 1, 2),
-        up AS (SELECT f.folder_path, arg_max(a.ex, a.level) AS cascaded FROM fo f JOIN fo a ON a.ex IS NOT NULL AND (f.folder_path = a.folder_path OR starts_with(f.folder_path, a.folder_path || chr(92))) WHERE f.level BETWEEN 2 AND 4 GROUP BY 1)
-        SELECT folder_path, CAST(level AS INT) AS level, file_count, mean_confidence, coalesce(ex, '') AS exact_address, coalesce(cascaded, '') AS cascaded_address FROM fo LEFT JOIN up USING (folder_path) WHERE level BETWEEN 2 AND 4""",
     "d23_leaves": f"WITH {_EST}, {_PREFIX}, fo AS (SELECT DISTINCT path, level FROM pre), pa AS (SELECT DISTINCT left(path, length(path) - length(string_split(path, chr(92))[-1]) - 1) AS p FROM fo WHERE level > 1) SELECT path AS folder_path FROM fo WHERE path NOT IN (SELECT p FROM pa)",
-    "d24_conflicts": f"""WITH {_EST}, {_PREFIX}, fo AS (SELECT DISTINCT path, level FROM pre), pa AS (SELECT DISTINCT left(path, length(path) - length(string_split(path, chr(92))[-1]) - 1) AS p FROM fo WHERE level > 1), lf AS (SELECT path FROM fo WHERE path NOT IN (SELECT p FROM pa)),
-        ro AS (SELECT array_to_string(segments, chr(92)) AS path, nullif(entity_address, '') AS v, overall_confidence AS c FROM est WHERE len(segments) > 0), cn AS (SELECT path, v, count(*) AS n, sum(c) AS c FROM ro JOIN lf USING (path) GROUP BY 1, 2)
-        SELECT path AS folder_path, sum(n)::BIGINT AS n_files, coalesce(max(n) FILTER (v IS NOT NULL), 0) AS top_count, count(v) AS n_values, count(v) > 1 AS conflict, round(sum(c) / sum(n), 10) AS mean_confidence FROM cn GROUP BY 1""",
     "c1_pool": f"WITH {_EST}, {_POOL} SELECT value, count FROM pool",
     "c3_links": f"WITH {_EST}, {_POOL}, {_LINKS} SELECT a, b, similarity FROM links",
     "c4_groups": f"WITH RECURSIVE {_EST}, {_POOL}, {_LINKS}, {_COMP} SELECT node, root FROM comp",
@@ -223,12 +274,18 @@ SQL = {
         t AS (SELECT *, CASE WHEN NOT known THEN 'Unknown' WHEN perm THEN 'Long-term' WHEN ex IS NULL THEN 'Unknown' WHEN ex < TIMESTAMP '2024-01-01 00:00:00' THEN 'Expired' ELSE 'Active' END AS status, floor((epoch_us(ex) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 86400000000.0) / 365.25 AS left_ FROM e2),
         f AS (SELECT *, CASE sl WHEN 'high' THEN 1.25 WHEN 'low' THEN 0.7 ELSE 1.0 END::DOUBLE AS m, CASE status WHEN 'Long-term' THEN 5.0 WHEN 'Expired' THEN CASE WHEN -left_ > 5 THEN 95.0 WHEN -left_ > 2 THEN 80.0 WHEN -left_ > 1 THEN 70.0 ELSE 60.0 END WHEN 'Active' THEN CASE WHEN left_ < 1 THEN 50.0 WHEN left_ < 3 THEN 30.0 WHEN left_ < 5 THEN 15.0 ELSE 5.0 END END::DOUBLE AS base FROM t)
         SELECT row_id, ry AS retention_years, perm AS retention_permanent, sl AS sensitivity_level, strftime(ex, '%Y-%m-%dT%H:%M:%S') AS calculated_expiry_date, status AS retention_status, CASE WHEN base IS NULL THEN 0 ELSE least(100, CAST(trunc(base * m) AS INT)) END AS retention_risk_score FROM f""",
+    "d22_tree": _tree_report(),
+    "d24_conflicts": _leaf_report(),
+    "a2_addresses": _entity_report("address", "plot", True),
+    "a3_plots": _entity_report("plot", "address", False),
+    "a4_schemes": f"""WITH {_RPT}, r AS (SELECT * FROM rep WHERE entity_scheme <> ''), w AS (SELECT entity_scheme_path AS p, list_sort(list_distinct(list(x))) AS w FROM (SELECT entity_scheme_path, unnest(raws) AS x FROM r) WHERE x <> '' GROUP BY 1),
+        g AS (SELECT entity_scheme_path AS p, min(entity_scheme) AS scheme_name, max(sure) AS confidence, count(*) AS file_count, coalesce(list_sort(list(DISTINCT entity_plot) FILTER (entity_plot <> '')), []) AS pl, coalesce(list_sort(list(DISTINCT entity_address) FILTER (entity_address <> '')), []) AS ad FROM r GROUP BY 1),
+        j AS (SELECT g.*, coalesce(w, []) AS w, string_split(g.p, chr(92)) AS parts FROM g LEFT JOIN w ON w.p = g.p)
+        SELECT scheme_name, confidence, CAST(len(parts) - 1 AS INT) AS depth, file_count, len(pl)::INT AS org_plots, len(ad)::INT AS org_addresses, (len(pl) + len(ad))::INT AS org_total_entities, len(w)::INT AS raw_plot_count, len(w)::INT AS raw_address_count, (2 * len(w))::INT AS raw_total_entities,
+          CASE WHEN len(parts) > 1 THEN array_to_string(parts[1:len(parts) - 1], chr(92)) ELSE '(root)' END AS parent_folder, 'R:' || chr(92) || 'data' || chr(92) || p AS full_path, coalesce(array_to_string(pl[1:5], '; '), '') AS sample_org_plots, coalesce(array_to_string(ad[1:5], '; '), '') AS sample_org_addresses, coalesce(array_to_string(w, '; '), '') AS all_raw_plots, coalesce(array_to_string(w, '; '), '') AS all_raw_addresses FROM j""",
+    "a5_clusters": _cluster_report(),
+    "a10_overlap": f"WITH {_EST}, o AS (SELECT entity_scheme AS s, CASE WHEN row_id % 7 = 0 THEN entity_scheme ELSE entity_address END AS a FROM est) SELECT s = a AS same, count(*) AS n_files FROM o WHERE s <> '' AND a <> '' GROUP BY 1",
     "a1_summary": f"WITH {_EST} SELECT source_system, count(*) AS n_files, count(*) FILTER (overall_confidence >= 0.5) AS n_high, count(*) FILTER (overall_confidence >= 0.35 AND overall_confidence < 0.5) AS n_medium, count(*) FILTER (overall_confidence < 0.35 OR overall_confidence IS NULL) AS n_low, count(DISTINCT inferred_type) AS n_types, count(DISTINCT nullif(dup_group_id, '')) AS n_dup_groups FROM est GROUP BY 1",
-    "a2_addresses": _report("entity_address", {"entity_plot": 2, "inferred_type": 3}),
-    "a3_plots": _report("entity_plot", {"entity_scheme": 1}),
-    "a4_schemes": f"WITH {_EST} SELECT entity_scheme, count(*) AS n_files, count(DISTINCT nullif(entity_plot, '')) AS n_plots, count(DISTINCT nullif(entity_address, '')) AS n_addresses, min(full_path) AS first_path FROM est WHERE entity_scheme <> '' GROUP BY 1",
-    "a5_clusters": f"""WITH {_EST}, f AS (SELECT DISTINCT ON (c) entity_scheme_cluster_id AS c, entity_scheme AS canonical FROM (SELECT entity_scheme_cluster_id, entity_scheme, count(*) AS n FROM est WHERE entity_scheme <> '' GROUP BY 1, 2) ORDER BY c, n DESC, entity_scheme)
-        SELECT entity_scheme_cluster_id, count(*) AS n_files, count(DISTINCT source_system) AS n_estates, count(DISTINCT array_to_string(segments, chr(92))) AS n_folders, count(DISTINCT nullif(entity_scheme, '')) AS n_values, any_value(canonical) AS canonical FROM est LEFT JOIN f ON c = entity_scheme_cluster_id WHERE entity_scheme_cluster_id <> '' GROUP BY 1""",
     "a6_review": f"WITH {_EST} SELECT entity_address_cluster_id, source_system, coalesce(array_to_string(segments, chr(92)), '') AS folder, count(*) AS n_files FROM est WHERE entity_address_cluster_id <> '' GROUP BY ALL",
     "a7_versions": f"""WITH {_EST}, v AS (SELECT dup_group_id AS version_cluster_id, count(*) AS n_files, count(DISTINCT inferred_type) AS n_types, count(DISTINCT array_to_string(segments, chr(92))) AS n_folders, date_diff('day', CAST(min(last_modified) AS DATE), CAST(max(last_modified) AS DATE)) / 365.25 AS span_years,
           bool_or(regexp_matches(lower(filename_stem), '(^|[^a-z])(v|ver|version|rev)[ ._-]?\\d+|draft|final')) AS mk FROM est WHERE coalesce(dup_group_id, '') <> '' GROUP BY 1)
@@ -240,7 +297,7 @@ SQL = {
     "a10_confidence": f"WITH {_EST} SELECT entity_scheme <> '' AS in_scheme, count(*) AS n_files, round(avg(overall_confidence), 10) AS mean, round(median(overall_confidence), 10) AS median, min(overall_confidence) AS least, max(overall_confidence) AS greatest FROM est GROUP BY 1",
     "a11_types": f"WITH {_EST} SELECT inferred_type, count(*) AS n_files, count(DISTINCT source_system) AS n_estates FROM est GROUP BY 1",
     "a12_top": f"WITH {_EST}, t AS (SELECT inferred_type, count(*) AS n_files, count(DISTINCT source_system) AS n_estates FROM est WHERE inferred_type IS NOT NULL GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY n_files DESC, inferred_type) AS INT) AS position FROM t ORDER BY n_files DESC, inferred_type LIMIT 10",
-    "sk2_csv": "SELECT CAST(row_id AS VARCHAR) AS \"Row\", coalesce(source_system, '') AS source_system, coalesce(array_to_string(segments, ' | '), '') AS \"Folders\", coalesce(CAST(depth AS VARCHAR), '') AS depth, coalesce(owner, '') AS owner, coalesce(CAST(dup_is_latest AS VARCHAR), '') AS dup_is_latest, '' AS absent FROM classified_files",
+    "sk2_csv": "SELECT CAST(row_id AS VARCHAR) AS \"Row\", coalesce(source_system, '') AS source_system, coalesce(array_to_string(segments, ' | '), '') AS \"Folders\", coalesce(CAST(depth AS VARCHAR), '') AS depth, coalesce(owner, '') AS owner, CASE dup_is_latest WHEN true THEN 'True' WHEN false THEN 'False' ELSE '' END AS dup_is_latest, '' AS absent FROM classified_files",
 }
 SQL["u8_pairs"] = SQL["u8_folders"].format(least=2, share=0.3)
 SQL["u8_folders"] = SQL["u8_folders"].format(least=5, share=0.5)

@@ -35,8 +35,8 @@ def read_csv(spark: SparkSession, path: str, fmt: SourceFormat) -> DataFrame:
 
 
 def read_xlsx(spark: SparkSession, path: str, fmt: SourceFormat) -> DataFrame:
-    xlsx.register(spark)
-    return spark.read.format("estate_xlsx").option("header_row", fmt.header_row).option("strategy", fmt.sheet_strategy).load(path)
+    path_column = next((c for c, n in fmt.column_map.items() if n == "full_path"), "Path")
+    return xlsx.read_workbooks(spark, path, fmt.header_row, fmt.sheet_strategy, path_column=path_column)
 
 
 #: A new format is one function and one entry.

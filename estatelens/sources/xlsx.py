@@ -1,23 +1,22 @@
-"""XLSX listings as a Spark data source (``spark.read.format("estate_xlsx")``), read with zip and XML from the standard library.
+"""XLSX listings, read with zip and XML from the standard library.
 
-Options: ``path``; ``sheet`` (a name) or ``strategy`` ("largest": most rows, the first of equals; anything else: the first sheet);
-``header_row`` (rows before the header); ``path_column`` (default "Path"). One task reads one workbook, streaming rows.
-Where any cell of the path column is a formula without text, every row whose path cell holds a
-HYPERLINK formula takes its first argument. All columns are strings; missing cells are null.
+Workbooks come through Spark's own file layer as binary rows, so any file system that Spark reads will do. One task reads
+one workbook and streams the rows of one sheet once: ``sheet`` by name, or by ``strategy`` ("largest": most rows, the first of
+equals; anything else: the first sheet). Where any cell of the path column is a formula without text, every row of that workbook whose path cell
+holds a HYPERLINK formula takes its first argument. All columns are strings; missing cells are null.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree.ElementTree import iterparse, parse
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LINK = re.compile(r'HYPERLINK\(\s*"([^"]+)"', re.I)
 
@@ -80,9 +79,9 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def read_rows(path: str, sheet: str | None, strategy: str) -> Iterator[tuple[int, dict[int, tuple[str | None, str | None]]]]:
+def read_rows(content: bytes, sheet: str | None, strategy: str) -> Iterator[tuple[int, dict[int, tuple[str | None, str | None]]]]:
     """(row number from 1, column -> (text, formula)) of a sheet, row by row."""
-    with zipfile.ZipFile(path) as book:
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared, part = _strings(book), choose_sheet(book, sheet, strategy)
         number = 0
         with book.open(part) as f:
@@ -102,53 +101,59 @@ def read_rows(path: str, sheet: str | None, strategy: str) -> Iterator[tuple[int
                 node.clear()
 
 
-class XlsxReader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.names, self.options = schema.names, dict(options)
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in _files(self.options["path"])]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        head = int(self.options.get("header_row", 0))
-        strategy, sheet = self.options.get("strategy", "largest"), self.options.get("sheet")
-        key = self.options.get("path_column", "Path")
-
-        def body() -> Iterator[dict[int, tuple[str | None, str | None]]]:
-            return (cells for number, cells in read_rows(partition.value, sheet, strategy) if number > head + 1)
-
-        header = next((cells for number, cells in read_rows(partition.value, sheet, strategy) if number == head + 1), {})
-        at = {text: i for i, (text, _) in header.items() if text is not None}
-        repair = key in at and any(cells.get(at[key], (None, None)) [1] and not cells[at[key]][0] for cells in body())
-        for cells in body():
-            row = [cells.get(at[n], (None, None))[0] if n in at else None for n in self.names]
-            if repair and key in self.names and (formula := cells.get(at[key], (None, None))[1]) and (m := _LINK.search(formula)):
-                row[self.names.index(key)] = m[1]
-            if any(v is not None for v in row):
-                yield tuple(row)
-
-
-def _files(path: str) -> list[str]:
-    found = sorted(glob.glob(os.path.join(path, "*.xlsx")) if os.path.isdir(path) else glob.glob(path))
-    if not found:
-        raise FileNotFoundError(path)
-    return found
-
-
-class XlsxSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "estate_xlsx"
-
-    def schema(self) -> StructType:
-        head = int(self.options.get("header_row", 0))
-        first = _files(self.options["path"])[0]
-        cells = next((c for n, c in read_rows(first, self.options.get("sheet"), self.options.get("strategy", "largest")) if n == head + 1), {})
-        return StructType([StructField(text, StringType()) for _, (text, _) in sorted(cells.items()) if text])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return XlsxReader(schema, self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(XlsxSource)
+def header_of(content: bytes, sheet: str | None, strategy: str, header_row: int) -> dict[int, str]:
+    """Column -> title of the header, which follows ``header_row`` other rows; empty if there is none."""
+    for number, cells in read_rows(content, sheet, strategy):
+        if number > header_row:
+            return {i: text for i, (text, _) in sorted(cells.items()) if text} if number == header_row + 1 else {}
+    return {}
+
+
+BATCH = 10_000
+
+
+def read_workbooks(spark: SparkSession, path: str, header_row: int = 0, strategy: str = "largest", sheet: str | None = None, path_column: str = "Path") -> DataFrame:
+    """Rows of all workbooks of a path, pattern or folder; the columns are those of all headers, in order of their place."""
+    books = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, n) for content in batch.column("content").to_pylist() for i, n in header_of(content, sheet, strategy, header_row).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([n for _, n in found], pa.string())], names=["at", "name"])
+
+    titles = books.mapInArrow(headers, "at int, name string").groupBy("name").agg(F.min("at").alias("at"))
+    names = [r["name"] for r in titles.orderBy("at", "name").collect()]  # as many as the headers have columns
+    if not names:
+        raise ValueError(f"no header in row {header_row}")
+    columns = [f"c{i}" for i in range(len(names))]
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                at = {title: i for i, title in header_of(content, sheet, strategy, header_row).items()}
+                rows: list[list[str | None]] = []
+                for number, cells in read_rows(content, sheet, strategy):
+                    if number <= header_row + 1:
+                        continue
+                    row = [cells.get(at[n], (None, None))[0] if n in at else None for n in names]
+                    text, formula = cells.get(at[path_column], (None, None)) if path_column in at else (None, None)
+                    link = _LINK.search(formula) if formula else None
+                    if any(v is not None for v in row) or link:
+                        rows.append([file, link[1] if link else None, "1" if formula and not text else None, *row])
+                    if len(rows) == BATCH:
+                        yield _texts(rows, columns)
+                        rows = []
+                yield _texts(rows, columns)
+
+    read = books.mapInArrow(body, ", ".join(f"{c} string" for c in ("file", "link", "hidden", *columns)))
+    if path_column in names:
+        mended = read.groupBy(F.col("file").alias("__file")).agg(F.max("hidden").alias("__mend"))
+        key = columns[names.index(path_column)]
+        read = read.join(mended, F.col("file") == F.col("__file")).withColumn(key, F.when(F.col("__mend").isNotNull(), F.coalesce("link", key)).otherwise(F.col(key)))
+    shown = read.select(*[F.col(c).alias(n) for c, n in zip(columns, names)])
+    return shown.filter(F.greatest(*[F.col(f"`{n.replace('`', '``')}`") for n in names], F.lit(None)).isNotNull())
+
+
+def _texts(rows: list[list[str | None]], columns: list[str]) -> pa.RecordBatch:
+    cells = list(zip(*rows)) if rows else [[] for _ in range(len(columns) + 3)]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cells], names=["file", "link", "hidden", *columns])

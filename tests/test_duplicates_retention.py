@@ -58,8 +58,12 @@ def test_retention(spark, kind, date, status, expiry, risk):
 
 def test_reports(spark):
     df = spark.createDataFrame([("a", "x", "E"), ("a", "x", "E"), ("a", "y", "F"), ("a", "w", "F"), ("a", "w", "E"), ("", "x", "E"), (None, "x", "E")], "entity_plot string, inferred_type string, source_system string").withColumn("overall_confidence", F.lit(0.5))
-    r = reports.entity_report(df, "entity_plot", {"inferred_type": 2}).collect()
-    assert [(x["entity_plot"], x["n_files"], x["n_estates"], x["top_inferred_type"]) for x in r] == [("a", 5, 2, "w | x")]
+    full = df.withColumns({"entity_plot_cluster_id": F.when(F.col("inferred_type") == "w", "c1").otherwise(""), "entity_plot_canonical": F.lit(""), "entity_plot_confidence": F.lit(0.5), "entity_plot_depth": F.lit(1), "segments": F.array(F.lit("s"), F.lit("a"), F.lit("x")), "entity_scheme": F.lit("S"), "entity_address": F.col("source_system"), "filename_stem": F.lit("f"), "extension": F.lit("pdf")})
+    got = {(r["plot"], r["file_count"]): r for r in reports.entity_report(full, "plot", "address").collect()}
+    assert set(got) == {("a", 3), ("a", 2)}
+    r = got["a", 3]
+    assert (r["variant_count"], r["avg_confidence"], r["typical_depth"], r["parent_folder"], r["full_path"], r["schemes"], r["unique_addresses"], r["top_types"], r["sample_filenames"], r["sample_addresses"], r["all_variants"]) == (1, 0.5, 1, "s", "s\\a", "S", 2, "x (2); y (1)", "f.pdf", "E; F", "")
+    assert reports.entity_report(full.limit(0), "plot", "address").count() == 0
     top = reports.top_rows(df.groupBy("inferred_type").agg(F.count(F.lit(1)).alias("n")), "n", "inferred_type", 2).collect()
     assert [(t["position"], t["inferred_type"]) for t in top] == [(1, "x"), (2, "w")]
 

@@ -54,11 +54,12 @@ def test_hierarchy(spark):
 
 
 def test_tree_and_conflicts(spark):
-    df = estate(spark, [(["a", "1 Mill Road", "x"], None, "1 Mill Road"), (["a", "1 Mill Road", "x"], None, None), (["a", "b"], None, None)]).withColumn("overall_confidence", F.lit(0.5))
-    tree = {r["folder_path"]: (r["file_count"], r["exact_address"], r["cascaded_address"]) for r in folders.folder_tree(df).collect()}
-    assert tree == {"a\\1 Mill Road": (2, "1 Mill Road", "1 Mill Road"), "a\\1 Mill Road\\x": (2, "", "1 Mill Road"), "a\\b": (1, "", "")}
-    got = {r["folder_path"]: (r["n_files"], r["top_value"], r["top_count"], r["conflict"]) for r in folders.leaf_conflicts(df).collect()}
-    assert got["a\\1 Mill Road\\x"] == (2, "1 Mill Road", 1, False)
+    rows = [(["a", "1 Mill Road", "x"], None, "1 Mill Road"), (["a", "1 Mill Road", "x"], None, None), (["a", "b"], None, None), (["a", "1 Mill Road", "y"], None, "2 Hill Road"), (["a", "1 Mill Road", "y", "z"], None, "1 Mill Road")]
+    df = estate(spark, rows).withColumns({"overall_confidence": F.lit(0.5), "entity_address_confidence": F.lit(0.8), "entity_plot_confidence": F.lit(0.0), "entity_plot": F.lit("")})
+    tree = {r["folder_path"]: (r["file_count"], r["is_address"], r["address_name"], r["address_file_count"], r["entity_types"]) for r in folders.folder_tree(df, 3, ("address",)).collect()}
+    assert tree == {"a\\1 Mill Road": (4, True, "1 Mill Road", 2, "address"), "a\\1 Mill Road\\x": (2, False, "1 Mill Road", 0, ""), "a\\1 Mill Road\\y": (2, False, "1 Mill Road", 0, ""), "a\\b": (1, False, "", 0, "")}
+    got = {r["folder_path"]: (r["n_files"], r["address_selected"], r["address_share"], r["address_values"], r["address_conflict"], r["address_confidence"]) for r in folders.leaf_conflicts(df, ("plot", "address")).collect()}
+    assert got == {"a\\1 Mill Road\\y": (1, "1 Mill Road", "1/1", "1 Mill Road", False, 0.8)}
 
 
 def test_empty(spark):

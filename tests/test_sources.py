@@ -35,8 +35,13 @@ def test_xlsx_largest_sheet_and_links(spark, tmp_path):
     fmt = SourceFormat({"Path": "full_path"}, header_row=1)
     got = [tuple(r) for r in readers.read_listing(spark, str(tmp_path / "t.xlsx"), "treesize", fmt).select("Path", "Size").collect()]
     assert got == [("\\\\s\\a\\x.pdf", "7"), ("\\\\s\\b\\y.pdf", "8"), ("\\\\s\\c", None)]
-    first = spark.read.format("estate_xlsx").option("strategy", "first").load(str(tmp_path / "t.xlsx"))
+    first = readers.read_listing(spark, str(tmp_path / "t.xlsx"), "treesize", SourceFormat({}, sheet_strategy="first"))
     assert first.columns == ["Path"] and first.count() == 0
+    workbook(tmp_path / "u.xlsx", {"only": {1: [cell("A1", "Path"), cell("B1", "Other")], 2: [cell("A2", "\\\\s\\d", 'HYPERLINK(&quot;\\\\kept&quot;)'), cell("B2", "o")], 3: []}})
+    both = [tuple(r) for r in readers.read_listing(spark, str(tmp_path), "treesize", SourceFormat({})).select("Path", "Other").collect()]
+    assert ("\\\\s\\d", "o") in both  # no cell of its own workbook hides its text
+    with pytest.raises(ValueError):
+        readers.read_listing(spark, str(tmp_path / "u.xlsx"), "treesize", SourceFormat({}, header_row=9))
 
 
 def test_csv_header_row(spark, tmp_path):
@@ -65,7 +70,7 @@ def test_small_readers(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None, ["a", "b"], [("v", 0.5)], True), (2, 'q"x', [], None, None)], "n int, s string, l array<string>, raw array<struct<value:string,confidence:double>>, b boolean")
     rows = [tuple(r) for r in sinks.csv_frame(df).orderBy("n").collect()]
-    assert rows == [("1", "", "a | b", "v (0.5)", "true"), ("2", 'q"x', "", "", "")]
+    assert rows == [("1", "", "a | b", "v (0.5)", "True"), ("2", 'q"x', "", "", "")]
     sinks.write_csv(df, str(tmp_path / "c"), ("s", "zz"))
     sinks.write_jsonl(df, str(tmp_path / "j"))
     assert readers.read_jsonl(spark, str(tmp_path / "j"), "n int, s string").count() == 2
@@ -73,6 +78,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_report(df.select("n", "s"), str(tmp_path / "r"), "n", "s")
     sinks.text_report(df.select("n"), str(tmp_path / "t"), "Title")
     assert "Title" in "".join(p.read_text() for p in (tmp_path / "t").glob("part-*"))
+    assert sinks.text_lines(spark.range(9), "T", [F.desc("id")], 2) == ["T", "=", "id", "8", "7", "... and 7 more"]
+    assert len(sinks.FULL) == 74 and len(sinks.SLIM) == 36
     assert [r["k"] for r in numbered(spark.range(100), [F.desc("id")], "k").orderBy("id").collect()] == list(range(99, -1, -1))
 
 
