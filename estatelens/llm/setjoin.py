@@ -1,16 +1,16 @@
 """All pairs of similar sets by pigeonhole partitioning.
 
 Equal sets are one class, and the join runs over classes. For a bucket of set sizes the token universe is split
-into segments: one of the tokens that are frequent in the corpus, the others by hash, their
-number growing with the size. Two sets whose symmetric difference is at most H must agree
+into segments by hash, the tokens that are frequent in the corpus apart from the others, both kinds in a
+number that grows with the differences to be bridged, so that sets of frequent tokens alone have segments enough to be told apart by. Two sets whose symmetric difference is at most H must agree
 within v_i elements in some segment i whenever the allowances satisfy sum(v_i + 1) >= H + 1; the larger
 set picks for every segment to skip it (v = -1), to match it exactly (v = 0) or within one
 deletion (v = 1), so that the estimated number of candidates is least. Any choice that meets
 the sum finds all pairs; the estimate only saves time. The smaller set is indexed under every segment and every
 one-deletion of it. Candidates are verified exactly on the strings.
 
-There is no cap on candidates or partners. Sets that must rely on an empty segment are joined
-through it, which is exact but slow; the index holds empty segments only where some set asks for them.
+There is no cap on candidates or partners. A set that lacks too many segments relies on an empty one and is joined
+through it, which is exact; the index holds empty segments only where some set asks for them.
 """
 
 from __future__ import annotations
@@ -67,6 +67,13 @@ def segments(low: int, high: int, num: int, den: int) -> int:
     return 3 * (m.apart(m.most(high), high) + 1)
 
 
+@lru_cache(maxsize=100_000)
+def frequent_segments(low: int, high: int, num: int, den: int) -> int:
+    """Number of segments of frequent tokens of a bucket: with one deletion each they bridge the largest difference."""
+    m = Measure(num, den)
+    return m.apart(m.most(high), high) // 2 + 1
+
+
 @lru_cache(maxsize=1_000_000)
 def _seed(low: int, i: int, kind: int) -> int:
     return xxhash.xxh64_intdigest(f"{low}/{i}/{kind}")
@@ -85,14 +92,26 @@ class Signer:
     def __init__(self, measure: Measure, frequent: dict[int, float], n_sets: int):
         self.m, self.frequent, self.n = measure, frequent, max(1, n_sets)
         self.rare = 0.5 / FREQUENT
+        self._lacking: dict[tuple[int, int], tuple[float, float]] = {}
 
     def split(self, tokens: list[int], low: int, high: int) -> dict[int, list[int]]:
-        """Segment number -> token hashes; number 0 holds the frequent tokens."""
-        k, parts = segments(low, high, self.m.num, self.m.den), {}
+        """Segment number -> token hashes; numbers below 1 hold the frequent tokens."""
+        k, f, parts = segments(low, high, self.m.num, self.m.den), frequent_segments(low, high, self.m.num, self.m.den), {}
         for t in tokens:
-            parts.setdefault(0 if t in self.frequent else 1 + t % k, []).append(t)
+            parts.setdefault(-((t >> 20) % f) if t in self.frequent else 1 + t % k, []).append(t)
         return parts
 
+    def lacking(self, f: int, j: int) -> tuple[float, float]:
+        """Estimated number of sets that have no token of frequent segment j of f, and of those with exactly one."""
+        known = self._lacking.get((f, j))
+        if known is None:
+            shares = [p for t, p in self.frequent.items() if (t >> 20) % f == j]
+            none = self.n
+            for p in shares:
+                none *= 1.0 - min(p, 0.999)
+            known = self._lacking[f, j] = (none, none * sum(min(p, 0.999) / (1.0 - min(p, 0.999)) for p in shares))
+        return known
+
     def index(self, tokens: list[int]) -> list[int]:
         """Signatures under which a set is found, without those of empty segments."""
         low, high = bucket(len(tokens))
@@ -135,8 +154,11 @@ class Signer:
             k = segments(low, high, self.m.num, self.m.den)
             spare = [i for i in range(1, k + 1) if i not in parts]
             options += [(i, [], self.n * 0.9, self.n * 1.8) for i in spare[:budget]]
-            if 0 not in parts:
-                options.append((0, [], self.n * 0.01, self.n * 0.2))
+            f = frequent_segments(low, high, self.m.num, self.m.den)
+            for j in range(f):
+                if -j not in parts:
+                    none, single = self.lacking(f, j)
+                    options.append((-j, [], none, none * 2 + single))
             # least cost at which the allowances sum to at least the budget
             best: list[tuple[float, tuple]] = [(0.0, ())] + [(float("inf"), ())] * budget
             for at, (_, _, one, two) in enumerate(options):

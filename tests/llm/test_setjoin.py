@@ -66,3 +66,17 @@ def test_copies_and_counts(spark):
     got = {r["id"]: (r["class_id"], r["n_links"]) for r in link_counts(df).collect()}
     assert got[3] == (0, 1) and got[5] == (5, 1) and got[6] == (6, 0) and got[7] == (None, 0)
     assert similar_pairs(df.limit(0)).count() == 0 and similar_pairs(df.filter("id >= 7")).count() == 0
+
+
+def test_sets_of_frequent_tokens_only(spark):
+    """All tokens are frequent, so that sets are told apart by segments of frequent tokens alone."""
+    import random
+
+    rnd = random.Random(12)
+    words = [f"w{i:02}" for i in range(30)]
+    rows = [(i, sorted(rnd.sample(words, rnd.randint(2, 14)))) for i in range(700)]
+    rows += [(1000 + i, sorted(set(t[1:]) | {rnd.choice(words)})) for i, t in rows[:150]]
+    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(spark.createDataFrame(rows, "id bigint, tokens array<string>"), 7, 10).collect()}
+    sets = [(i, set(t)) for i, t in rows]
+    want = {(min(i, j), max(i, j)) for n, (i, a) in enumerate(sets) for j, b in sets[n + 1 :] if 10 * len(a & b) >= 7 * len(a | b)}
+    assert got == want and len(want) > 50
