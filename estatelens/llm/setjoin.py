@@ -159,6 +159,10 @@ class Signer:
                 if -j not in parts:
                     none, single = self.lacking(f, j)
                     options.append((-j, [], none, none * 2 + single))
+            # no choice needs more options than the budget, so only the cheapest of either kind come into question
+            if len(options) > budget:
+                one_by_one, two_by_two = sorted(range(len(options)), key=lambda o: options[o][2])[:budget], sorted(range(len(options)), key=lambda o: options[o][3])[:budget]
+                options = [options[o] for o in sorted({*one_by_one, *two_by_two})]
             # least cost at which the allowances sum to at least the budget
             best: list[tuple[float, tuple]] = [(0.0, ())] + [(float("inf"), ())] * budget
             for at, (_, _, one, two) in enumerate(options):
