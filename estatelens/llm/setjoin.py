@@ -210,7 +210,7 @@ def word_set(segments_: Column, stem: Column) -> Column:
 
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (id, tokens) sorted sets: classes (rep, tokens) and members (id, rep) of the non-empty ones."""
-    some = sets.filter(F.size("tokens") > 0).select("id", "tokens")
+    some = cut(sets.filter(F.size("tokens") > 0).select("id", "tokens"))  # read twice, and dear to make
     classes = some.groupBy("tokens").agg(F.min("id").alias("rep"))
     members = some.join(classes, "tokens").select("id", "rep")
     return classes.select("rep", "tokens"), members
