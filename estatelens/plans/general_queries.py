@@ -31,9 +31,17 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     return per_key_totals(_with_instants(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_totals": p2_totals}
+def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Per-scheme and per-estate counts and sizes, without the newest instant."""
+    return per_key_totals(table(spark, d, "classified_files"), instant=None).drop("newest_micros")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_totals": p2_totals, "p2_sizes": p2_sizes}
 
 SQL = {
+    "p2_sizes": """
+        SELECT 'entity_scheme' AS field_name, entity_scheme AS key_value, count(*) AS n_files, sum(size)::BIGINT AS total_bytes, max(size) AS max_bytes FROM classified_files GROUP BY 2
+        UNION ALL SELECT 'source_system', source_system, count(*), sum(size)::BIGINT, max(size) FROM classified_files GROUP BY 2""",
     "p2_found": """
         WITH k AS (SELECT 'entity_scheme' AS field_name, entity_scheme AS key_value FROM classified_files
                    UNION ALL SELECT 'source_system', source_system FROM classified_files)

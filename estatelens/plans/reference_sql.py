@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from estatelens.config import WEIGHTS, canonical_words, default_config
 from estatelens.operators.matching import trigger_words
-from estatelens.plans.ingest_queries import _LISTING_SQL, _PARTS_SQL, _REASON_SQL
+from estatelens.plans.ingest_queries import _LISTING_SQL, _NOISE_SQL, _PARTS_SQL, _REASON_SQL
 
 AS_OF = "2024-01-01T00:00:00"
 _C = default_config()
@@ -144,6 +144,12 @@ _LINKS = """g AS (SELECT value, list_distinct(list_transform(range(1, length(val
 lk AS (SELECT a.value AS a, b.value AS b, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity FROM g a JOIN g b ON a.value < b.value AND len(a.g) <= len(b.g) * 2 AND len(b.g) <= len(a.g) * 2),
 links AS (SELECT * FROM lk WHERE similarity >= 0.55)"""
 _COMP = "both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links), walk(node, seen) AS (SELECT value, value FROM pool UNION SELECT w.node, s.b FROM walk w JOIN both_ s ON w.seen = s.a), comp AS (SELECT node, min(seen) AS root FROM walk GROUP BY 1)"
+_OVERLAPS = f"""n1 AS (SELECT value, string_split({_NOISE_SQL}, ' ') AS w FROM (SELECT value, value AS c FROM pool)),
+n2 AS (SELECT value, list_filter(w, lambda p, i: p <> '' AND NOT (p = '-' AND ((i = len(w) AND i > 1) OR (i = 1 AND len(w) > 1) OR (i > 1 AND i < len(w) AND w[i + 1] IN ('', '-'))))) AS w FROM n1),
+n3 AS (SELECT value, coalesce(array_to_string(w, ' '), '') AS bare FROM n2),
+n4 AS (SELECT value, list_distinct({tokens('bare')}) AS ws, list_distinct(list_transform(range(1, length(bare) + 3), lambda i: substring('$$' || bare || '$$', i, 3))) AS gs FROM n3),
+n5 AS (SELECT * FROM n4 WHERE len(ws) >= 2),
+over_ AS (SELECT a.value AS a, b.value AS b FROM n5 a JOIN n5 b ON a.value < b.value AND len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) >= 0.8 AND len(list_intersect(a.gs, b.gs)) / least(len(a.gs), len(b.gs)) >= 0.6)"""
 _KEY = "CASE WHEN regexp_matches(lower(trim(filename_stem)), '[a-z0-9]') AND coalesce(size, -1) >= 0 THEN lower(trim(filename_stem)) || '|' || lower(trim(extension)) || '|' || size END"
 _DUP = f"""keyed AS (SELECT *, {_KEY} AS key, array_to_string(segments, chr(92)) AS folder FROM est),
 grp AS (SELECT key, count(*) AS n, count(last_modified) = count(*) AND min(last_modified) = max(last_modified) AS same_date, min(coalesce(owner, '')) = max(coalesce(owner, '')) AS same_owner,
@@ -258,6 +264,10 @@ SQL = {
     "c1_pool": f"WITH {_EST}, {_POOL} SELECT value, count FROM pool",
     "c3_links": f"WITH {_EST}, {_POOL}, {_LINKS} SELECT a, b, similarity FROM links",
     "c4_groups": f"WITH RECURSIVE {_EST}, {_POOL}, {_LINKS}, {_COMP} SELECT node, root FROM comp",
+    "c5_clusters": f"""WITH RECURSIVE {_EST}, {_POOL}, {_LINKS}, {_OVERLAPS}, pairs AS (SELECT a, b FROM links UNION SELECT a, b FROM over_), both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        walk(node, seen) AS (SELECT value, value FROM pool UNION SELECT w.node, s.b FROM walk w JOIN both_ s ON w.seen = s.a), comp AS (SELECT node, min(seen) AS root FROM walk GROUP BY 1),
+        m AS (SELECT root, value, count FROM comp JOIN pool ON value = node), c AS (SELECT root, first(value ORDER BY count DESC, length(value) DESC, value) AS canonical, count(*) AS n FROM m GROUP BY 1),
+        k AS (SELECT root, canonical, 'schm_' || lpad(CAST(row_number() OVER (ORDER BY n DESC, canonical) - 1 AS VARCHAR), 4, '0') AS cluster_id FROM c) SELECT value, canonical, cluster_id FROM m JOIN k USING (root)""",
     "c10_sizes": f"WITH {_EST} SELECT row_id, CASE WHEN entity_scheme_cluster_id = '' THEN 0 ELSE count(*) OVER (PARTITION BY entity_scheme_cluster_id) END AS entity_scheme_cluster_size FROM est",
     "u1_duplicates": f"""WITH {_EST}, {_DUP}, {_COPY}
         SELECT k.row_id, CASE WHEN g.key IS NULL THEN '' ELSE left(sha256(k.key), 12) END AS dup_group_id, coalesce(g.n, 1) AS dup_group_size, CASE WHEN g.key IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, round(0.85::DOUBLE + CASE WHEN same_date THEN 0.1 ELSE 0.0 END::DOUBLE + CASE WHEN same_owner THEN 0.05 ELSE 0.0 END::DOUBLE, 3)) END AS dup_confidence,
