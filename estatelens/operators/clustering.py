@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.text import normalise_value
 from estatelens.operators.ingest import BS
-from estatelens.operators.similarity import linked_groups, scheme_overlaps, similar_values
-from estatelens.session import cut, numbered
+from estatelens.operators.similarity import group_links, linked_groups, scheme_overlaps
+from estatelens.session import cut, numbered, release
 
 #: Prefixes of cluster ids.
 PREFIXES = {"address": "addr", "scheme": "schm", "plot": "plot"}
@@ -47,10 +47,10 @@ def cluster_values(pool: DataFrame, entity: str, threshold: float = 0.55, within
     if within:
         key = F.concat_ws("\x1f", F.col(within), F.col("value"))
         free = pool.filter(~F.startswith(within, F.lit("__nocontext__")))
-        links = similar_values(free, threshold, within).select(F.concat_ws("\x1f", F.col(within), "a").alias("a"), F.concat_ws("\x1f", F.col(within), "b").alias("b"))
+        links = group_links(free, threshold, within).select(F.concat_ws("\x1f", F.col(within), "a").alias("a"), F.concat_ws("\x1f", F.col(within), "b").alias("b"))
     else:
         key = F.col("value")
-        links = similar_values(pool, threshold).select("a", "b")
+        links = group_links(pool, threshold)
         if entity == "scheme":
             links = links.unionByName(scheme_overlaps(pool).select("a", "b"))
     keyed = pool.withColumn("node", key)
@@ -125,10 +125,13 @@ def cluster_entities(files: DataFrame, threshold: float = 0.55, others: tuple[st
         clusters = cut(cluster_values(value_pool(df, entity), entity, threshold))
         return cut(cluster_sizes(backfill(assign_clusters(df, clusters, entity), clusters, entity), entity))
 
-    for entity in ("scheme", "address"):
-        df = clustered(df, entity)
-    df = cluster_plots(df, threshold)
-    for entity in others:
-        if entity not in ("scheme", "address", "plot") and {f"entity_{entity}", f"entity_{entity}_depth"} <= set(df.columns):
-            df = clustered(df, entity)
+    def plotted(df: DataFrame, _: str) -> DataFrame:
+        return cut(cluster_plots(df, threshold))
+
+    steps = [(clustered, "scheme"), (clustered, "address"), (plotted, "plot")]
+    steps += [(clustered, e) for e in others if e not in ("scheme", "address", "plot") and {f"entity_{e}", f"entity_{e}_depth"} <= set(df.columns)]
+    for step, entity in steps:
+        before, df = df, step(df, entity)
+        if before is not files:
+            release(before)
     return df

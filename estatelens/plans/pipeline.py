@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from estatelens.config import Config, default_config
 from estatelens.operators import clustering, duplicates, extraction, folders, ingest, retention, scoring
 from estatelens.sources.readers import read_listing
-from estatelens.session import cut
+from estatelens.session import cut, release
 
 log = logging.getLogger(__name__)
 
@@ -43,10 +43,17 @@ def ingest_listing(raw: DataFrame, estate: Estate) -> DataFrame:
 
 def classify(files: DataFrame, config: Config, root_depth: int = -1) -> tuple[DataFrame, DataFrame]:
     """(files with type, category, entities and schemes, sidecar of scheme candidates)."""
+    # each step reads its input several times, so it is written out, and removed behind the next one
+    files = cut(files)
     signals = scoring.text_signals(files, config)
     scored = cut(scoring.score(files, config, signals))
+    release(files)
     schemed, sidecar = folders.detect_schemes(scored, config, signals, root_depth)
-    return cut(extraction.add_extracted(folders.enforce_hierarchy(schemed), config)), sidecar
+    ruled = cut(folders.enforce_hierarchy(schemed))
+    release(scored)
+    extracted = cut(extraction.add_extracted(ruled, config))
+    release(ruled)
+    return extracted, sidecar
 
 
 def finish(files: DataFrame, config: Config, as_of: datetime, cluster: bool = True, find_duplicates: bool = True, batch_run_id: str | None = None, run_timestamp: str | None = None) -> DataFrame:

@@ -86,3 +86,38 @@ def test_pool_votes_per_folder(spark):
     files = spark.createDataFrame([(1, ["s", "x"], "S", 0), (2, ["s", "y"], "S", 0), (3, ["t"], "S", 0), (4, ["u"], "", -1)], "row_id int, segments array<string>, entity_scheme string, entity_scheme_depth int")
     assert [tuple(r) for r in clustering.value_pool(files, "scheme").collect()] == [("s", 3)]
     assert clustering.value_pool(files.limit(0), "scheme").count() == 0
+
+
+def grouped(pairs, values):
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {v: find(v) for v in values}
+
+
+def test_group_links_give_the_groups_of_all_pairs(spark):
+    rnd = random.Random(5)
+    streets = ["mill lane", "mill road", "hill road", "mallow court", "mallow close", "willow court", "a", "oak", "oakleigh gardens", "oakleigh garden"]
+    values = sorted({f"{rnd.choice(['', 'flat ', 'plot '])}{rnd.choice([1, 12, 120, 121, 2, 21, 210, 7, 77])} {rnd.choice(streets)}{rnd.choice(['', '', ' 3', ' 31', 'b'])}" for _ in range(160)} | {"7", "77", "777", "12", "mill lane", "willow", "$", "1$"})
+    for threshold in (0.55, 0.8, 0.3):
+        want = grouped(((a, b) for i, a in enumerate(values) for b in values[i + 1 :] if len(trigrams(a) & trigrams(b)) / len(trigrams(a) | trigrams(b)) >= threshold), values)
+        got = similarity.group_links(spark.createDataFrame([(v,) for v in values], "value string"), threshold).collect()
+        assert grouped(((r["a"], r["b"]) for r in got), values) == want
+    pool = spark.createDataFrame([(c, v) for c in ("x", "y") for v in values[:: 1 if c == "x" else 3]], "context string, value string")
+    links = similarity.group_links(pool, 0.55, "context").collect()
+    for c, some in (("x", values), ("y", values[::3])):
+        want = grouped(((a, b) for i, a in enumerate(some) for b in some[i + 1 :] if len(trigrams(a) & trigrams(b)) / len(trigrams(a) | trigrams(b)) >= 0.55), some)
+        assert grouped(((r["a"], r["b"]) for r in links if r["context"] == c), some) == want
+
+
+def test_group_links_are_few(spark):
+    values = [f"{n} {street}" for n in range(1, 101) for street in ("quilloway crescent", "quilloway gardens", "brantham terrace")]
+    links = similarity.group_links(spark.createDataFrame([(v,) for v in values], "value string"), 0.55).count()
+    assert links <= len(values)  # all pairs: 14,850 and more
+    assert similarity.group_links(spark.createDataFrame([], "value string"), 0.55).count() == 0
