@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from estatelens.config import Config
 from estatelens.functions.text import clamp
 from estatelens.operators.matching import ABBREVIATION, FUZZY, PATTERN, TOKEN, category_hits, entity_confidence, entity_hits, extension_hits, texts_of, type_hits
-from estatelens.session import checkpoint_dir, cut
+from estatelens.session import checkpoint_dir, cut, release
 
 _TYPE = "array<struct<label:string,depth:int,layer:int,weight:double,ord:int>>"
 
@@ -39,7 +39,10 @@ def text_signals(files: DataFrame, config: Config) -> dict[str, DataFrame]:
         types, categories = pool.map(lambda find: cut(find(folders, config)), (type_hits, category_hits))
         organisational = types.select("text").unionAll(categories.select("text"))
         entities = cut(entity_hits(folders, config, organisational))
-        return {"folder_types": types, "categories": categories, "entities": entities, "stem_types": stem_types.result()}
+        found = {"folder_types": types, "categories": categories, "entities": entities, "stem_types": stem_types.result()}
+    release(folders)
+    release(stems)
+    return found
 
 
 def folder_signals(files: DataFrame, signals: dict[str, DataFrame], config: Config) -> DataFrame:
