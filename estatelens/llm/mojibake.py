@@ -31,9 +31,10 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from encodings.aliases import aliases
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,12 @@ BIGRAMS, LETTERS, SOURCES = 1 << 20, 1 << 16, 4096
 #: A run is non-ASCII letters of one kind: East Asian ones or others.
 _EAST = "ᄀ-ᇿ⺀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯"
 RUN = re.compile(rf"[^\x00-\x7f{_EAST}]+|[{_EAST}]+")
+#: The East Asian letters of RUN by code point, and its letters below 128.
+EAST = np.zeros(0x110000, bool)
+for _a, _b in zip(_EAST[::3], _EAST[2::3]):
+    EAST[ord(_a) : ord(_b) + 1] = True
+_PLAIN = re.compile(r"[\x00-\x7f]+")
+CHUNK = 1 << 20  # letters of texts that are worked on at once, which bounds the memory taken
 RARITY = 0.5  # weight of single letters beside bigrams
 CLEAN = 0.97  # weight of text as it stands before anything is learned
 LEAST_CLEAN = 0.05  # and the least it can have
@@ -185,6 +192,7 @@ def _unread(text: str) -> Iterator[tuple[tuple[str, str], str]]:
 Cipher = tuple[tuple[str, ...], ...]
 
 
+@lru_cache(maxsize=1 << 15)
 def readings(run: str) -> list[tuple[str, list[Cipher]]]:
     """(text before, ciphers) of every text that UTF-8 read wrongly can have made the run of, however often that was repeated.
 
@@ -205,14 +213,33 @@ def readings(run: str) -> list[tuple[str, list[Cipher]]]:
     return list(out.items())
 
 
+@lru_cache(maxsize=1)
+def _swaps() -> tuple[dict[str, int], list[int]]:
+    """Letter -> the SWAPS (as bits) that can have made it, and the place of the page of each among PAGES."""
+    fits = {chr(c): (1 << len(SWAPS)) - 1 for c in range(128)}
+    for i, step in enumerate(SWAPS):
+        for letter, before in table_of(step).items():
+            if before != "\uffff":
+                fits[chr(letter)] = fits.get(chr(letter), 0) | 1 << i
+    return fits, [PAGES.index(read) for read, _ in SWAPS]
+
+
+@lru_cache(maxsize=1 << 15)
 def swapped(text: str) -> list[tuple[str, tuple[str, str]]]:
     """(text before, step) of the pairs of single-byte pages that can have made the text."""
+    (letters, places), (lead, inner) = _swaps(), _roles(PAGES)
+    fits = (1 << len(SWAPS)) - 1
+    for c in text:
+        if not (fits := fits & letters.get(c, 0)):
+            return []
+    # pages in which the text can begin as UTF-8
+    begins = -1 if text[:1] < "\x80" else lead.get(text[0], 0) & inner.get(text[1], 0) if len(text) > 1 else 0
     out = []
-    for step in SWAPS:
-        before = undo(text, step)
-        # where the bytes are UTF-8 they were UTF-8
-        if before is not None and before != text and undo(text, ("utf8", step[0])) is None:
-            out.append((before, step))
+    for i, step in enumerate(SWAPS):
+        if fits >> i & 1 and (before := text.translate(table_of(step))) != text:
+            # where the bytes are UTF-8 they were UTF-8
+            if not begins >> places[i] & 1 or undo(text, ("utf8", step[0])) is None:
+                out.append((before, step))
     return out
 
 
@@ -225,13 +252,59 @@ def contexts(text: str) -> list[str]:
     return out
 
 
-def _bucket(a: int, b: int) -> int:
-    return ((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) >> 7 & BIGRAMS - 1
+def contexts_of(texts: list[str]) -> tuple[list[str], list[int]]:
+    """The ``contexts`` of all texts one after the other, and where those of each text begin, with their number at the end."""
+    joined = "\n".join(["", *texts, ""])  # a run at the bounds of a text stands beside a new line
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(codes > 127)
+    east = EAST[codes[at]]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (np.diff(at) > 1) | (east[1:] != east[:-1])
+    first = np.flatnonzero(fresh)
+    begin, last = at[first], at[np.append(first[1:], len(at))[: len(first)] - 1]
+    texts_begin = 1 + np.cumsum([0] + [len(t) + 1 for t in texts])
+    return [joined[a - 1 : b + 2] for a, b in zip(begin.tolist(), last.tolist())], np.searchsorted(begin, texts_begin).tolist()
+
+
+def _pieces(texts: list[str]) -> Iterator[slice]:
+    """Parts of a list of texts with about CHUNK letters each."""
+    begin = size = 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= CHUNK:
+            yield slice(begin, end)
+            begin, size = end, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
+def _chunks(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Parts of the rows whose last value is a text that is not ASCII."""
+    some = [row for row in rows if row[-1] and not row[-1].isascii()]
+    for piece in _pieces([row[-1] for row in some]):
+        yield some[piece]
+
+
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after the other, and the number of the text of each."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return codes, np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+
+
+def _counted(texts: list[str], n: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``n`` by bigram and by letter with one behind it."""
+    pairs, letters = np.zeros(BIGRAMS), np.zeros(LETTERS)
+    for piece in _pieces(texts):
+        codes, owner = _coded(texts[piece])
+        inside = owner[:-1] == owner[1:]
+        a, b, some = codes[:-1][inside], codes[1:][inside], np.array(n[piece], float)[owner[:-1][inside]]
+        pairs += np.bincount(_bucket(a, b), some, BIGRAMS)
+        letters += np.bincount(a & LETTERS - 1, some, LETTERS)
+    return pairs, letters
 
 
-def _pairs(s: str) -> tuple[list[int], list[int]]:
-    codes = [ord(c) for c in s]
-    return [_bucket(a, b) for a, b in zip(codes, codes[1:])], [c & LETTERS - 1 for c in codes]
+def _bucket(a: int, b: int) -> int:
+    return ((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) >> 7 & BIGRAMS - 1
 
 
 class Model:
@@ -266,44 +339,82 @@ class Model:
         """Negative log probability of the letters by themselves."""
         return sum([self._rare[ord(c) & LETTERS - 1] for c in run])
 
-    def oddness(self, context: str) -> float:
-        """How far beyond the bound for unlikely runs a run is, in nats."""
-        run = context[1:-1]
-        return -self.likelihood(context) + RARITY * self.rarity(run) - ODD[0] - ODD[1] * len(run)
+    def likelihoods(self, texts: list[str]) -> list[float]:
+        """The ``likelihood`` of each text."""
+        out, pair, share, below = [], *(np.frombuffer(x) for x in (self._pair, self._share, self._below))
+        for piece in _pieces(texts):
+            codes, owner = _coded(texts[piece])
+            a, b = codes[:-1], codes[1:]
+            counted = np.flatnonzero((owner[:-1] == owner[1:]) & ((a > 127) | (b > 127)))
+            a, b = a[counted], b[counted]
+            own = pair[_bucket(a, b)] + share[b & LETTERS - 1]
+            # the logarithms are those of the single texts to the last bit
+            own = np.fromiter(map(math.log, own.tolist()), float, len(own)) - below[a & LETTERS - 1]
+            out += np.bincount(owner[:-1][counted], own, len(texts[piece])).tolist()
+        return out
+
+    def rarities(self, runs: list[str]) -> list[float]:
+        """The ``rarity`` of each run."""
+        out, rare = [], np.frombuffer(self._rare)
+        for piece in _pieces(runs):
+            own = rare[_coded(runs[piece])[0] & LETTERS - 1].tolist()
+            out += [sum(own[a:b]) for a, b in pairwise(accumulate(map(len, runs[piece]), initial=0))]
+        return out
+
+    def oddness(self, contexts: list[str]) -> list[float]:
+        """How far beyond the bound for unlikely runs each run is, in nats."""
+        runs = [c[1:-1] for c in contexts]
+        return [-like + RARITY * rare - ODD[0] - ODD[1] * len(run) for like, rare, run in zip(self.likelihoods(contexts), self.rarities(runs), runs)]
+
+    def gains(self, contexts: list[str], texts: list[str]) -> list[float]:
+        """The ``gain`` of each context and text."""
+        once = list(dict.fromkeys(contexts))
+        like = dict(zip(once, self.likelihoods(once)))
+        rare = dict(zip(once, self.rarities([c[1:-1] for c in once])))
+        bare = [_PLAIN.sub("", t) for t in texts]
+        after = self.likelihoods([c[0] + t + c[-1] for c, t in zip(contexts, texts)])
+        return [now - like[c] + RARITY * (rare[c] / (len(c) - 2) * len(b) - own) for c, now, b, own in zip(contexts, after, bare, self.rarities(bare))]
 
     def gain(self, context: str, text: str) -> float:
         """Gain in log likelihood where a run is replaced by ``text``."""
         # garbled text keeps the order of letters and so makes bigrams of its own; but its letters are rarer
-        run, bare = context[1:-1], text if not any(c < "\x80" for c in text) else "".join(c for c in text if c > "\x7f")
+        run, bare = context[1:-1], _PLAIN.sub("", text)
         return self.likelihood(context[0] + text + context[-1]) - self.likelihood(context) + RARITY * (self.rarity(run) / len(run) * len(bare) - self.rarity(bare))
 
-    def gains(self, context: str, page: str = "") -> list[tuple[Cipher, str, float]]:
-        """(cipher, restored run, gain in log likelihood) of a run in its context; ``page`` is a learned page to try where no other fits."""
+    def found(self, contexts: Iterable[str], page: str = "") -> dict[str, list[tuple[Cipher, str, float]]]:
+        """(cipher, restored run, gain in log likelihood) of each run in its context, the best first; ``page`` is a learned page to try where no other fits."""
         kept = self.kept.setdefault(page, {})
-        if (known := kept.get(context)) is not None:
-            return known
-        run = context[1:-1]
-        read = readings(run)
-        options = list(read)
+        out = {c: kept.get(c) for c in contexts}
+        fresh = [c for c, known in out.items() if known is None]
+        if not fresh:
+            return out
+        read = [readings(c[1:-1]) for c in fresh]
+        options = [list(r) for r in read]
         # a swap of pages is only in question where what it is to have made is unlikely
-        for text, ciphers in [(run, [()]), *read]:
-            if text and not text.isascii() and not _is_east(text) and self.oddness(context[0] + text + context[-1]) > 0.0:
-                options += [(before, [(*c, step) for c in ciphers]) for before, step in swapped(text)]
-        found, named = [], {}
-        for text, ciphers in options:
-            named.setdefault(text, []).extend(ciphers)
-        for text, ciphers in named.items():
-            gain = self.gain(context, text) if text else WORSE
+        bases = [(i, text, ciphers) for i, c in enumerate(fresh) for text, ciphers in [(c[1:-1], [()]), *read[i]] if text and not text.isascii() and not _is_east(text)]
+        for (i, text, ciphers), odd in zip(bases, self.oddness([fresh[i][0] + text + fresh[i][-1] for i, text, _ in bases])):
+            if odd > 0.0:
+                options[i] += [(before, [(*c, step) for c in ciphers]) for before, step in swapped(text)]
+        named: list[dict[str, list[Cipher]]] = [{} for _ in fresh]
+        for own, some in zip(named, options):
+            for text, ciphers in some:
+                if text:
+                    own.setdefault(text, []).extend(ciphers)
+        tried = [(i, text) for i, own in enumerate(named) for text in own]
+        found: list[list[tuple[Cipher, str, float]]] = [[] for _ in fresh]
+        for (i, text), gain in zip(tried, self.gains([fresh[i] for i, _ in tried], [text for _, text in tried])):
             if gain > WORSE:
-                found += [(cipher, text, gain) for cipher in ciphers]
-        if page and not found and (text := undo(run, ("utf8", page), self.tables)):
-            if (gain := self.gain(context, text)) > WORSE:
-                found.append(((("utf8", page),), text, gain))
-        found.sort(key=lambda f: -f[2])
-        if len(kept) >= 200_000:
+                found[i] += [(cipher, text, gain) for cipher in named[i][text]]
+        for context, own in zip(fresh, found):
+            if page and not own and (text := undo(context[1:-1], ("utf8", page), self.tables)):
+                if (gain := self.gain(context, text)) > WORSE:
+                    own.append(((("utf8", page),), text, gain))
+            own.sort(key=lambda f: -f[2])
+            out[context] = own
+        if len(kept) + len(fresh) >= 200_000:
             kept.clear()
-        kept[context] = found
-        return found
+        kept.update(zip(fresh, found))
+        return out
 
     def forced(self, context: str, cipher: Cipher) -> float:
         """Gain of undoing a run by a cipher however unlikely by itself; minus infinity if it cannot be undone."""
@@ -325,6 +436,16 @@ class Model:
         return math.log(max(own.get(cipher, 0.0), FLOOR) / max(own.get((), CLEAN), LEAST_CLEAN))
 
 
+_last: list = [None, None]
+
+
+def _model(parts: tuple) -> Model:
+    """The model that was sent, made once per worker and not once per task."""
+    if _last[0] is not parts:
+        _last[:] = parts, Model(*parts)
+    return _last[1]
+
+
 def page_name(source: int) -> str:
     """Name of the page learned for a class of sources."""
     return f"learned {source}"
@@ -346,13 +467,16 @@ def count_runs(documents: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: dict[int, Counter] = {}
-            for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
-                if text and not text.isascii():
-                    own.setdefault(source, Counter()).update(contexts(text))
+            for some in _chunks(zip(batch.column("source").to_pylist(), batch.column("text").to_pylist())):
+                around, at = contexts_of([text for _, text in some])
+                for (source, _), (a, b) in zip(some, pairwise(at)):
+                    own.setdefault(source, Counter()).update(around[a:b])
             rows = [(s, c, n) for s, counts in own.items() for c, n in counts.items()]
             yield _arrow_rows(rows, ["source", "context", "n"], [pa.int32(), pa.string(), pa.int64()])
 
-    return documents.select(source_class(F.col("source")).alias("source"), "text").mapInArrow(count, "source int, context string, n bigint").groupBy("source", "context").agg(F.sum("n").alias("n"))
+    counted = documents.select(source_class(F.col("source")).alias("source"), "text").mapInArrow(count, "source int, context string, n bigint")
+    # by context, so that a task has the runs of all sources that read alike
+    return counted.repartition("context").groupBy("source", "context").agg(F.sum("n").alias("n"))
 
 
 def _filled(rows, kind: str, size: int) -> np.ndarray:
@@ -377,13 +501,11 @@ def learn(documents: DataFrame, rounds: int = 50) -> Model:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, letters, every = np.zeros(BIGRAMS), np.zeros(LETTERS), Counter()
         for batch in batches:
-            for source, context, n in zip(*(batch.column(k).to_pylist() for k in ("source", "context", "n"))):
-                p, c = _pairs(context)
-                for k in p:
-                    pairs[k] += n
-                for k in c[:-1]:
-                    letters[k] += n
-                every[source] += n
+            n = batch.column("n").to_pylist()
+            more = _counted(batch.column("context").to_pylist(), n)
+            pairs, letters = pairs + more[0], letters + more[1]
+            for source, k in zip(batch.column("source").to_pylist(), n):
+                every[source] += k
         rows = [("pair", int(k), 0, "", float(pairs[k])) for k in np.flatnonzero(pairs)] + [("letter", int(k), 0, "", float(letters[k])) for k in np.flatnonzero(letters)]
         yield _arrow_rows(rows + [("all", 0, s, "", float(n)) for s, n in every.items()], ["kind", "key", "source", "cipher", "v"], _SUM_TYPES)
 
@@ -411,17 +533,21 @@ def _open_runs(runs: DataFrame, model: Model) -> DataFrame:
     sent = runs.sparkSession.sparkContext.broadcast(model.parts())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = Model(*sent.value)
+        now, told = _model(sent.value), {}
         for batch in batches:
             rows = []
-            for source, context, n in zip(*(batch.column(k).to_pylist() for k in ("source", "context", "n"))):
-                run = context[1:-1]
-                # counts move away from garbled runs, which makes them less likely than they are now
-                odd = not _is_east(run) and now.oddness(context) > -2.0 * len(run)
-                before = [text for text, _ in readings(run)] + ([text for text, _ in swapped(run)] if odd else [])
-                readable = any(text and now.gain(context, text) > 2.0 * WORSE for text in before)
-                if readable or (odd and len(run) > 1 and not _is_east(run)):
-                    rows.append((source, context, n, readable))
+            columns = [batch.column(k).to_pylist() for k in ("source", "context", "n")]
+            fresh = [c for c in dict.fromkeys(columns[1]) if c not in told]
+            if len(told) + len(fresh) >= 200_000:
+                told, fresh = {}, list(dict.fromkeys(columns[1]))
+            # counts move away from garbled runs, which makes them less likely than they are now
+            odd = [not _is_east(c[1:-1]) and far > -2.0 * (len(c) - 2) for c, far in zip(fresh, now.oddness(fresh))]
+            before = [(c, text) for c, unlikely in zip(fresh, odd) for text, _ in (*readings(c[1:-1]), *(swapped(c[1:-1]) if unlikely else ())) if text]
+            readable = {c for (c, _), gain in zip(before, now.gains([c for c, _ in before], [text for _, text in before])) if gain > 2.0 * WORSE}
+            told.update((c, (c in readable, unlikely and len(c) > 3)) for c, unlikely in zip(fresh, odd))
+            for source, context, n in zip(*columns):
+                if any(told[context]):
+                    rows.append((source, context, n, told[context][0]))
             yield _arrow_rows(rows, ["source", "context", "n", "readable"], [pa.int32(), pa.string(), pa.int64(), pa.bool_()])
 
     return runs.mapInArrow(keep, "source int, context string, n bigint, readable boolean")
@@ -432,12 +558,17 @@ def _round(open_: DataFrame, model: Model, pairs0: np.ndarray, letters0: np.ndar
     sent = open_.sparkSession.sparkContext.broadcast(model.parts())
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = Model(*sent.value)
-        pairs, letters, weights = {}, {}, {}
+        now = _model(sent.value)
+        pairs, letters, weights = np.zeros(BIGRAMS), np.zeros(LETTERS), {}
         for batch in batches:
+            rows, asked, moved, shares = [], {}, [], []
             for source, context, n in zip(*(batch.column(k).to_pylist() for k in ("source", "context", "n"))):
                 page = page_name(source) if page_name(source) in now.tables else ""
-                found = now.gains(context, page)
+                rows.append((source, context, n, page))
+                asked.setdefault(page, []).append(context)
+            known = {page: now.found(some, page) for page, some in asked.items()}
+            for source, context, n, page in rows:
+                found = known[page][context]
                 if not found:
                     continue
                 odds = [(c, t, math.exp(min(60.0, g + now.weight(source, c)))) for c, t, g in found]
@@ -451,13 +582,11 @@ def _round(open_: DataFrame, model: Model, pairs0: np.ndarray, letters0: np.ndar
                     weights[source, cipher] = weights.get((source, cipher), 0.0) + share
                     text = context[0] + text + context[-1]
                     texts[text] = texts.get(text, 0.0) + share
-                for text, share in texts.items():
-                    p, c = _pairs(text)
-                    for k in p:
-                        pairs[k] = pairs.get(k, 0.0) + share
-                    for k in c[:-1]:
-                        letters[k] = letters.get(k, 0.0) + share
-        rows = [("pair", k, 0, "", v) for k, v in pairs.items()] + [("letter", k, 0, "", v) for k, v in letters.items()]
+                moved += texts
+                shares += texts.values()
+            more = _counted(moved, shares)
+            pairs, letters = pairs + more[0], letters + more[1]
+        rows = [("pair", int(k), 0, "", float(pairs[k])) for k in np.flatnonzero(pairs)] + [("letter", int(k), 0, "", float(letters[k])) for k in np.flatnonzero(letters)]
         rows += [("weight", 0, s, "|".join("/".join(x) for x in c), v) for (s, c), v in weights.items()]
         yield _arrow_rows(rows, ["kind", "key", "source", "cipher", "v"], _SUM_TYPES)
 
@@ -608,18 +737,16 @@ def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
 _QUOTES = ('"', "'", "`")
 
 
-def restore(text: str | None, source: int, model: Model) -> str | None:
-    """The original of an affected text, "" if it is lost, None if the text is not affected."""
+def restore(text: str | None, source: int, model: Model, around: list[str] | None = None) -> str | None:
+    """The original of an affected text, "" if it is lost, None if the text is not affected; ``around`` are its ``contexts`` where they are known."""
     if not text or text.isascii():
         return None
-    spans = [m.span() for m in RUN.finditer(text)]
-    n = len(text)
-    if "�" in text and any("�" in text[a:b] and not (a and b < n and text[a - 1] in _QUOTES and text[b] in _QUOTES) for a, b in spans):
+    around = contexts(text) if around is None else around
+    if "�" in text and any("�" in c and not (c[0] in _QUOTES and c[-1] in _QUOTES) for c in around):
         return ""
-    around = [(text[a - 1] if a else "\n") + text[a:b] + (text[b] if b < n else "\n") for a, b in spans]
     page = page_name(source) if page_name(source) in model.tables else ""
-    kept = model.kept.setdefault(page, {})
-    found = [model.gains(c, page) if (f := kept.get(c)) is None else f for c in around]
+    known = model.found(around, page)
+    found = [known[c] for c in around]
     if not any(f and f[0][2] > 0 for f in found):
         return None
     hope: dict[tuple, float] = {}
@@ -644,26 +771,37 @@ def restore(text: str | None, source: int, model: Model) -> str | None:
         states = list(alike.values())
     if not states:
         return None
-    # best path: text as it stands scores 0; entering a cipher costs, leaving is free
+    # best path: text as it stands (-1) scores 0; entering a cipher costs, leaving is free
     none = float("-inf")
-    score, back = {(): 0.0, **{c: none for c in states}}, []
+    costs, closed, told = [enter[c] for c in states], [none] * len(states), {}
+    clean, score, back = 0.0, closed, []
     for context, options in zip(around, found):
-        gains = {c: g for c, _, g in options if c in enter}
-        gains |= {c: model.forced(context, c) for c in states if c not in gains}
-        top = max(score, key=score.get)
-        now, came = {}, {}
-        for c in score:
-            stay, switch = score[c], score[top] - (enter[c] if c else 0.0)
-            came[c] = c if stay >= switch else top
-            now[c] = max(stay, switch) + (gains.get(c, none) if c else 0.0)
-        score = now
-        back.append(came)
-    state = max(score, key=score.get)
+        if (gains := told.get(context)) is None:
+            own = {c: g for c, _, g in options}
+            gains = told[context] = [own[c] if c in own else model.forced(context, c) for c in states]
+        best = max(score)
+        top, best = (-1, clean) if clean >= best else (score.index(best), best)
+        if gains == closed:  # no cipher can have made the run
+            score, came = closed, None
+        else:
+            now, came = [], []
+            for k, gain in enumerate(gains):
+                stay, switch = score[k], best - costs[k]
+                came.append(k if stay >= switch else top)
+                now.append((stay if stay >= switch else switch) + gain)
+            score = now
+        back.append((came, top))
+        clean = best
+    best = max(score)
+    state = -1 if clean >= best else score.index(best)
     path: list[tuple] = []
-    for came in reversed(back):
-        path.append(state)
-        state = came[state]
+    for came, top in reversed(back):
+        path.append(() if state < 0 else states[state])
+        state = top if state < 0 else came[state]
     path.reverse()
+    if not any(path):
+        return None
+    spans = [m.span() for m in RUN.finditer(text)]
     _keep_quoted(text, spans, path)
     if not any(path):
         return None
@@ -706,13 +844,23 @@ def restored(documents: DataFrame, model: Model) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value)
+        own = _model(sent.value)
         for batch in batches:
             rows = []
-            for doc, text, source in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "source"))):
-                original = restore(text, source, own)
-                if original is not None:
-                    rows.append((doc, original))
+            for some in _chunks(zip(*(batch.column(k).to_pylist() for k in ("doc_id", "source", "text")))):
+                around, at = contexts_of([text for _, _, text in some])
+                pages = [page_name(source) if page_name(source) in own.tables else "" for _, source, _ in some]
+                # most texts have no run that gains and no letter that was lost
+                better = {}
+                for page in set(pages):
+                    asked = set(around) if len(own.tables) == 0 else {c for p, (a, b) in zip(pages, pairwise(at)) if p == page for c in around[a:b]}
+                    better[page] = {c for c, found in own.found(asked, page).items() if found and found[0][2] > 0}
+                for (doc, source, text), page, (a, b) in zip(some, pages, pairwise(at)):
+                    if "\ufffd" not in text and better[page].isdisjoint(around[a:b]):
+                        continue
+                    original = restore(text, source, own, around[a:b])
+                    if original is not None:
+                        rows.append((doc, original))
             yield _arrow_rows(rows, ["doc_id", "restored"], [pa.int64(), pa.string()])
 
     return documents.select("doc_id", "text", source_class(F.col("source")).alias("source")).mapInArrow(run, "doc_id bigint, restored string")

@@ -1,8 +1,13 @@
 import hashlib
 import random
+from collections import Counter
+from itertools import pairwise
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from estatelens.llm import mojibake
 from estatelens.llm.mojibake import EAST_PAGES, SWAPS, affected, contexts, further_pages, learn, readings, restored, undo
 
 WORDS = {
@@ -165,3 +170,58 @@ def test_readings_of_every_page():
     for _ in range(7):
         text = garble(text, "latin-1")
     assert "ä" in dict(readings(text)) and contexts("aÃ¤b") == ["aÃ¤b"]
+
+
+def test_runs_of_many_texts_at_once():
+    rnd = random.Random(5)
+    letters = ["\n", "a", '"', "é", "Ã", "¤", "漢", "Ａ", "ﾊ", "가", "ᄀ", "п", "\ufffd", "\uffff", "😀", " ", "–", "\x80"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 20))) for _ in range(500)]
+    around, at = mojibake.contexts_of(texts)
+    assert [around[a:b] for a, b in pairwise(at)] == [contexts(t) for t in texts]
+    assert mojibake.contexts_of([]) == ([], [0]) and mojibake.contexts_of(["", ""]) == ([], [0, 0, 0])
+
+
+def small_model(texts):
+    found = Counter(c for t in texts for c in contexts(t))
+    return mojibake.Model(*mojibake._counted(list(found), list(found.values())), {0: {(("utf8", "cp1252"),): 0.05}})
+
+
+def test_many_runs_at_once_are_measured_like_single_ones(monkeypatch):
+    texts = [t for _, t, _ in clean(random.Random(6), 60)]
+    model, around = small_model(texts), [c for t in texts[:9] for c in contexts(garble(t, "cp1252"))]
+    around += [c for t in texts[:9] for c in contexts(t)] + ["a漢字b", "\n😀\n"]
+    monkeypatch.setattr(mojibake, "CHUNK", 40)
+    assert model.likelihoods(around) == [model.likelihood(c) for c in around] and model.rarities(around) == [model.rarity(c) for c in around]
+    found = model.found(around)
+    assert set(found) == set(around) and any(found.values())
+    assert all(gain == model.gain(c, text) == model.forced(c, cipher) for c, some in found.items() for cipher, text, gain in some)
+    assert model.found([]) == {} and model.likelihoods([]) == model.rarities([]) == [] and not mojibake._counted([], [])[0].any()
+
+
+def test_equal_runs_are_undone_once(monkeypatch):
+    """A text of many equal runs asks for each of them once, not wherever it stands."""
+    texts = [t for _, t, _ in clean(random.Random(7), 60)]
+    text = "\n".join([garble("größer für Öffnung – 5 µm", "cp1252") + " ... ≤ … ж"] * 300)
+    model, asked, forced = small_model(texts), [], mojibake.Model.forced
+    monkeypatch.setattr(mojibake.Model, "forced", lambda self, context, cipher: asked.append((context, cipher)) or forced(self, context, cipher))
+    assert mojibake.restore(text, 0, model).startswith("größer für Öffnung – 5 µm")
+    assert asked and len(asked) == len(set(asked))
+
+
+def test_a_context_is_in_one_task(spark):
+    """What runs can have been is worked out once for all sources, as their rows are in one partition."""
+    docs = [(i, t, f"s{i % 7}") for i, t, _ in clean(random.Random(8), 140)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counted = mojibake.count_runs(spark.createDataFrame(docs, "doc_id bigint, text string, source string"))
+        rows = counted.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r["context"], set()).add(r["task"])
+    assert len({t for own in tasks.values() for t in own}) > 1 and all(len(own) == 1 for own in tasks.values())
+    assert sum(r["n"] for r in rows) == sum(len(contexts(t)) for _, t, _ in docs)
+    parts = (np.zeros(mojibake.BIGRAMS), np.zeros(mojibake.LETTERS), {})
+    assert mojibake._model(parts) is mojibake._model(parts)
